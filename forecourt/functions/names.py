@@ -19,6 +19,10 @@ def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
+def folder(path: Column) -> Column:
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
 def extension(name: Column) -> Column:
     """Text after the last dot, '' without a dot or after a trailing dot."""
     return F.regexp_extract(name, r"\.([^.]*)$", 1)

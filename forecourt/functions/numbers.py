@@ -6,8 +6,11 @@ from pyspark.sql import Column, functions as F
 
 
 def int_or_zero(c: Column) -> Column:
-    """Integer value of a text column; anything that is not a whole number counts as 0."""
-    return F.coalesce(F.trim(c.cast("string")).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Whole number of a text or number column.
+
+    Numbers lose their fraction; NULL and text that is not a whole number count as 0.
+    """
+    return F.coalesce(c.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def double_or_zero(c: Column) -> Column:

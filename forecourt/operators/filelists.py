@@ -104,8 +104,8 @@ def listing(catalog: DataFrame, n: int = LISTED_FILES) -> DataFrame:
     )
 
 
-def folders(catalog: DataFrame) -> DataFrame:
-    """Folder -> list of its files, as the dashboard shows it; one row per folder."""
-    folder = F.regexp_extract(F.col("path"), r"^(.*)/[^/]*$", 1)
-    files = F.array_sort(F.collect_list(F.struct("name", "type", "size", "modify_time")))
-    return catalog.groupBy(folder.alias("folder")).agg(files.alias("files"))
+def by_folder(catalog: DataFrame) -> DataFrame:
+    """Files, bytes and first name per folder; the files themselves stay rows of the catalog."""
+    return catalog.groupBy("folder").agg(
+        F.count("*").alias("n_files"), F.sum("size").alias("total_bytes"), F.min("name").alias("first_name")
+    )

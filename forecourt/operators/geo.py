@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from forecourt.operators.ranking import top_rows
+from forecourt.operators.ranking import number_rows, top_rows
 
 
 def with_coordinates(points: DataFrame, geo: DataFrame) -> DataFrame:
@@ -66,11 +66,24 @@ def slide_rows(wide: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return wide.select("name", F.inline(F.array(*slides))).select("slide", "name", "value", "shown")
 
 
+def bar_rows(slides: DataFrame) -> DataFrame:
+    """Bars with their place on the slide, by ascending value and name.
+
+    Numbered over all slides at once, so that a slide is never sorted by one task; the
+    first number of each slide (one row per slide) turns that into places.
+    """
+    order = [F.col("slide"), F.col("value"), F.col("name")]
+    numbered = number_rows(slides, order, "_n")
+    first = numbered.groupBy("slide").agg(F.min("_n").alias("_first"))
+    place = (F.col("_n") - F.col("_first") + 1).alias("place")
+    return numbered.join(first, "slide").select("slide", place, "name", "value", "shown")
+
+
 def bar_arrays(slides: DataFrame) -> DataFrame:
-    """Per slide, value and label arrays aligned by ascending value.
+    """Per slide, value and label arrays aligned by ascending value, for a chart.
 
-    Input ``(slide, name, value, shown)``: ordered by ``value``, drawn with ``shown``.  The
-    arrays are the result of the operator, one pair per slide.
+    Input ``(slide, name, value, shown)``: ordered by ``value``, drawn with ``shown``.  Each
+    array is one value; ``bar_rows`` gives the same order as rows for name lists of any size.
     """
     bars = F.array_sort(F.collect_list(F.struct("value", "name", "shown")))
     return slides.groupBy("slide").agg(bars.alias("bars")).select(

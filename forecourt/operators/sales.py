@@ -30,6 +30,7 @@ DEALER_CHANNEL = "4S店"
 WEB_CHANNEL = "电商平台"
 CHANNEL_THRESHOLD = 300
 SAFETY_RATE = 0.1
+MONTH_COLUMN = "sale_month"
 MARKETING_PER_UNIT = 50
 DISCOUNT_PER_UNIT = 20
 
@@ -51,14 +52,25 @@ def date_bounds(text: str) -> tuple[datetime.date, datetime.date]:
 
 
 def in_period(df: DataFrame, period: str, column: str = "sale_date") -> DataFrame:
-    """Rows of a day, month or year; the range reaches the scan and prunes partitions."""
+    """Rows of a day, month or year; the range reaches the scan.
+
+    Facts stored by month (``sinks.tables.write_by_month``) are also pruned to those folders.
+    """
     start, end = date_bounds(period)
-    return df.filter((F.col(column) >= F.lit(start)) & (F.col(column) < F.lit(end)))
+    rows = df.filter((F.col(column) >= F.lit(start)) & (F.col(column) < F.lit(end)))
+    if MONTH_COLUMN in df.columns:
+        last = end - datetime.timedelta(days=1)
+        rows = rows.filter(F.col(MONTH_COLUMN).between(f"{start:%Y-%m}", f"{last:%Y-%m}"))
+    return rows
 
 
 def sales_of(df: DataFrame, period: str) -> DataFrame:
-    """Sales rows of a period ordered by model, NULL models first."""
-    return in_period(df, period).orderBy(F.col("model").asc_nulls_first())
+    """Sales rows of a period ordered by model, NULL models first.
+
+    The further columns let the range sort split a model that holds very many rows.
+    """
+    within = [c for c in ("sale_date", "revenue", "sales_volume", "region") if c in df.columns]
+    return in_period(df, period).orderBy(F.col("model").asc_nulls_first(), *within)
 
 
 def model_or_unknown(c: Column) -> Column:

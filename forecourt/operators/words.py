@@ -45,11 +45,3 @@ def space_token_count(lines: DataFrame, column: str = "value") -> DataFrame:
 def comma_token_count(lines: DataFrame, column: str = "value") -> DataFrame:
     return _count_tokens(lines, text.separated_tokens(F.col(column), ","))
 
-
-def nested_word_frequency(freq: DataFrame) -> DataFrame:
-    """``field -> map(word -> freq)``, one row per field.
-
-    Only for vocabularies that fit one map value; use the long form otherwise.
-    """
-    entries = F.collect_list(F.struct("word", "freq"))
-    return freq.groupBy("field").agg(F.map_from_entries(entries).alias("words"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from forecourt.operators.sales import MONTH_COLUMN
 from forecourt.workspace import fresh_dir
 
 # Table names and insert batch size of the platform.
@@ -24,6 +25,18 @@ def replace_table(df: DataFrame, name: str, location: str | None = None) -> None
     spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM parquet.`{path}`")
 
 
+def write_by_month(facts: DataFrame, path: str) -> None:
+    """Store sales facts in one folder per month.
+
+    Rebalancing gathers a month's rows into few files and splits a month that is too large
+    for one task.
+    """
+    month = F.date_format("sale_date", "yyyy-MM")
+    facts.withColumn(MONTH_COLUMN, month).hint("rebalance", MONTH_COLUMN).write.partitionBy(
+        MONTH_COLUMN
+    ).parquet(path)
+
+
 def snapshot_once(spark: SparkSession, table: str, backup: str) -> bool:
     """Copy a table to its backup unless there is one already (or nothing to copy)."""
     if spark.catalog.tableExists(backup) or not spark.catalog.tableExists(table):

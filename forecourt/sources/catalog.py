@@ -21,10 +21,11 @@ def file_catalog(spark: SparkSession, folders: str | Sequence[str]) -> DataFrame
 
 
 def as_catalog(files: DataFrame) -> DataFrame:
-    """Add name, name without extension and upper-case type to ``(path, size, modify_time)``."""
+    """Add folder, name, name without extension and upper-case type to ``(path, size, modify_time)``."""
     name = names.file_name(F.col("path"))
     return files.select(
         "path",
+        names.folder(F.col("path")).alias("folder"),
         name.alias("name"),
         names.base_name(name).alias("display_name"),
         names.file_type(name).alias("type"),

@@ -103,13 +103,27 @@ def j3_measures(spark, sf_dir):
     return stats.scaled(wide, NAMES)
 
 
-@query(
-    "t6_bar_arrays",
-    f"""WITH {GEO}, {MEASURES}, slides AS (
+SLIDE_ROWS = """slides AS (
       SELECT 0 AS slide, name, d1 AS value, d1 AS shown FROM wide
       UNION ALL SELECT 1, name, d1, d2 FROM wide UNION ALL SELECT 2, name, d3, d3 FROM wide
       UNION ALL SELECT 3, name, d3, d4 FROM wide UNION ALL SELECT 4, name, d5, d5 FROM wide
-      UNION ALL SELECT 5, name, d5, d6 FROM wide)
+      UNION ALL SELECT 5, name, d5, d6 FROM wide)"""
+
+
+@query(
+    "t6_bar_rows",
+    f"""WITH {GEO}, {MEASURES}, {SLIDE_ROWS}
+    SELECT slide, row_number() OVER (PARTITION BY slide ORDER BY value NULLS FIRST, name) AS place,
+           name, value, shown FROM slides""",
+)
+def t6_bar_rows(spark, sf_dir):
+    wide = geo.align_measures(views.geo(spark, sf_dir), views.measures(spark, sf_dir), NAMES)
+    return geo.bar_rows(geo.slide_rows(wide, SLIDES))
+
+
+@query(
+    "t6_bar_arrays",
+    f"""WITH {GEO}, {MEASURES}, {SLIDE_ROWS}
     SELECT slide, string_agg(name, ';' ORDER BY value NULLS FIRST, name) AS labels,
            string_agg(coalesce(CAST(CAST(shown * 100 AS BIGINT) AS VARCHAR), '-'), ';'
                       ORDER BY value NULLS FIRST, name) AS bar_values

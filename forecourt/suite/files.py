@@ -317,6 +317,15 @@ def k10_device_json(spark, sf_dir):
     return spark.read.schema("event_id LONG, props STRING, device STRING").json(out)
 
 
+@query("s5_txt_fields", "SELECT DISTINCT unnest(range(1, 4))::VARCHAR AS field FROM events")
+def s5_txt_fields(spark, sf_dir):
+    path = f"{fresh_dir(spark, 's5')}/events.txt"
+    line = F.concat_ws(",", "event_id", "user_id", "event_type", F.lit(","))
+    sinks.write_lines(table(spark, sf_dir, "events").select(line.alias("value")), path)
+    fields = sources.preview_fields(spark, path)
+    return spark.range(1).select(F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"))
+
+
 @query("s5_csv_fields", "SELECT CAST(row_number() OVER () AS INT) AS position, column_name AS field FROM (DESCRIBE events)")
 def s5_csv_fields(spark, sf_dir):
     path = f"{fresh_dir(spark, 's5')}/events.csv"

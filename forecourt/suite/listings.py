@@ -181,13 +181,8 @@ def f12_folder_sizes(spark, sf_dir):
 
 @query(
     "s11_folders",
-    f"""WITH {FILE_ROWS} SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder,
-              CAST(count(*) AS BIGINT) AS n_files, min(name) AS first_name FROM files GROUP BY 1""",
+    f"""WITH {FILE_ROWS} SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, CAST(count(*) AS BIGINT) AS n_files,
+              CAST(sum(size) AS BIGINT) AS total_bytes, min(name) AS first_name FROM files GROUP BY 1""",
 )
 def s11_folders(spark, sf_dir):
-    folders = filelists.folders(_catalog(spark, sf_dir))
-    return folders.select(
-        "folder",
-        F.size("files").cast("bigint").alias("n_files"),
-        F.col("files")[0]["name"].alias("first_name"),
-    )
+    return filelists.by_folder(_catalog(spark, sf_dir))

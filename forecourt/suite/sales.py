@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from forecourt import schemas
 from forecourt.operators import sales
 from forecourt.plans import sales_report
+from forecourt.sinks import tables
 from forecourt.suite import query
 from forecourt.suite.views import CAR_SALES, car_sales
+from forecourt.workspace import landed_once
 
 FACTS = (
     "sale_date, model, sales_volume, customer_type, region, market_trend, inventory, revenue, "
@@ -34,6 +37,15 @@ def p3_sales_year(spark, sf_dir):
     return sales.sales_of(car_sales(spark, sf_dir), "1996")
 
 
+@query("p3_month_folders", _period_sql("sale_date >= DATE '1996-03-01' AND sale_date < DATE '1996-04-01'"))
+def p3_month_folders(spark, sf_dir):
+    path = landed_once(
+        spark, f"{sf_dir}/car_sales", lambda p: tables.write_by_month(car_sales(spark, sf_dir), p)
+    )
+    schema = f"{schemas.CAR_SALES}, {sales.MONTH_COLUMN} STRING"
+    return sales.sales_of(spark.read.schema(schema).parquet(path), "1996-03").drop(sales.MONTH_COLUMN)
+
+
 BY_MODEL = """by_model AS (
   SELECT coalesce(model, '未知车型') AS model, CAST(sum(sales_volume) AS BIGINT) AS volume,
          CAST(sum(inventory) AS BIGINT) AS inventory, CAST(count(*) AS BIGINT) AS n_rows,
