@@ -56,7 +56,8 @@ def host(c: Column) -> Column:
     """Host of ``scheme://host:port/path``; empty text means the local default."""
     address = _address(c)
     named = F.regexp_extract(address, r"^(.+):[^:]*$", 1)
-    return F.when(named != "", named).when(address != "", address).otherwise(F.lit(DEFAULT_HOST))
+    found = F.when(named != "", named).when(address != "", address)
+    return F.coalesce(found, F.lit(DEFAULT_HOST))
 
 
 def port(c: Column, default: int = DEFAULT_PORT) -> Column:

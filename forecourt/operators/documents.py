@@ -10,9 +10,11 @@ from forecourt.functions.text import SEGMENT_LIMIT, chunks, java_trim
 def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SEGMENT_LIMIT) -> DataFrame:
     """``(key, chunk_no, n_chunks, chunk)``, numbered from 1; the whole text is kept."""
     cut = docs.select(key, chunks(F.col(text), limit).alias("parts"))
-    return cut.select(
-        key, F.size("parts").alias("n_chunks"), F.posexplode("parts").alias("pos", "chunk")
-    ).select(key, (F.col("pos") + 1).alias("chunk_no"), "n_chunks", "chunk")
+    # The count is taken before exploding, so that no row carries all parts along.
+    counted = cut.withColumn("n_chunks", F.size("parts"))
+    return counted.select(key, "n_chunks", F.posexplode("parts").alias("pos", "chunk")).select(
+        key, (F.col("pos") + 1).alias("chunk_no"), "n_chunks", "chunk"
+    )
 
 
 def recombined(parts: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -6,33 +6,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from forecourt.workspace import cut_lineage
+from forecourt.workspace import stored
 
 
 def number_rows(df: DataFrame, order: Sequence[Column], name: str, start: int = 1) -> DataFrame:
     """Consecutive numbers in a global order, without pulling all rows into one task.
 
-    The rows are range-sorted into partitions and checkpointed (this runs a job), so that
-    a row's number is its place in its partition plus the sizes of the partitions before.
-    ``order`` should be unique, else tied rows get their numbers in no particular order.
+    The rows are range-sorted and written once (this runs a job) together with their
+    partition and their place in it; a row's number is its place plus the sizes of the
+    partitions before.  ``order`` should be unique, else tied rows get their numbers in no
+    particular order.
     """
-    ordered = cut_lineage(df.orderBy(*order))
     in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    if ordered.rdd.getNumPartitions() <= 1:
-        return ordered.withColumn(name, in_partition + start)
-    sizes = ordered.groupBy(F.spark_partition_id().alias("_part")).agg(F.count("*").alias("_size"))
+    placed = stored(
+        df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_place": in_partition}),
+        "numbered",
+    )
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition: the window and the broadcast are bounded by that number.
     offsets = sizes.select(
         "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
-    return (
-        ordered.withColumn("_part", F.spark_partition_id())
-        .withColumn("_place", in_partition)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + F.col("_place") + start)
-        .drop("_part", "_place", "_offset")
-    )
+    number = F.col("_offset") + F.col("_place") + start
+    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, number.alias(name))
 
 
 def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

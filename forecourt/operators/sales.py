@@ -151,24 +151,33 @@ def target_sales(volume: Column, trend: Column) -> Column:
 
 def sales_plan(df: DataFrame) -> DataFrame:
     """Targets, stock, costs, actions and channel of every sales row."""
-    volume = int_or_zero(F.col("sales_volume"))
+    volume, additional = F.col("sales_volume"), F.col("additional_sales")
     return (
-        df.withColumn("sales_volume", volume)
-        .withColumn("inventory", int_or_zero(F.col("inventory")))
-        .withColumn("market_trend", double_or_zero(F.col("market_trend")))
-        .withColumn("target_sales", target_sales(F.col("sales_volume"), F.col("market_trend")))
-        .withColumn("additional_sales", F.col("target_sales") - F.col("sales_volume"))
-        .withColumn("safety_stock", (F.col("sales_volume") * F.lit(SAFETY_RATE)).cast("bigint"))
-        .withColumn(
-            "suggested_inventory",
-            F.col("inventory") + F.col("additional_sales") + F.col("safety_stock"),
+        df.withColumns(
+            {
+                "sales_volume": int_or_zero(volume),
+                "inventory": int_or_zero(F.col("inventory")),
+                "market_trend": double_or_zero(F.col("market_trend")),
+            }
+        )
+        .withColumns(
+            {
+                "target_sales": target_sales(volume, F.col("market_trend")),
+                "additional_sales": target_sales(volume, F.col("market_trend")) - volume,
+                "safety_stock": (volume * F.lit(SAFETY_RATE)).cast("bigint"),
+                "marketing_action": marketing_action(F.col("customer_type")),
+                "promotion_method": promotion_method(F.col("region")),
+                "sales_channel": sales_channel(volume),
+            }
+        )
+        .withColumns(
+            {
+                "suggested_inventory": F.col("inventory") + additional + F.col("safety_stock"),
+                "marketing_cost_plan": additional * MARKETING_PER_UNIT,
+                "discount_cost_plan": additional * DISCOUNT_PER_UNIT,
+                "total_cost_plan": additional * MARKETING_PER_UNIT + additional * DISCOUNT_PER_UNIT,
+            }
         )
-        .withColumn("marketing_cost_plan", F.col("additional_sales") * MARKETING_PER_UNIT)
-        .withColumn("discount_cost_plan", F.col("additional_sales") * DISCOUNT_PER_UNIT)
-        .withColumn("total_cost_plan", F.col("marketing_cost_plan") + F.col("discount_cost_plan"))
-        .withColumn("marketing_action", marketing_action(F.col("customer_type")))
-        .withColumn("promotion_method", promotion_method(F.col("region")))
-        .withColumn("sales_channel", sales_channel(F.col("sales_volume")))
     )
 
 

@@ -29,13 +29,16 @@ def word_frequency(df: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
     return count_field_words(field_values(df, fields))
 
 
-def _count_tokens(df: DataFrame, tokens: Column) -> DataFrame:
-    return df.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+def _count_tokens(df: DataFrame, tokens: Column, kept: Column | None = None) -> DataFrame:
+    words = df.select(F.explode(tokens).alias("word"))
+    if kept is not None:
+        words = words.filter(kept)
+    return words.groupBy("word").agg(F.count("*").alias("freq"))
 
 
 def token_count(lines: DataFrame, column: str = "value") -> DataFrame:
     """Whitespace tokens of whole lines, no empty tokens."""
-    return _count_tokens(lines, text.plain_tokens(F.col(column)))
+    return _count_tokens(lines, text.plain_tokens(F.col(column)), F.col("word") != "")
 
 
 def space_token_count(lines: DataFrame, column: str = "value") -> DataFrame:

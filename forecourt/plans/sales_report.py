@@ -10,7 +10,7 @@ from forecourt.functions.numbers import double_or_zero, int_or_zero, round_half_
 from forecourt.functions.text import DATE_PATTERNS
 from forecourt.operators import sales
 from forecourt.operators.ranking import number_rows
-from forecourt.workspace import cut_lineage
+from forecourt.workspace import stored
 
 # Wording of the reports.
 NOT_FOUND = "未找到 %s 的销售数据"
@@ -65,7 +65,7 @@ def summary_lines(facts: DataFrame, period: str) -> DataFrame:
     One scan reduces the facts to (model, region, customer type) cells; everything else is
     computed from those.  Without sales in the period there is one line saying so.
     """
-    cells = cut_lineage(
+    cells = stored(
         sales.in_period(facts, period)
         .groupBy(sales.model_or_unknown(F.col("model")).alias("model"), "region", "customer_type")
         .agg(
@@ -73,7 +73,8 @@ def summary_lines(facts: DataFrame, period: str) -> DataFrame:
             F.sum(int_or_zero(F.col("inventory"))).alias("inventory"),
             F.sum(double_or_zero(F.col("market_trend"))).alias("trend"),
             F.count("*").alias("n_rows"),
-        )
+        ),
+        "cells",
     )
     models = cells.groupBy("model").agg(
         F.sum("volume").alias("volume"),

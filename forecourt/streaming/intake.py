@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from forecourt.functions import names
 from forecourt.operators.dedup import first_per_key
 
 # Limits and messages of intake tasks.
@@ -18,7 +19,7 @@ DEFAULT_ROWS_PER_SECOND = 5
 MAX_ROWS_PER_SECOND = 100
 GRACE_SECONDS = 30
 UPLOAD_FAILED = "数据已通过 Socket 接收，但写入 HDFS 失败，请检查 HDFS 连接状态"
-TIMED_OUT = "采集超时"
+TIMED_OUT = "采集超时：无法连接数据源 %s:%s，请确认采集服务端已启动（本机监听端口 %s）"
 
 
 def intake_limits(duration: int, rows_per_second: int) -> tuple[int, int]:
@@ -114,7 +115,7 @@ def intake_totals(ledger: DataFrame) -> DataFrame:
 
 
 def outcomes(tasks: DataFrame, records: DataFrame) -> DataFrame:
-    """Status of intake tasks ``(task_id, file_name, deadline)`` against ledger records.
+    """Status of intake tasks ``(task_id, file_name, address, deadline)`` against records.
 
     A task succeeds when its file was received by the deadline and stored; a file that was
     received but not stored, or nothing by the deadline, is an error.
@@ -124,6 +125,11 @@ def outcomes(tasks: DataFrame, records: DataFrame) -> DataFrame:
     in_time = F.col("receive_time").isNotNull() & (F.col("receive_time") <= F.col("deadline"))
     stored = in_time & F.col("upload_success")
 
+    source = F.col("address")
+    timed_out = F.format_string(
+        TIMED_OUT, names.host(source), names.port(source), F.lit(names.DEFAULT_PORT)
+    )
+
     def when_received(c: str) -> Column:
         return F.when(in_time, F.col(c)).alias(c)
 
@@ -135,6 +141,6 @@ def outcomes(tasks: DataFrame, records: DataFrame) -> DataFrame:
         F.when(stored, F.col("file_size")).alias("file_size"),
         F.when(stored, F.lit(None).cast("string"))
         .when(in_time, F.lit(UPLOAD_FAILED))
-        .otherwise(F.lit(TIMED_OUT))
+        .otherwise(timed_out)
         .alias("message"),
     )

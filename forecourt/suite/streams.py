@@ -126,16 +126,17 @@ def i6_ranked_totals(spark, sf_dir):
 @query(
     "i7_outcomes",
     """WITH records AS (
-         SELECT doc_id, n_chars, doc_id % 5 <> 0 AS stored, TIMESTAMP '2025-01-01' + to_seconds(doc_id % 50) AS at
-         FROM documents WHERE doc_id % 3 <> 0),
+         SELECT CASE WHEN doc_id % 3 = 0 THEN 'lost' ELSE 'f' END || CAST(doc_id AS VARCHAR) AS file_name, n_chars,
+                doc_id % 5 <> 0 AS stored, TIMESTAMP '2025-01-01' + to_seconds(doc_id % 50) AS at FROM documents),
        joined AS (
          SELECT d.doc_id AS task_id, 'f' || CAST(d.doc_id AS VARCHAR) AS file_name, r.n_chars, r.stored,
                 coalesce(r.at <= TIMESTAMP '2025-01-01 00:00:35', false) AS seen
-         FROM documents d LEFT JOIN records r ON r.doc_id = d.doc_id)
+         FROM documents d LEFT JOIN records r ON r.file_name = 'f' || CAST(d.doc_id AS VARCHAR))
        SELECT task_id, file_name, CASE WHEN seen AND stored THEN 'success' ELSE 'error' END AS status,
               CASE WHEN seen THEN n_chars END AS data_count, CASE WHEN seen AND stored THEN n_chars * 10 END AS file_size,
               CASE WHEN seen AND stored THEN NULL WHEN seen THEN '数据已通过 Socket 接收，但写入 HDFS 失败，请检查 HDFS 连接状态'
-                   ELSE '采集超时' END AS message
+                   ELSE '采集超时：无法连接数据源 10.0.0.' || CAST(task_id % 9 AS VARCHAR)
+                        || ':81，请确认采集服务端已启动（本机监听端口 9999）' END AS message
        FROM joined""",
 )
 def i7_outcomes(spark, sf_dir):
@@ -143,9 +144,12 @@ def i7_outcomes(spark, sf_dir):
     doc, start = F.col("doc_id"), F.lit("2025-01-01").cast("timestamp_ntz")
     name = F.concat(F.lit("f"), doc.cast("string")).alias("file_name")
     deadline = start + F.make_dt_interval(secs=F.lit(5 + intake.GRACE_SECONDS))
-    tasks = docs.select(doc.alias("task_id"), name, deadline.alias("deadline"))
-    records = docs.filter(doc % 3 != 0).select(
-        name,
+    address = F.concat(F.lit("tcp://10.0.0."), (doc % 9).cast("string"), F.lit(":81/in")).alias("address")
+    tasks = docs.select(doc.alias("task_id"), name, address, deadline.alias("deadline"))
+    # Every third file arrived under another name than its task expects.
+    received = F.concat(F.when(doc % 3 == 0, "lost").otherwise("f"), doc.cast("string"))
+    records = docs.select(
+        received.alias("file_name"),
         (F.col("n_chars") * 10).alias("file_size"),
         F.col("n_chars").alias("data_count"),
         (start + F.make_dt_interval(secs=doc % 50)).alias("receive_time"),

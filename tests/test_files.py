@@ -4,14 +4,14 @@ import os
 
 import pytest
 from conftest import values
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameReader, DataFrameWriter, functions as F
 
 from forecourt.plans import cleaning, statistics_import
 from forecourt.sinks import files as sinks
 from forecourt.sinks import tables
 from forecourt.sources import files as sources
 from forecourt.sources.catalog import file_catalog
-from forecourt.sources.tables import point_lookup, table_scan
+from forecourt.sources.tables import jdbc_scan, point_lookup, table_scan
 
 
 def put(path, data):
@@ -153,6 +153,25 @@ def test_failed_replace_keeps_the_old_rows(spark, name):
     assert spark.table(name).count() == 3
 
 
+def test_database_options(spark, monkeypatch):
+    """No database is started here: only what is handed to Spark's writer and reader."""
+    seen = []
+    monkeypatch.setattr(DataFrameWriter, "jdbc", lambda self, url, table, mode: seen.append((url, table, mode)))
+    options = []
+    original = DataFrameWriter.option
+    monkeypatch.setattr(
+        DataFrameWriter, "option", lambda self, k, v: (options.append((k, v)), original(self, k, v))[1]
+    )
+    tables.append_jdbc(spark.range(1), "jdbc:x", "t")
+    tables.replace_jdbc(spark.range(1), "jdbc:x", "t", batch=7)
+    assert seen == [("jdbc:x", "t", "append"), ("jdbc:x", "t", "overwrite")]
+    assert options == [("batchsize", 1000), ("truncate", True), ("batchsize", 7)]
+    asked = {}
+    monkeypatch.setattr(DataFrameReader, "jdbc", lambda self, url, table, **k: asked.update(k))
+    jdbc_scan(spark, "jdbc:x", "t", "id", 1, 100, 8)
+    assert asked == {"column": "id", "lowerBound": 1, "upperBound": 100, "numPartitions": 8}
+
+
 def test_point_lookup(spark):
     df = spark.range(10)
     assert values(point_lookup(df, "id", 1)) == [(1,)]

@@ -101,7 +101,10 @@ def test_intake_limits():
 
 
 def test_outcomes(spark):
-    tasks = spark.sql("SELECT * FROM VALUES (1, 'a', 10), (2, 'b', 10), (3, 'c', 10), (4, 'd', 10) AS t(task_id, file_name, deadline)")
+    tasks = spark.sql(
+        "SELECT *, CASE WHEN task_id = 3 THEN 'ws://h:7/x' END AS address FROM VALUES (1, 'a', 10), (2, 'b', 10), "
+        "(3, 'c', 10), (4, 'd', 10) AS t(task_id, file_name, deadline)"
+    )
     records = spark.sql(
         "SELECT * FROM VALUES ('a', 5L, 1L, 9, true), ('b', 5L, 1L, 9, false), ('c', 5L, 1L, 11, true) "
         "AS t(file_name, file_size, data_count, receive_time, upload_success)"
@@ -110,6 +113,6 @@ def test_outcomes(spark):
     assert got == [
         (1, "a", "success", 1, 5, None),
         (2, "b", "error", 1, None, intake.UPLOAD_FAILED),
-        (3, "c", "error", None, None, intake.TIMED_OUT),
-        (4, "d", "error", None, None, intake.TIMED_OUT),
+        (3, "c", "error", None, None, intake.TIMED_OUT % ("h", 7, 9999)),
+        (4, "d", "error", None, None, intake.TIMED_OUT % ("127.0.0.1", 9999, 9999)),
     ]
