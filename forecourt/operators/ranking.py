@@ -39,7 +39,8 @@ def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 
 def numbered_top(df: DataFrame, order: Sequence[Column], n: int, name: str) -> DataFrame:
     """Top ``n`` with 1-based numbers; the window sees at most ``n`` rows."""
-    return top_rows(df, order, n).withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    place = F.row_number().over(Window.orderBy(*order)).cast("bigint")
+    return top_rows(df, order, n).withColumn(name, place)
 
 
 def last_per_key(

@@ -12,13 +12,29 @@ from forecourt.sinks import files as sinks
 from forecourt.sources import files as sources
 
 
+def _charset(spark: SparkSession, path: str, charset: str | None) -> str:
+    """The given charset, else the detected one of a CSV (a pass over the file)."""
+    if charset:
+        return charset
+    return sources.charset_of(spark, path) if sources.file_kind(path) == "csv" else "UTF-8"
+
+
 def deduplicate_file(
-    spark: SparkSession, path: str, fields: str, folder: str, single_file: bool = False, infer: bool = False
+    spark: SparkSession,
+    path: str,
+    fields: str,
+    folder: str,
+    single_file: bool = False,
+    infer: bool = False,
+    charset: str | None = None,
 ) -> str:
-    """Write ``deduplicated_<name>`` of a CSV (by column names) or TXT (by positions)."""
+    """Write ``deduplicated_<name>`` of a CSV (by column names) or TXT (by positions).
+
+    Name the charset where it is known: detecting it reads the whole file once more.
+    """
     kind = sources.file_kind(path)
     out = sinks.dedup_path(folder, path)
-    charset = sources.charset_of(spark, path) if kind == "csv" else "UTF-8"
+    charset = _charset(spark, path, charset)
     df = sources.read_by_extension(spark, path, charset=charset, infer=infer)
     if kind == "csv":
         sinks.write_csv(dedup.dedup_columns(df, fields), out, single_file)
@@ -42,15 +58,16 @@ def field_columns(df: DataFrame, fields: str, kind: str):
     }
 
 
-def count_file_words(spark: SparkSession, paths: Sequence[str], fields: str, out: str | None = None) -> DataFrame:
+def count_file_words(
+    spark: SparkSession, paths: Sequence[str], fields: str, out: str | None = None, charset: str | None = None
+) -> DataFrame:
     """Word frequency of chosen fields over all files (of one kind); optionally written."""
     if not paths:
         raise ValueError("no files given")
     values = []
     for path in paths:
         kind = sources.file_kind(path)
-        charset = sources.charset_of(spark, path) if kind == "csv" else "UTF-8"
-        df = sources.read_by_extension(spark, path, charset=charset)
+        df = sources.read_by_extension(spark, path, charset=_charset(spark, path, charset))
         values.append(words.field_values(df, field_columns(df, fields, kind)))
     freq = words.count_field_words(reduce(DataFrame.unionByName, values))
     if out:

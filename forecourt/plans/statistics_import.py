@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from forecourt.operators import stats
-from forecourt.operators.ranking import number_rows
+from forecourt.operators.ranking import numbered_top
 from forecourt.sinks.tables import BACKUP_TABLE, TARGET_TABLE, replace_table, restore, snapshot_once
 from forecourt.sources.files import read_text_csv
+from forecourt.workspace import stored
 
 
 def import_statistics(
@@ -29,18 +30,22 @@ def import_statistics(
     df = read_text_csv(spark, path)
     column, fallback = stats.count_column(df, field)
     top = stats.drop_blank_names(stats.top_counts_with_total(df, column, top_n))
-    # At most top_n rows: kept so that the file is not counted again by every reader.
-    items = top.select(
-        "name",
-        "value",
-        "source_rows",
-        F.lit(column).alias("field"),
-        F.lit(fallback).alias("fallback_field"),
-    ).cache()
+    # Kept, so that the file is not counted again by every reader of the few rows.
+    items = stored(
+        top.select(
+            "name",
+            "value",
+            "source_rows",
+            F.lit(column).alias("field"),
+            F.lit(fallback).alias("fallback_field"),
+        ),
+        "statistics",
+    )
     if items.isEmpty():
         raise ValueError("nothing to store: the statistics are empty")
     snapshot_once(spark, target, backup)
-    rows = number_rows(items, [F.col("value").desc(), F.col("name")], "id")
+    order = [F.col("value").desc(), F.col("name")]
+    rows = numbered_top(items, order, stats.effective_top_n(top_n), "id")
     replace_table(rows.select("id", F.col("name").alias("brand_name"), F.col("value").alias("sales")), target)
     return items
 

@@ -163,13 +163,13 @@ def t5_listing(spark, sf_dir):
 
 
 @query(
-    "f12_folder_sizes",
+    "f12_safe_keys",
     f"""WITH {FILE_ROWS} SELECT regexp_replace(path, '[^a-zA-Z0-9]', '_', 'g') AS label,
               replace(path, '.', '_') AS underscored, regexp_replace(path, '[^0-9A-Za-z]', '', 'g') AS task_id,
               'dedup_' || regexp_replace(name, '[^a-zA-Z0-9]', '_', 'g') || '_' || CAST(size AS VARCHAR) || '.csv'
               AS result_name FROM files""",
 )
-def f12_folder_sizes(spark, sf_dir):
+def f12_safe_keys(spark, sf_dir):
     path = F.col("path")
     return _catalog(spark, sf_dir).select(
         names.safe_label(path).alias("label"),

@@ -160,11 +160,11 @@ def f20_decoded_names(spark, sf_dir):
 
 
 @query(
-    "number_coercion",
+    "f22_number_coercion",
     """SELECT event_id, CASE event_id % 4 WHEN 0 THEN user_id ELSE 0 END AS whole,
               CASE event_id % 4 WHEN 0 THEN user_id WHEN 1 THEN value ELSE 0 END::DOUBLE AS number FROM events""",
 )
-def number_coercion(spark, sf_dir):
+def f22_number_coercion(spark, sf_dir):
     event = F.col("event_id")
     shown = (
         F.when(event % 4 == 0, F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit(" ")))
