@@ -75,6 +75,20 @@ def without_orphan_head(messages: DataFrame, n: int = RESTORED_MESSAGES) -> Data
     )
 
 
+def replayable(messages: DataFrame, n: int = RESTORED_MESSAGES) -> DataFrame:
+    """A restored session as it is sent again: no orphan head, no NULL texts, valid calls.
+
+    Stored calls that are blank or not JSON are left out; the message itself stays.
+    """
+    valid = _has_calls() & F.try_parse_json(F.col("tool_calls")).isNotNull()
+    return without_orphan_head(messages, n).withColumns(
+        {
+            "content": F.coalesce("content", F.lit("")),
+            "tool_calls": F.when(valid, F.col("tool_calls")),
+        }
+    )
+
+
 def assembled_calls(fragments: DataFrame) -> DataFrame:
     """Tool calls from streamed pieces ``(call_group, call_index, seq, id, name, fragment)``.
 

@@ -20,6 +20,20 @@ def a14_share(spark, sf_dir):
     return stats.share_of_total(counts.agg(F.count("*").alias("value")), "value")
 
 
+@query(
+    "a14_slice_percentages",
+    """WITH slices AS (SELECT s_suppkey AS name, CAST(s_acctbal * 100 AS BIGINT) AS value FROM supplier),
+       cut AS (SELECT *, value / sum(value) OVER () * 100 * 100 AS share FROM slices),
+       placed AS (SELECT *, row_number() OVER (ORDER BY share - floor(share) DESC, name) AS n,
+                         10000 - sum(floor(share)) OVER () AS missing FROM cut)
+       SELECT name, value, (floor(share) + CASE WHEN n <= missing THEN 1 ELSE 0 END) / 100 AS percent FROM placed""",
+)
+def a14_slice_percentages(spark, sf_dir):
+    balance = F.round(F.col("s_acctbal") * 100).cast("bigint")
+    slices = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"), balance.alias("value"))
+    return stats.slice_percentages(slices, "name", "value", [F.col("name")])
+
+
 @query(
     "p6_name_value",
     "SELECT p_name AS name, p_retailprice AS value FROM part",

@@ -80,6 +80,28 @@ def w6_orphan_head_3(spark, sf_dir):
     return conversations.without_orphan_head(views.chat(spark, sf_dir), 3)
 
 
+@query(
+    "f18_replayed_messages",
+    f"""WITH {CHAT}, damaged AS (
+          SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN left(tool_calls, length(tool_calls) - 1) ELSE tool_calls END AS tool_calls,
+                            CASE WHEN id % 4 = 0 THEN NULL ELSE content END AS content) FROM chat),
+        last AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS back FROM damaged QUALIFY back <= 40),
+        starts AS (SELECT session_id, min(id) AS first_id FROM last WHERE NOT {ORPHAN} GROUP BY 1)
+        SELECT session_id, id, role, coalesce(content, '') AS content,
+               CASE WHEN json_valid(tool_calls) THEN tool_calls END AS tool_calls
+        FROM last JOIN starts USING (session_id) WHERE id >= first_id""",
+)
+def f18_replayed_messages(spark, sf_dir):
+    calls, message = F.col("tool_calls"), F.col("id")
+    damaged = views.chat(spark, sf_dir).withColumns(
+        {
+            "tool_calls": F.when(message % 3 == 0, F.expr("left(tool_calls, length(tool_calls) - 1)")).otherwise(calls),
+            "content": F.when(message % 4 != 0, F.col("content")),
+        }
+    )
+    return conversations.replayable(damaged)
+
+
 CALLS = f"""{CALL_FRAGMENTS}, calls AS (
   SELECT call_group, call_index, string_agg(fragment, '' ORDER BY seq) AS arguments,
          coalesce(arg_max(id, seq) FILTER (WHERE id IS NOT NULL), 'call_' || CAST(call_index AS VARCHAR)) AS id,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from forecourt import schemas
 from forecourt.operators import dedup, words
 from forecourt.plans import cleaning, statistics_import
 from forecourt.sinks import files as sinks
@@ -288,7 +289,7 @@ def k3_word_frequency_csv(spark, sf_dir):
     out = f"{fresh_dir(spark, 'k3')}/word_freq.csv"
     cleaning.count_file_words(spark, [path], "props,event_type", out)
     reader = spark.read.option("header", True).option("escape", '"')
-    return reader.schema("`字段` STRING, `词` STRING, `频率` LONG").csv(out)
+    return reader.schema(schemas.WORD_FREQUENCY).csv(out)
 
 
 @query(

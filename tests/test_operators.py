@@ -207,6 +207,25 @@ def test_plan_lines(facts):
     assert [r["text"] for r in sales_report.plan_lines(facts, "1999").collect()] == ["未找到 1999 的销售数据"]
 
 
+def test_slice_percentages_add_up(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "n STRING, v INT")
+    got = values(stats.slice_percentages(df, "n", "v", [F.col("n")]), "n", "percent")
+    assert got == [("a", 33.34), ("b", 33.33), ("c", 33.33)]
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(1, 1000)) for i in range(300)]
+    df = spark.createDataFrame(rows, "n INT, v INT")
+    got = values(stats.slice_percentages(df, "n", "v", [F.col("n")]), "percent")
+    assert round(sum(p for p, in got), 6) == 100 and len(got) == 300
+    zero = spark.createDataFrame([("a", 0), ("b", 0)], "n STRING, v INT")
+    assert values(stats.slice_percentages(zero, "n", "v", [F.col("n")]), "percent") == [(0.0,), (0.0,)]
+
+
+def test_replayed_messages(spark):
+    df = messages(spark, [("tool", "", None), ("user", None, ""), ("assistant", "x", "[1]"), ("assistant", "y", "[1")])
+    got = values(conversations.replayable(df), "id", "content", "tool_calls")
+    assert got == [(1, "", None), (2, "x", "[1]"), (3, "y", None)]
+
+
 def test_geo(spark):
     places = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0)], "name STRING, lon DOUBLE, lat DOUBLE")
     points = spark.createDataFrame([("a", 5), ("b", 9), ("c", 7)], "name STRING, value INT")
