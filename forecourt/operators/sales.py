@@ -146,7 +146,8 @@ def target_sales(volume: Column, trend: Column) -> Column:
         return c.cast("float")
 
     factor = as_float(F.lit(1).cast("float") + as_float(as_float(trend) / F.lit(100).cast("float")))
-    return as_float(as_float(volume) * factor).cast("bigint")
+    grown = as_float(as_float(volume) * factor)
+    return F.coalesce(grown.try_cast("bigint"), F.lit(0).cast("bigint"))  # NaN gives 0
 
 
 def sales_plan(df: DataFrame) -> DataFrame:

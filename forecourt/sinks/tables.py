@@ -17,7 +17,8 @@ def replace_table(df: DataFrame, name: str, location: str | None = None) -> None
     """Replace a table's contents in one step.
 
     The rows go to a new folder first; then the name, a catalog view, is pointed at it.
-    Readers see the old rows or the new ones, and a failed write changes nothing.
+    Readers see the old rows or the new ones, and a failed write changes nothing.  Older
+    folders stay for readers that still use them.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, name) if location is None else location

@@ -144,23 +144,28 @@ def detect_charsets(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
     newline byte inside a longer character.)  The reader drops a UTF-8 byte order mark,
     which shows as bytes missing from the sum of line lengths; a marked file is UTF-8.
     """
-    lines = _raw_lines(spark, paths)
-    ascii_only = ~F.col("value").rlike(r"[^\x00-\x7F]")
+    lines = _raw_lines(spark, paths).select(
+        "path",
+        "file_size",
+        "value",
+        (F.octet_length("value") + 1).cast("bigint").alias("n_bytes"),
+        (~F.col("value").rlike(r"[^\x00-\x7F]")).alias("plain"),
+        _fits(CHARSETS[0]).alias("ok0"),
+    )
     with _java_charsets(spark):
-        judged = lines.select(
-            "path",
-            "file_size",
-            (F.octet_length("value") + 1).cast("bigint").alias("n_bytes"),
-            *[
-                F.when(ascii_only, _fits("UTF-8")).otherwise(_fits(c)).alias(f"ok{i}")
-                for i, c in enumerate(CHARSETS)
-            ],
+        # All candidates agree on plain ASCII, so only other lines are decoded again.
+        judged = lines.withColumns(
+            {
+                f"ok{i}": F.when(F.col("plain"), F.col("ok0")).otherwise(_fits(c))
+                for i, c in enumerate(CHARSETS[1:], start=1)
+            }
         )
     per_file = judged.groupBy("path", "file_size").agg(
         F.sum("n_bytes").alias("n_bytes"),
         *[F.bool_and(f"ok{i}").alias(f"ok{i}") for i in range(len(CHARSETS))],
     )
-    chosen = F.when(F.col("file_size") - F.col("n_bytes") >= 2, F.lit(CHARSETS[0]))
+    missing = F.col("file_size") - F.col("n_bytes")  # 3, or 2 without a last newline
+    chosen = F.when(missing.isin(2, 3), F.lit(CHARSETS[0]))
     for i, charset in enumerate(CHARSETS):
         chosen = chosen.when(F.col(f"ok{i}"), F.lit(charset))
     return per_file.select("path", chosen.otherwise(F.lit(CHARSETS[0])).alias("charset"))

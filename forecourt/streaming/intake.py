@@ -8,7 +8,7 @@ it is retried.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from forecourt.functions import names
 from forecourt.operators.dedup import first_per_key
@@ -41,15 +41,15 @@ def dropped_rows(spark: SparkSession, landing: str, schema: str, max_files: int
     return reader.csv(landing).withColumn("source_file", F.col("_metadata.file_name"))
 
 
-def land(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append everything that has arrived to Parquet, exactly once, then stop."""
-    return (
-        rows.writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .outputMode("append")
-        .start(out)
-    )
+def triggered(writer: DataStreamWriter, every: str | None) -> DataStreamWriter:
+    """Take what has arrived and stop, or go on in steps such as ``10 seconds``."""
+    return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+
+
+def land(rows: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append everything that arrives to Parquet, exactly once."""
+    writer = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+    return triggered(writer.outputMode("append"), every).start(out)
 
 
 def dropped_lines(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
@@ -84,18 +84,16 @@ def file_records(lines: DataFrame) -> DataFrame:
     )
 
 
-def keep_ledger(lines: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
-    """Add the records of newly arrived files to the ledger table, then stop."""
+def keep_ledger(
+    lines: DataFrame, ledger: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Add the records of newly arrived files to the ledger table."""
 
     def add(batch: DataFrame, batch_id: int) -> None:
         file_records(batch).write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
 
-    return (
-        lines.writeStream.foreachBatch(add)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return triggered(writer, every).start()
 
 
 def current_records(ledger: DataFrame) -> DataFrame:

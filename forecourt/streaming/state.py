@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from forecourt.operators.ranking import number_rows
+from forecourt.streaming.intake import triggered
 
 
 def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -25,19 +26,16 @@ def running_sums(rows: DataFrame, key: str, value: Column, name: str = "value")
     return rows.groupBy(key).agg(F.sum(value).alias(name))
 
 
-def write_updates(changed: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write the rows each batch changed under ``batch_id=<n>``, then stop."""
+def write_updates(
+    changed: DataFrame, out: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Write the rows each batch changed under ``batch_id=<n>``."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    return (
-        changed.writeStream.foreachBatch(save)
-        .outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = changed.writeStream.foreachBatch(save).outputMode("update")
+    return triggered(writer.option("checkpointLocation", checkpoint), every).start()
 
 
 def current_state(updates: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -143,7 +143,15 @@ def test_bad_periods_are_errors(facts, period):
 
 
 def test_sales_order_has_null_models_first(facts):
-    assert [r["model"] for r in sales.in_period(facts, "2025").unionByName(facts.filter("model IS NULL")).orderBy(F.col("model").asc_nulls_first()).collect()][0] is None
+    moved = facts.withColumn("sale_date", F.lit(datetime.date(2025, 5, 1)))
+    assert [r["model"] for r in sales.sales_of(moved, "2025").collect()] == [None, "A", "A", "B"]
+
+
+def test_trend_that_is_no_number(spark):
+    df = spark.createDataFrame([("A", 5, "NaN")], "model STRING, sales_volume INT, market_trend STRING")
+    plan = sales.sales_plan(df.withColumns({c: F.lit(None).cast("string") for c in ("inventory", "customer_type", "region")}))
+    assert plan.first()["target_sales"] == 0
+    assert sales.by_model(df.withColumn("inventory", F.lit(0))).first()["avg_trend"] == 0.0
 
 
 def test_plan_pins(facts):
@@ -179,7 +187,8 @@ def test_by_model_and_totals(facts):
     assert values(sales.totals(facts)) == [(751, 42, 4, 3)]
     assert values(sales.totals(facts.limit(0))) == [(0, 0, 0, 0)]
     assert values(sales.coverage(facts)) == [("X、北京、成都", "?、个人、政府")]
-    assert values(sales.coverage(facts.filter("region IS NULL").withColumn("customer_type", F.lit(None).cast("string")))) == [("无", "无")]
+    nothing = facts.withColumns({c: F.lit(None).cast("string") for c in ("region", "customer_type")})
+    assert values(sales.coverage(nothing)) == [("无", "无")]
 
 
 def test_text_measures_are_coerced(spark):

@@ -92,6 +92,19 @@ def test_latest_per_device_and_running_totals(spark, tmp_path):
     assert values(ranked, "rank", "device", "value") == [(1, "c", 9), (2, "b", 7), (3, "a", 6)]
 
 
+def test_landing_in_steps(spark, tmp_path):
+    zone, out, checkpoint = (str(tmp_path / d) for d in ("zone", "out", "cp"))
+    drop(zone, "f1.csv", FIRST)
+    running = intake.land(intake.dropped_rows(spark, zone, SCHEMA), out, checkpoint, every="1 second")
+    try:
+        running.processAllAvailable()
+        drop(zone, "f2.csv", SECOND)
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    assert values(spark.read.parquet(out).select("id", "device", "v")) == FIRST + SECOND
+
+
 def test_intake_limits():
     assert intake.intake_limits(5, 5) == (5, 5)
     assert intake.intake_limits(100, 0) == (60, 5)
