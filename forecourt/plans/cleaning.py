@@ -12,11 +12,18 @@ from forecourt.sinks import files as sinks
 from forecourt.sources import files as sources
 
 
-def _charset(spark: SparkSession, path: str, charset: str | None) -> str:
-    """The given charset, else the detected one of a CSV (a pass over the file)."""
-    if charset:
-        return charset
-    return sources.charset_of(spark, path) if sources.file_kind(path) == "csv" else "UTF-8"
+def _read(
+    spark: SparkSession, path: str, charset: str | None, schema: str | None, infer: bool
+) -> DataFrame:
+    """A file as the cleaning tasks see it.
+
+    Values are compared and printed by their types (``1.50`` is 1.5), which are inferred
+    unless a schema is given.  Finding the charset and the types of a CSV takes a pass over
+    the file each; name both where they are known.
+    """
+    if charset is None:
+        charset = sources.charset_of(spark, path) if sources.file_kind(path) == "csv" else "UTF-8"
+    return sources.read_by_extension(spark, path, charset=charset, infer=infer, schema=schema)
 
 
 def deduplicate_file(
@@ -25,18 +32,14 @@ def deduplicate_file(
     fields: str,
     folder: str,
     single_file: bool = False,
-    infer: bool = False,
     charset: str | None = None,
+    schema: str | None = None,
+    infer: bool = True,
 ) -> str:
-    """Write ``deduplicated_<name>`` of a CSV (by column names) or TXT (by positions).
-
-    Name the charset where it is known: detecting it reads the whole file once more.
-    """
-    kind = sources.file_kind(path)
+    """Write ``deduplicated_<name>`` of a CSV (by column names) or TXT (by positions)."""
     out = sinks.dedup_path(folder, path)
-    charset = _charset(spark, path, charset)
-    df = sources.read_by_extension(spark, path, charset=charset, infer=infer)
-    if kind == "csv":
+    df = _read(spark, path, charset, schema, infer)
+    if sources.file_kind(path) == "csv":
         sinks.write_csv(dedup.dedup_columns(df, fields), out, single_file)
     else:
         sinks.write_lines(dedup.dedup_lines(df, fields), out, single_file)
@@ -59,16 +62,21 @@ def field_columns(df: DataFrame, fields: str, kind: str):
 
 
 def count_file_words(
-    spark: SparkSession, paths: Sequence[str], fields: str, out: str | None = None, charset: str | None = None
+    spark: SparkSession,
+    paths: Sequence[str],
+    fields: str,
+    out: str | None = None,
+    charset: str | None = None,
+    schema: str | None = None,
+    infer: bool = True,
 ) -> DataFrame:
     """Word frequency of chosen fields over all files (of one kind); optionally written."""
     if not paths:
         raise ValueError("no files given")
     values = []
     for path in paths:
-        kind = sources.file_kind(path)
-        df = sources.read_by_extension(spark, path, charset=_charset(spark, path, charset))
-        values.append(words.field_values(df, field_columns(df, fields, kind)))
+        df = _read(spark, path, charset, schema, infer)
+        values.append(words.field_values(df, field_columns(df, fields, sources.file_kind(path))))
     freq = words.count_field_words(reduce(DataFrame.unionByName, values))
     if out:
         sinks.write_word_frequency(freq, out)

@@ -91,11 +91,13 @@ def file_kind(path: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def read_by_extension(spark: SparkSession, path: str, charset: str = "UTF-8", infer: bool = False) -> DataFrame:
+def read_by_extension(
+    spark: SparkSession, path: str, charset: str = "UTF-8", infer: bool = False, schema: str | None = None
+) -> DataFrame:
     """``.csv`` as headered table, ``.txt`` as lines; other extensions are an error."""
     kind = file_kind(path)
     if kind == "csv":
-        return read_csv(spark, path, charset=charset, infer=infer)
+        return read_csv(spark, path, schema=schema, charset=charset, infer=infer)
     if kind == "txt":
         return read_lines(spark, path)
     raise ValueError(f"unsupported file format: {kind or path}")

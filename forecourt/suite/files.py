@@ -237,8 +237,9 @@ def k5_statistics_import(spark, sf_dir):
 def k1_deduplicated_csv(spark, sf_dir):
     path = f"{fresh_dir(spark, 'k1')}/pairs.csv"
     sinks.write_csv(table(spark, sf_dir, "events").select("user_id", "event_type"), path)
-    out = cleaning.deduplicate_file(spark, path, dedup.ALL_FIELDS, fresh_dir(spark, "k1-out"))
-    return sources.read_csv(spark, out, schema="user_id LONG, event_type STRING")
+    schema = "user_id LONG, event_type STRING"
+    out = cleaning.deduplicate_file(spark, path, dedup.ALL_FIELDS, fresh_dir(spark, "k1-out"), schema=schema)
+    return sources.read_csv(spark, out, schema=schema)
 
 
 @query(

@@ -53,6 +53,8 @@ def i1_landed_rows(spark, sf_dir):
 @query("i4_paced_rows", "SELECT event_id, user_id, ts, props FROM events")
 def i4_paced_rows(spark, sf_dir):
     _, pace = intake.intake_limits(5, 1000)
+    # At least a few files per task slot, so that a batch keeps a large cluster busy.
+    pace = max(pace, 4 * spark.sparkContext.defaultParallelism)
     rows = intake.dropped_rows(spark, landing(spark, sf_dir), ROWS, max_files=pace)
     out = fresh_dir(spark, "paced")
     intake.land(rows, out, fresh_dir(spark, "paced-checkpoint")).awaitTermination()

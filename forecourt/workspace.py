@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,7 +36,7 @@ def landed_once(spark: SparkSession, label: str, write) -> str:
     """Path written by ``write(path)``, once per application and label."""
     key = (spark.sparkContext.applicationId, label)
     if key not in _landed:
-        path = fresh_dir(spark, label.strip("/").replace("/", "_"))
+        path = fresh_dir(spark, re.sub(r"[^A-Za-z0-9.]+", "_", label))
         write(path)
         _landed[key] = path
     return _landed[key]

@@ -6,6 +6,7 @@ import pytest
 from conftest import values
 from pyspark.sql import DataFrameReader, DataFrameWriter, functions as F
 
+from forecourt.operators import dedup
 from forecourt.plans import cleaning, statistics_import
 from forecourt.sinks import files as sinks
 from forecourt.sinks import tables
@@ -209,6 +210,17 @@ def test_deduplicate_files(spark, tmp_path):
         cleaning.deduplicate_files(spark, [], "k", out)
 
 
+def test_values_are_cleaned_by_type(spark, tmp_path):
+    path = put(f"{tmp_path}/in/t.csv", "k,v\n1.50,a\n1.5,a\n02,b\n")
+    typed = cleaning.deduplicate_file(spark, path, dedup.ALL_FIELDS, f"{tmp_path}/typed")
+    assert values(sources.read_csv(spark, typed)) == [("1.5", "a"), ("2.0", "b")]
+    texts = cleaning.deduplicate_file(spark, path, dedup.ALL_FIELDS, f"{tmp_path}/texts", infer=False)
+    assert values(sources.read_csv(spark, texts)) == [("02", "b"), ("1.5", "a"), ("1.50", "a")]
+    given = cleaning.deduplicate_file(spark, path, "v", f"{tmp_path}/given", charset="UTF-8", schema="k DOUBLE, v STRING")
+    assert values(sources.read_csv(spark, given)) == [("1.5", "a"), ("2.0", "b")]
+    assert values(cleaning.count_file_words(spark, [path], "k")) == [("k", "1.5", 2), ("k", "2.0", 1)]
+
+
 def test_words_of_all_files(spark, tmp_path):
     one = put(f"{tmp_path}/a.csv", "s,t\nx y,1\n")
     two = put(f"{tmp_path}/b.csv", "t,s\n1,y\n")
