@@ -38,7 +38,8 @@ def _count_tokens(df: DataFrame, tokens: Column, kept: Column | None = None) ->
 
 def token_count(lines: DataFrame, column: str = "value") -> DataFrame:
     """Whitespace tokens of whole lines, no empty tokens."""
-    return _count_tokens(lines, text.plain_tokens(F.col(column)), F.col("word") != "")
+    # Empty parts are dropped as rows: that filter is compiled, one on arrays is not.
+    return _count_tokens(lines, text.blank_separated(F.col(column)), F.col("word") != "")
 
 
 def space_token_count(lines: DataFrame, column: str = "value") -> DataFrame:
