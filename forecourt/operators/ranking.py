@@ -49,7 +49,8 @@ def last_per_key(
     """First ``n`` rows of each key in ``order``, numbered from 1.
 
     Spark cuts each key to ``n`` rows in every task before the shuffle, so one hot key
-    sends at most ``n`` rows per task.
+    sends at most ``n`` rows per task (for ``n`` up to the session setting
+    ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default).
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)

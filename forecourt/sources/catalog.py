@@ -12,7 +12,9 @@ from forecourt.functions import names
 def file_catalog(spark: SparkSession, folders: str | Sequence[str]) -> DataFrame:
     """Files directly in the folders (a list, or one comma-separated text).
 
-    Only paths, lengths and times are read; file contents are pruned from the scan.
+    Only paths, lengths and times are read; file contents are pruned from the scan.  Like
+    all of Spark's file sources it passes over empty files and names that begin with ``_``
+    or ``.``.
     """
     if isinstance(folders, str):
         folders = [f.strip() for f in folders.split(",") if f.strip()]
