@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forecourt.llm import simhash
+from forecourt.llm import line_dedup, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,3 +28,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select(F.col("_doc").alias("doc_id"), digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return quality.verdicts(read(spark, sf_dir, "documents")).drop("source")
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that repeats an earlier one, exactly or within one word."""
+    found = line_dedup.duplicates(read(spark, sf_dir, "documents"))
+    return found.select(F.col("_doc").alias("doc_id"), "line", "first_doc", "first_line", "edits")
