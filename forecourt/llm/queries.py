@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forecourt.llm import line_dedup, quality, simhash
+from forecourt.llm import line_dedup, packing, quality, simhash, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,3 +42,23 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that repeats an earlier one, exactly or within one word."""
     found = line_dedup.duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("_doc").alias("doc_id"), "line", "first_doc", "first_line", "edits")
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that occurs more than once, with its first occurrence."""
+    found = suffix_dedup.passages(read(spark, sf_dir, "documents"))
+    return found.select(F.col("_doc").alias("doc_id"), "start", "words", "original")
+
+
+def vocabulary(name: str) -> str:
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens."""
+    return packing.pack_documents(
+        read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    )
