@@ -1,32 +1,66 @@
-"""The cleaning of a text corpus, from raw documents to packed sequences."""
+"""The cleaning of a text corpus, from raw documents to packed sequences.
+
+Each stage reads what the one before has written and returns the columns of documents, but
+for the last, which returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from forecourt.llm import simhash
+from forecourt.llm import line_dedup, packing, quality, simhash, suffix_dedup
 from forecourt.workspace import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: The tokenizer file whose vocabulary the packed sequences use.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or their host's record reject go."""
+    return quality.filtered(docs)
+
+
+def duplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one go; so do documents of which nothing is left."""
+    return line_dedup.deduplicated(docs, n_chars="n_chars")
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return simhash.keep_one(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of passages of 50 words or more are cut out."""
+    return suffix_dedup.without_copies(docs, n_chars="n_chars")
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rest, tokenised and packed."""
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
+        vocabulary = file.read()
+    return packing.pack_documents(docs, vocabulary, public_tokenizers.PATTERN)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("simhash near-dedup", near_duplicates),
+    ("quality rules", quality_rules),
+    ("line dedup", duplicate_lines),
+    ("SimHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("best-fit packing", packed_sequences),
 ]
 
-#: Packing into token sequences has no SQL; the stages are tested against brute force.
+#: SQL cannot say how bins are filled; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each on what the one before has written to the shared folder."""
+    """All stages on ``documents``, each on what the one before has written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))

@@ -57,6 +57,15 @@ def _covered(hashes: Column, window: int) -> Column:
     return F.get(F.transform(F.array(ordered), from_sorted), F.lit(0))
 
 
+def evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with more columns, each computed once per row.
+
+    A filter or projection above would otherwise be merged with the expressions and repeat
+    them wherever it names them; a generator of one row keeps them apart.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def measured(docs: DataFrame, text: str = "text", host: str = "source") -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with its measures and rule verdicts; also the names they have got.
 
@@ -66,30 +75,32 @@ def measured(docs: DataFrame, text: str = "text", host: str = "source") -> tuple
     at = {n: free_name(docs, n) for n in [*MEASURES, "base_failed", "doubtful", "host", "_words", "_lines", "_windows"]}
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^ \t-\r]"))
-    cut = docs.withColumns({at["_words"]: words(body), at["_lines"]: lines})
-    hashed = cut.withColumn(at["_windows"], _repeated_words(F.col(at["_words"]), WINDOW))
+    cut = evaluated(docs, {at["_words"]: words(body), at["_lines"]: lines})
+    hashed = evaluated(cut, {at["_windows"]: _repeated_words(F.col(at["_words"]), WINDOW)})
     windows = F.col(at["_windows"])
     repeats = F.size(F.array_distinct(windows)) < F.size(windows)
-    found = hashed.withColumns(
+    n_lines = free_name(docs, "_n_lines")
+    found = evaluated(
+        hashed,
         {
             at["n_words"]: F.size(at["_words"]).cast("bigint"),
             at["word_chars"]: F.length(F.array_join(at["_words"], "")).cast("bigint"),
             at["n_symbols"]: F.regexp_count(body, F.lit(SYMBOLS)).cast("bigint"),
             at["n_dup_lines"]: (F.size(at["_lines"]) - F.size(F.array_distinct(at["_lines"]))).cast("bigint"),
             at["n_repeat_words"]: F.when(repeats, _covered(windows, WINDOW)).otherwise(F.lit(0)).cast("bigint"),
-            free_name(docs, "_n_lines"): F.size(at["_lines"]),
-        }
+            n_lines: F.size(at["_lines"]),
+        },
     )
     n, chars = F.col(at["n_words"]), F.col(at["word_chars"])
     mean = chars / n
     doubtful = (
         (F.col(at["n_symbols"]) > MAX_SYMBOL_SHARE * chars)
-        | (F.col(at["n_dup_lines"]) > MAX_DUP_LINE_SHARE * F.col(free_name(docs, "_n_lines")))
+        | (F.col(at["n_dup_lines"]) > MAX_DUP_LINE_SHARE * F.col(n_lines))
         | (n > 0) & ((mean < WORD_LENGTHS[0]) | (mean > WORD_LENGTHS[1]))
     )
     base = (n < MIN_WORDS) | (100 * F.col(at["n_repeat_words"]) > MAX_REPEAT_PERCENT * n)
     found = found.withColumns({at["base_failed"]: base, at["host"]: F.col(host)}).withColumn(at["doubtful"], doubtful)
-    return found.drop(at["_words"], at["_lines"], at["_windows"], free_name(docs, "_n_lines")), at
+    return found.drop(at["_words"], at["_lines"], at["_windows"], n_lines), at
 
 
 def host_rates(found: DataFrame, at: dict[str, str]) -> DataFrame:
