@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forecourt.llm import bpe, embedding_dedup, line_dedup, packing, quality, sharding, simhash, suffix_dedup
+from forecourt.llm import bpe, embedding_dedup, html_extract, line_dedup, packing, quality, sharding, simhash, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,3 +81,9 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and verdict of every vector."""
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(read(spark, sf_dir, "pages"))
