@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forecourt.llm import bpe, embedding_dedup, html_extract, line_dedup, packing, quality, sharding, simhash, suffix_dedup
+from forecourt.llm import bpe, embedding_dedup, html_extract, line_dedup, lm_score, packing, quality, sharding, simhash, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +87,9 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under word counts and under the network."""
+    return lm_score.scored(read(spark, sf_dir, "documents"))
