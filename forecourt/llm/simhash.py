@@ -160,11 +160,11 @@ def near_duplicates(
     max_bits: int = MAX_BITS,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """``_doc``, ``_hash``, ``fp`` and ``component_id`` of every row of ``docs``.
+    """``_doc``, ``_hash``, ``fp``, ``root`` and ``component_id`` of every row of ``docs``.
 
     Equal fingerprints are one node of the graph, so exact copies cost one row each.
-    ``component_id`` is the smallest number reachable by links, itself included.  NULL and
-    empty texts have fingerprint 0 and link like any other; rows with a NULL number get a
+    ``component_id`` is the smallest number reachable by links, itself included; ``root`` is
+    a fingerprint that tells components apart where rows share a number.  NULL and empty texts have fingerprint 0 and link like any other; rows with a NULL number get a
     row and link others, but name a component only if all its numbers are NULL.  Repeated
     rows all stay.  An empty table gives no rows; other columns are not read.
     """
@@ -174,8 +174,8 @@ def near_duplicates(
     roots = prints.join(link_components(prints.select("fp"), max_bits, cell_rows), "fp")
     roots = stored(roots, "roots")
     smallest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(roots.join(smallest, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("_doc", "_hash", "fp", "component_id")
+    named = stored(roots.join(smallest, "root").select("fp", "root", "component_id"), "named")
+    return rows.join(named, "fp").select("_doc", "_hash", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -186,8 +186,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """
     found = near_duplicates(docs, doc_id, text, **options)
     # One row per component: combined in each task, so a hot component is no hot spot.
-    roots = found.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "_hash")).alias("k"))
-    alone = found.filter(F.col("component_id").isNull()).groupBy("fp").agg(F.min("_hash").alias("_hash"))
-    kept = roots.filter(F.col("component_id").isNotNull()).select(F.col("k._doc").alias("_doc"), F.col("k._hash").alias("_hash"))
-    kept = kept.unionByName(alone.select(F.lit(None).cast("bigint").alias("_doc"), "_hash"))
+    first = F.min(F.struct(F.col("_doc").isNull().alias("last"), "_doc", "_hash")).alias("first")
+    kept = found.groupBy("root").agg(first).select("first._doc", "first._hash")
     return only_keys(docs, stored(kept.distinct(), "kept"), doc_id, text, once=True)
