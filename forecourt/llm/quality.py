@@ -92,11 +92,11 @@ def measured(docs: DataFrame, text: str = "text", host: str = "source") -> tuple
         },
     )
     n, chars = F.col(at["n_words"]), F.col(at["word_chars"])
-    mean = chars / n
     doubtful = (
         (F.col(at["n_symbols"]) > MAX_SYMBOL_SHARE * chars)
         | (F.col(at["n_dup_lines"]) > MAX_DUP_LINE_SHARE * F.col(n_lines))
-        | (n > 0) & ((mean < WORD_LENGTHS[0]) | (mean > WORD_LENGTHS[1]))
+        | (chars < WORD_LENGTHS[0] * n)
+        | (chars > WORD_LENGTHS[1] * n)
     )
     base = (n < MIN_WORDS) | (100 * F.col(at["n_repeat_words"]) > MAX_REPEAT_PERCENT * n)
     found = found.withColumns({at["base_failed"]: base, at["host"]: F.col(host)}).withColumn(at["doubtful"], doubtful)
