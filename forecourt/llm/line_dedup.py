@@ -1,7 +1,7 @@
 """Duplicate lines across documents, exact and within one word's edit.
 
 Built-in expressions only.  A line is what lies between newlines; its words are cut at ASCII
-white space and lower-cased (A-Z).  Two lines match if their words are equal, or if both have
+white space and compared exactly.  Two lines match if their words are equal, or if both have
 ``NEAR_WORDS`` or more and one word inserted, deleted or replaced makes them equal.  A line
 that matches an earlier one (by document number, then text hash, then place) is a duplicate.
 """
@@ -10,17 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from forecourt.llm.text import free_name, joined_by_key, lower_ascii, row_key, words
+from forecourt.llm.text import free_name, joined_by_key, row_key, words
 from forecourt.workspace import stored
 
 #: Shorter lines match exactly only: one word in fewer is no small edit.
 NEAR_WORDS = 10
-#: Words at either end that lines within one edit may share, by the least words of the two.
-ENDS = [(20, 9), (NEAR_WORDS, 4)]
-
-
-def _line_words(line: Column) -> Column:
-    return words(lower_ascii(line))
 
 
 def _order(prefix: str = "") -> Column:
@@ -30,23 +24,23 @@ def _order(prefix: str = "") -> Column:
 
 
 def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_doc``, ``_hash``, ``line`` and per line with words its digest and the hashes of its ends.
+    """``_doc``, ``_hash``, ``line`` and, per line with words, their number ``n`` and two kinds of hashes.
 
-    The text of lines does not leave the task.  Documents that agree in number and text are
-    one document: their lines appear as often but count as one.
+    ``digest`` is that of all words.  ``ends`` are those of either half: of two lines one
+    edit apart, whose shorter (or equal) length is m, one half of m / 2 words at the same end
+    is equal, so a line names its halves for its own length and for one less.  The text of
+    lines does not leave the task.
     """
     cut = docs.select(*row_key(doc_id, text), F.posexplode(F.split(F.col(text), "\n")).alias("line", "value"))
-    cut = cut.select("_doc", "_hash", "line", _line_words(F.col("value")).alias("w")).filter(F.size("w") > 0)
+    cut = cut.select("_doc", "_hash", "line", words(F.col("value")).alias("w")).filter(F.size("w") > 0)
     n = F.size("w")
     ends = []
-    for level, (least, size) in enumerate(ENDS):
-        # A line at the border of two levels pairs with lines of either, so it names both.
-        most = ENDS[level - 1][0] if level else None
-        fits = (n >= least) if most is None else (n >= least) & (n <= most)
-        for side, start in (("head", F.lit(1)), ("tail", n - size + 1)):
-            ends.append(F.when(fits, F.xxhash64(F.lit(f"{side}{size}"), F.slice("w", start, size))))
+    for m in (n, n - 1):
+        half = F.floor(m / 2).cast("int")
+        ends.append(F.xxhash64(F.lit("head"), m, F.slice("w", F.lit(1), half)))
+        ends.append(F.xxhash64(F.lit("tail"), m, F.slice("w", n - half + 1, half)))
     return cut.select(
-        "_doc", "_hash", "line", n.alias("n"), F.xxhash64("w").alias("digest"), F.array_compact(F.array(*ends)).alias("ends")
+        "_doc", "_hash", "line", n.alias("n"), F.xxhash64("w").alias("digest"), F.when(n >= NEAR_WORDS, F.array(*ends)).alias("ends")
     )
 
 
@@ -101,10 +95,10 @@ def variants(lines: DataFrame) -> DataFrame:
 def near_lines(docs: DataFrame, firsts: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``digest`` and ``best`` (an earlier line one edit away) of distinct lines that have one.
 
-    Only lines that share their first or last words with another line can be one edit from
-    it, so only those get variants.  Equal variants meet in aggregates that keep the
-    earliest line, combined in each task: a template with very many fillings is one row per
-    task.  Every match is then verified word by word.
+    Only lines that share a half with another line can be one edit from it, so only those
+    get variants.  A variant that no other line has is dropped by counts, and what is left
+    meets in aggregates that keep the earliest line; both combine in each task, so a template
+    with very many fillings is one row per task.  Every match is then verified word by word.
     """
     long = firsts.filter(F.col("n") >= NEAR_WORDS)
     ends = long.select("digest", F.explode("ends").alias("end"))
@@ -113,49 +107,39 @@ def near_lines(docs: DataFrame, firsts: DataFrame, doc_id: str, text: str) -> Da
     chosen = stored(long.join(candidates, "digest", "left_semi").select("digest", "n", "first"), "candidate_lines")
     # The words are fetched from the documents, each read once.
     per_doc = chosen.groupBy(F.col("first.doc").alias("_doc"), F.col("first.hash").alias("_hash")).agg(
-        F.collect_list(F.struct(F.col("first.line").alias("line"), "digest", "first")).alias("chosen")
+        F.collect_list(F.struct(F.col("first.line").alias("line"), "digest")).alias("chosen")
     )
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = joined_by_key(source, per_doc, "doc_id", "text", "inner")
     fetched = found.select(F.split("text", "\n").alias("lines"), F.explode("chosen").alias("c")).select(
-        "c.digest", "c.first", _line_words(F.get("lines", F.col("c.line"))).alias("w")
+        "c.digest", words(F.get("lines", F.col("c.line"))).alias("w")
     )
+    # Rows that share a number and a text bring the same lines.
     fetched = stored(fetched.dropDuplicates(["digest"]), "fetched_lines")
-    keyed = variants(fetched.select("digest", "first", F.size("w").alias("n"), "w"))
-    keyed = stored(keyed, "variants")
+    keyed = stored(variants(fetched.select("digest", F.size("w").alias("n"), "w")), "variants")
+    met = keyed.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
+    met = keyed.join(met, "key", "left_semi").join(chosen.select("digest", "first"), "digest")
+    met = stored(met, "shared_variants")
+    line = F.struct("first", "digest")
     out = F.col("place") >= 0
-    # Replaced: same length, the same word left out.  Inserted or deleted: a whole line
-    # equals a variant of a line one longer, whichever word that one has left out.
-    groups = stored(
-        keyed.groupBy("key", F.when(out, F.col("n") - 1).otherwise(F.col("n")).alias("m"))
-        .agg(
-            F.min(F.when(out, F.struct("first", "digest"))).alias("cut"),
-            F.min(F.when(~out, F.struct("first", "digest"))).alias("whole"),
-            F.count("*").alias("k"),
-        )
-        .filter("k > 1 AND (whole IS NOT NULL)")
-        .select("key", "m", "cut", "whole"),
-        "whole_meets_variant",
-    )
+    # Inserted or deleted: a whole line equals a variant of a line one longer.
     size = F.when(out, F.col("n") - 1).otherwise(F.col("n"))
-    meets = keyed.withColumn("m", size).join(groups, ["key", "m"])
-    other = F.when(F.col("place") >= 0, F.col("whole")).otherwise(F.col("cut"))
-    inserted = meets.select("digest", "first", other.alias("best"))
-    replaced = keyed.filter(out).groupBy("key", "place", "n").agg(
-        F.min(F.struct("first", "digest")).alias("best"), F.count("*").alias("k")
-    )
-    replaced = keyed.filter(out).join(replaced.filter("k > 1").drop("k"), ["key", "place", "n"])
-    replaced = replaced.select("digest", "first", "best")
-    offers = stored(
-        inserted.unionByName(replaced)
+    whole = met.groupBy("key", size.alias("m")).agg(F.min(F.when(out, line)).alias("cut"), F.min(F.when(~out, line)).alias("whole"))
+    whole = whole.filter("cut IS NOT NULL AND whole IS NOT NULL")
+    inserted = met.withColumn("m", size).join(whole, ["key", "m"]).withColumn("best", F.when(out, F.col("whole")).otherwise(F.col("cut")))
+    # Replaced: of lines of one length the same word is left out.
+    same = met.filter(out).groupBy("key", "place", "n").agg(F.min(line).alias("best"), F.count("*").alias("k")).filter("k > 1")
+    replaced = met.filter(out).join(same.drop("k"), ["key", "place", "n"])
+    offers = (
+        inserted.select("digest", "first", "best")
+        .unionByName(replaced.select("digest", "first", "best"))
         .filter(F.col("best.first") < F.col("first"))
         .select("digest", F.col("best.first").alias("best"), F.col("best.digest").alias("other"))
-        .distinct(),
-        "offers",
+        .distinct()
     )
-    texts = fetched.select("digest", "w")
-    mine = texts.select(F.col("digest").alias("d1"), F.col("w").alias("w1"))
-    theirs = texts.select(F.col("digest").alias("d2"), F.col("w").alias("w2"))
+    offers = stored(offers, "offers")
+    mine = fetched.select(F.col("digest").alias("d1"), F.col("w").alias("w1"))
+    theirs = fetched.select(F.col("digest").alias("d2"), F.col("w").alias("w2"))
     checked = (
         offers.join(mine, offers["digest"] == mine["d1"])
         .join(theirs, offers["other"] == theirs["d2"])
@@ -195,13 +179,15 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """
     lines = stored(line_table(docs, doc_id, text), "lines")
     firsts = stored(
-        lines.groupBy("digest").agg(F.min(_order()).alias("first"), F.first("n").alias("n"), F.first("ends").alias("ends")),
+        lines.groupBy("digest").agg(
+            F.min(_order()).alias("first"), F.first("n").alias("n"), F.first("ends").alias("ends"), F.count("*").alias("k")
+        ),
         "first_lines",
     )
     near = stored(near_lines(docs, firsts, doc_id, text), "near_lines")
-    repeated = firsts.select("digest", "first").join(near, "digest", "left")
-    repeated = repeated.select("digest", "first", F.least(F.col("best"), F.col("first")).alias("earliest"))
-    found = lines.join(repeated, "digest").filter(F.col("earliest") < _order())
+    repeated = firsts.select("digest", "first", "k").join(near, "digest", "left").filter("k > 1 OR best IS NOT NULL")
+    repeated = stored(repeated.select("digest", "first", F.least(F.col("best"), F.col("first")).alias("earliest")), "repeated_lines")
+    found = lines.select("_doc", "_hash", "line", "digest").join(repeated, "digest").filter(F.col("earliest") < _order())
     return found.select(
         "_doc",
         "_hash",

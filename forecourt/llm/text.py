@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: ASCII white space, the only separators of words.
 SPACE = r"[ \t-\r]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
@@ -17,10 +16,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """``_doc`` and ``_hash``: what tells one document from another.
 
