@@ -1,7 +1,8 @@
 """Map and chart tables: coordinates, flow lines, aligned measures, bar data.
 
-No join here carries a broadcast hint: Spark broadcasts a side whose measured size is
-under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
+Joins carry no broadcast hint but for the starts of slides, one row per slide that the code
+lists: Spark broadcasts a side whose measured size is under
+``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
 """
 
 from __future__ import annotations
@@ -20,28 +21,32 @@ def with_coordinates(points: DataFrame, geo: DataFrame) -> DataFrame:
 
 
 def top_points(points: DataFrame, geo: DataFrame, n: int = 20) -> DataFrame:
-    """The ``n`` largest points that are on the map's list, then their coordinates."""
+    """The ``n`` largest points, then their coordinates; those without drop out, so fewer may stay."""
     return with_coordinates(top_rows(points, [F.col("value").desc(), F.col("name")], n), geo)
 
 
 def flow_lines(points: DataFrame, geo: DataFrame, origin: str) -> DataFrame:
     """Lines from one named origin to every point with known coordinates.
 
-    The origin's coordinates are scalar subqueries: no row pairs are formed for them.  An
-    unknown origin gives no lines.
+    The origin is one scalar, so no row pairs are formed for it and its two coordinates come
+    from one row: of several rows of that name the one with the smallest longitude, then
+    latitude.  An unknown origin, or one that lacks a coordinate, gives no lines.
     """
-    start = geo.filter(F.col("name") == origin).limit(1)
+    place = F.struct("lon", "lat")
+    known = geo.filter((F.col("name") == origin) & F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    start = known.agg(F.min(place).alias("start")).scalar()
     return (
         points.join(geo, "name")
+        .withColumn("_start", start)
+        .filter(F.col("_start").isNotNull())
         .select(
-            start.select("lon").scalar().alias("from_lon"),
-            start.select("lat").scalar().alias("from_lat"),
+            F.col("_start.lon").alias("from_lon"),
+            F.col("_start.lat").alias("from_lat"),
             F.col("name").alias("to_name"),
             F.col("lon").alias("to_lon"),
             F.col("lat").alias("to_lat"),
             "value",
         )
-        .filter(F.col("from_lon").isNotNull() & F.col("from_lat").isNotNull())
     )
 
 
@@ -70,13 +75,14 @@ def bar_rows(slides: DataFrame) -> DataFrame:
     """Bars with their place on the slide, by ascending value and name.
 
     Numbered over all slides at once, so that a slide is never sorted by one task; the
-    first number of each slide (one row per slide) turns that into places.
+    first number of each slide turns that into places.  Those are one row per slide of a list
+    given in code, so they are broadcast and no bar is shuffled to its slide.
     """
     order = [F.col("slide"), F.col("value"), F.col("name")]
     numbered = number_rows(slides, order, "_n")
     first = numbered.groupBy("slide").agg(F.min("_n").alias("_first"))
     place = (F.col("_n") - F.col("_first") + 1).alias("place")
-    return numbered.join(first, "slide").select("slide", place, "name", "value", "shown")
+    return numbered.join(F.broadcast(first), "slide").select("slide", place, "name", "value", "shown")
 
 
 def bar_arrays(slides: DataFrame) -> DataFrame:

@@ -108,8 +108,17 @@ def joined_list(column: str) -> Column:
     return F.when(F.size(values) == 0, F.lit(NOTHING)).otherwise(F.array_join(values, LIST_SEPARATOR))
 
 
+def coverage_rows(df: DataFrame) -> DataFrame:
+    """Distinct regions and customer types as rows ``(kind, value)``, for lists of any length."""
+    kinds = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("region", "customer_type")]
+    return df.select(F.inline(F.array(*kinds))).filter(F.col("value").isNotNull()).distinct()
+
+
 def coverage(df: DataFrame) -> DataFrame:
-    """Distinct regions and customer types as two joined, sorted lists."""
+    """Distinct regions and customer types as two joined, sorted lists.
+
+    Each list is one value, as long as the names together; ``coverage_rows`` has no such value.
+    """
     # Distinct pairs first, so that the sets are filled from few rows.
     pairs = df.select("region", "customer_type").distinct()
     return pairs.agg(

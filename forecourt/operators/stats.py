@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from forecourt.functions.text import is_blank, java_trim
-from forecourt.operators.ranking import numbered_top, top_rows
+from forecourt.operators.ranking import number_rows, top_rows
 
 DEFAULT_TOP_N = 10
 HUNDREDTHS = 100 * 100
@@ -67,23 +67,18 @@ def slice_percentages(df: DataFrame, name: str, value: str, order: list[Column])
     """Percentages as a pie chart prints them: two decimals that add up to exactly 100.
 
     Every slice is cut to hundredths of a percent; the missing hundredths go, one each, to
-    the slices with the largest rests (the first of ``order`` among equals).  There are at
-    most 10,000 hundredths, which bounds the numbered rows and the broadcast.
+    the slices with the largest rests (the first of ``order`` among equals).  All slices are
+    numbered, however many and of whatever sign (this runs a job).  If the values sum to 0,
+    every slice is 0.
     """
     total = df.agg(F.sum(value)).scalar()
-    share = F.when(total == 0, F.lit(0.0)).otherwise(F.col(value) / total * 100 * 100)
+    share = F.when(total == 0, F.lit(0.0)).otherwise(F.col(value) / F.nullif(total, F.lit(0)) * 100 * 100)
     cut = df.withColumn("_share", share).withColumn("_cut", F.floor("_share"))
-    missing = cut.agg(F.when(F.sum("_cut") > 0, HUNDREDTHS - F.sum("_cut"))).scalar()
     rest = (F.col("_share") - F.col("_cut")).desc()
-    raised = (
-        numbered_top(cut, [rest, *order], HUNDREDTHS, "_n")
-        .filter(F.col("_n") <= missing)
-        .select(F.col(name).alias("_name"), F.lit(1).alias("_extra"))
-    )
-    hundredths = F.col("_cut") + F.coalesce("_extra", F.lit(0))
-    return cut.join(F.broadcast(raised), F.col(name).eqNullSafe(F.col("_name")), "left").select(
-        *df.columns, (hundredths / F.lit(100.0)).alias("percent")
-    )
+    numbered = number_rows(cut.withColumn("_all", total), [rest, *order], "_n")
+    missing = numbered.agg(HUNDREDTHS - F.sum("_cut")).scalar()
+    raised = F.when((F.col("_all") != 0) & (F.col("_n") <= missing), 1).otherwise(0)
+    return numbered.select(*df.columns, ((F.col("_cut") + raised) / F.lit(100.0)).alias("percent"))
 
 
 def name_value(df: DataFrame, name: str, value: str) -> DataFrame:

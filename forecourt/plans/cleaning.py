@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from forecourt.operators import dedup, words
 from forecourt.sinks import files as sinks
 from forecourt.sources import files as sources
+from forecourt.sources.catalog import has_files
+
+
+# Fixed value: what a job on an empty zone answers.
+EMPTY_ZONE = "HDFS %s 下没有数据文件，无法提交计算作业。请先上传数据或执行一次数据采集。"
 
 
 def _read(
@@ -84,7 +89,13 @@ def count_file_words(
 
 
 def zone_job(spark: SparkSession, folder: str | Sequence[str], job_type: str) -> DataFrame:
-    """``dedup``: distinct lines of all files of a zone; any other type: token counts."""
+    """``dedup``: distinct lines of all files of a zone; any other type: token counts.
+
+    A zone without files is an error with the platform's message.
+    """
+    folders = [folder] if isinstance(folder, str) else list(folder)
+    if not any(has_files(spark, f) for f in folders):
+        raise FileNotFoundError(EMPTY_ZONE % ", ".join(folders))
     lines = sources.read_lines(spark, folder)
     if job_type is not None and job_type.lower() == "dedup":
         return dedup.distinct_rows(lines.select("value"))

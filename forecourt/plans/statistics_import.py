@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from forecourt.operators import stats
 from forecourt.operators.ranking import numbered_top
-from forecourt.sinks.tables import BACKUP_TABLE, TARGET_TABLE, replace_table, restore, snapshot_once
+from forecourt.sinks.tables import (
+    BACKUP_TABLE,
+    TARGET_TABLE,
+    open_table,
+    replace_table,
+    restore,
+    snapshot_once,
+    table_exists,
+)
 from forecourt.sources.files import read_text_csv
 from forecourt.workspace import stored
 
@@ -53,6 +61,6 @@ def import_statistics(
 def restore_statistics(spark: SparkSession, target: str = TARGET_TABLE, backup: str = BACKUP_TABLE) -> None:
     """Put the ranking back to its state before the first import."""
     columns = ["brand_name", "sales"]
-    if spark.catalog.tableExists(backup) and "id" in spark.table(backup).columns:
+    if table_exists(spark, backup) and "id" in open_table(spark, backup).columns:
         columns = ["id", *columns]
     restore(spark, target, backup, columns)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from forecourt.functions import names
+from forecourt.operators.dedup import latest_per_key
 from forecourt.sources.files import allow_charset
 
 # Result names and header of the word-frequency file.
@@ -30,10 +33,12 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False, charset: str
     out.write.options(header=True, encoding=charset, **TIME_FORMATS).csv(path)
 
 
-def write_lines(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """The original line column if there is one, else all columns joined with commas."""
-    line = F.col("value") if "value" in df.columns else F.concat_ws(",", *[F.col(f"`{c}`") for c in df.columns])
-    out = df.select(line.alias("value"))
+def write_lines(df: DataFrame, path: str, single_file: bool = False, line: str | None = None) -> None:
+    """The column named by ``line``, or all columns joined with commas; a lone column as it is."""
+    if line is None and len(df.columns) == 1:
+        line = df.columns[0]
+    whole = F.col(f"`{line}`") if line else F.concat_ws(",", *[F.col(f"`{c}`") for c in df.columns])
+    out = df.select(whole.cast("string").alias("value"))
     (out.coalesce(1) if single_file else out).write.text(path)
 
 
@@ -50,7 +55,13 @@ def write_counts(freq: DataFrame, path: str) -> None:
     freq.select(line.alias("value")).write.text(path)
 
 
-def write_device_json(latest: DataFrame, path: str) -> None:
-    """One JSON document per device, foldered by the device name with ``.`` as ``_``."""
-    device = names.dots_to_underscores(F.col("device"))
-    latest.withColumn("device", device).write.partitionBy("device").json(path)
+def write_device_json(rows: DataFrame, path: str, order: Sequence[str], folders: bool = False) -> None:
+    """One JSON document per device, its newest row by ``order``, named with ``.`` as ``_``.
+
+    Names are made safe before the newest row is chosen, so two devices whose safe names are
+    equal leave one document.  Documents are lines keyed by ``device``; ``folders`` writes a
+    folder per device instead, for few devices only.
+    """
+    named = rows.withColumn("device", names.dots_to_underscores(F.col("device")))
+    latest = latest_per_key(named, ["device"], order)
+    (latest.write.partitionBy("device") if folders else latest.write).json(path)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from forecourt.operators.sales import MONTH_COLUMN
-from forecourt.workspace import fresh_dir
+from forecourt.workspace import file_system, remove
 
 # Table names and insert batch size of the platform.
 TARGET_TABLE = "automobile_brand_sales_ranking"
@@ -13,17 +15,63 @@ BACKUP_TABLE = "automobile_brand_sales_ranking_backup"
 INSERT_BATCH = 1000
 
 
-def replace_table(df: DataFrame, name: str, location: str | None = None) -> None:
+def tables_root(spark: SparkSession) -> str:
+    """Where result tables live: ``spark.forecourt.tables.dir``, else below the warehouse.
+
+    Unlike the checkpoint folder this is kept.
+    """
+    root = spark.conf.get("spark.forecourt.tables.dir", None)
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/forecourt").rstrip("/")
+
+
+def versions(spark: SparkSession, name: str) -> list[str]:
+    """Complete versions of a table, oldest first: a few folders, so listed in the driver."""
+    files, folder = file_system(spark, f"{tables_root(spark)}/{name}")
+    if not files.exists(folder):
+        return []
+    found = [status.getPath() for status in files.listStatus(folder)]
+    return sorted((p.toString() for p in found if p.getName().startswith("v")), key=lambda p: p.rsplit("/", 1)[-1])
+
+
+def table_exists(spark: SparkSession, name: str) -> bool:
+    return bool(versions(spark, name))
+
+
+def open_table(spark: SparkSession, name: str) -> DataFrame:
+    """The newest version of a table, also in a session that did not write it."""
+    found = versions(spark, name)
+    if not found:
+        raise LookupError(f"no table {name}")
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM parquet.`{found[-1]}`")
+    return spark.read.parquet(found[-1])
+
+
+def replace_table(df: DataFrame, name: str) -> None:
     """Replace a table's contents in one step.
 
-    The rows go to a new folder first; then the name, a catalog view, is pointed at it.
-    Readers see the old rows or the new ones, and a failed write changes nothing.  Older
-    folders stay for readers that still use them.
+    The rows go to a hidden folder first; renaming it makes it the newest version.  Readers
+    see the old rows or the new ones, and a failed write changes nothing.  The version
+    before stays for readers that still use it; older ones are deleted.
     """
     spark = df.sparkSession
-    path = fresh_dir(spark, name) if location is None else location
-    df.write.parquet(path)
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM parquet.`{path}`")
+    folder = f"{tables_root(spark)}/{name}"
+    before = versions(spark, name)
+    number = 1 + (int(before[-1].rsplit("/", 1)[-1][1:].split("-")[0]) if before else 0)
+    stamp = uuid.uuid4().hex[:12]
+    files, hidden = file_system(spark, f"{folder}/_writing-{stamp}")
+    df.write.parquet(hidden.toString())
+    _, place = file_system(spark, f"{folder}/v{number:012d}-{stamp}")
+    if not files.rename(hidden, place):
+        raise OSError(f"cannot rename {hidden.toString()}")
+    open_table(spark, name)
+    for old in before[:-1]:
+        remove(spark, old)
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Delete a table with all its versions."""
+    spark.sql(f"DROP VIEW IF EXISTS {name}")
+    remove(spark, f"{tables_root(spark)}/{name}")
 
 
 def write_by_month(facts: DataFrame, path: str) -> None:
@@ -40,17 +88,17 @@ def write_by_month(facts: DataFrame, path: str) -> None:
 
 def snapshot_once(spark: SparkSession, table: str, backup: str) -> bool:
     """Copy a table to its backup unless there is one already (or nothing to copy)."""
-    if spark.catalog.tableExists(backup) or not spark.catalog.tableExists(table):
+    if table_exists(spark, backup) or not table_exists(spark, table):
         return False
-    replace_table(spark.table(table), backup)
+    replace_table(open_table(spark, table), backup)
     return True
 
 
 def restore(spark: SparkSession, table: str, backup: str, columns: list[str]) -> None:
     """Put the backup's rows back; without a backup this is an error."""
-    if not spark.catalog.tableExists(backup):
+    if not table_exists(spark, backup):
         raise LookupError(f"no backup table {backup}")
-    replace_table(spark.table(backup).select(*columns), table)
+    replace_table(open_table(spark, backup).select(*columns), table)
 
 
 def append_jdbc(df: DataFrame, url: str, table: str, batch: int = INSERT_BATCH, **options) -> None:

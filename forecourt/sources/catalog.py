@@ -3,23 +3,64 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from forecourt.functions import names
+from forecourt.workspace import file_system, fresh_dir
 
 
-def file_catalog(spark: SparkSession, folders: str | Sequence[str]) -> DataFrame:
-    """Files directly in the folders (a list, or one comma-separated text).
+_FILES = "path STRING, size LONG, modify_time TIMESTAMP"
+_CHUNK = 10_000
+
+
+def listed_files(spark: SparkSession, folders: str | Sequence[str]) -> DataFrame:
+    """``path``, ``size``, ``modify_time`` of every file directly in the folders.
 
-    Only paths, lengths and times are read; file contents are pruned from the scan.  Like
-    all of Spark's file sources it passes over empty files and names that begin with ``_``
-    or ``.``.
+    Empty files and names that begin with ``_`` or ``.`` are files too, though Spark's own
+    sources pass them over, so the listing comes from the file system: it is read entry by
+    entry and written to the shared folder a chunk at a time.  Contents are not read, and
+    the driver holds one chunk.
     """
     if isinstance(folders, str):
         folders = [f.strip() for f in folders.split(",") if f.strip()]
-    files = spark.read.format("binaryFile").load([f.rstrip("/") for f in folders])
-    return as_catalog(files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modify_time")))
+    out = fresh_dir(spark, "listing")
+    held: list[tuple[str, int, datetime]] = []
+
+    def write() -> None:
+        spark.createDataFrame(held, _FILES).coalesce(1).write.mode("append").parquet(out)
+        held.clear()
+
+    for folder in folders:
+        files, place = file_system(spark, folder.rstrip("/"))
+        entries = files.listStatusIterator(place)
+        while entries.hasNext():
+            entry = entries.next()
+            if not entry.isDirectory():
+                moment = datetime.fromtimestamp(entry.getModificationTime() / 1000, timezone.utc)
+                held.append((entry.getPath().toString(), entry.getLen(), moment))
+                if len(held) == _CHUNK:
+                    write()
+    write()
+    return spark.read.schema(_FILES).parquet(out)
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a file or a folder with a visible file at any depth (stops at the first)."""
+    files, place = file_system(spark, path)
+    if not files.exists(place):
+        return False
+    entries = files.listFiles(place, True)
+    while entries.hasNext():
+        if not entries.next().getPath().getName().startswith(("_", ".")):
+            return True
+    return False
+
+
+def file_catalog(spark: SparkSession, folders: str | Sequence[str]) -> DataFrame:
+    """All files directly in the folders (a list, or one comma-separated text); runs a job."""
+    return as_catalog(listed_files(spark, folders))
 
 
 def as_catalog(files: DataFrame) -> DataFrame:

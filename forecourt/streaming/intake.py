@@ -7,11 +7,21 @@ it is retried.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from forecourt.functions import names
 from forecourt.operators.dedup import first_per_key
+from forecourt.sources.catalog import listed_files
+from forecourt.workspace import file_system, stored
+
+#: How much older than the newest file seen a file may be.  Far out: no file is too old.
+MAX_FILE_AGE = "36500d"
+#: Files that one batch of ``reconcile`` reads; it bounds the paths in the driver and the plan.
+RECONCILED_FILES = 5_000
 
 # Limits and messages of intake tasks.
 MAX_DURATION = 60
@@ -30,14 +40,24 @@ def intake_limits(duration: int, rows_per_second: int) -> tuple[int, int]:
     return min(duration, MAX_DURATION), min(rate, MAX_ROWS_PER_SECOND)
 
 
-def paced(reader, max_files: int | None):
-    """Bound the files of one micro-batch."""
+def paced(reader, max_files: int | None, archive: str | None = None):
+    """Take files of any age, at most ``max_files`` in one micro-batch.
+
+    By default a file source passes over files a week older than the newest it has seen; see
+    ``MAX_FILE_AGE``.  ``archive`` moves files there once they are done, which bounds the log
+    of seen files and lets a name come again.
+    """
+    reader = reader.option("maxFileAge", MAX_FILE_AGE)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return reader.option("maxFilesPerTrigger", max_files) if max_files else reader
 
 
-def dropped_rows(spark: SparkSession, landing: str, schema: str, max_files: int | None = None) -> DataFrame:
+def dropped_rows(
+    spark: SparkSession, landing: str, schema: str, max_files: int | None = None, archive: str | None = None
+) -> DataFrame:
     """Stream of the rows of headered CSV files, each with its file name."""
-    reader = paced(spark.readStream.schema(schema).option("header", True), max_files)
+    reader = paced(spark.readStream.schema(schema).option("header", True), max_files, archive)
     return reader.csv(landing).withColumn("source_file", F.col("_metadata.file_name"))
 
 
@@ -52,11 +72,21 @@ def land(rows: DataFrame, out: str, checkpoint: str, every: str | None = None) -
     return triggered(writer.outputMode("append"), every).start(out)
 
 
-def dropped_lines(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
-    reader = paced(spark.readStream.option("lineSep", "\n"), max_files)
-    return reader.text(landing).select(
+def dropped_lines(
+    spark: SparkSession, landing: str, max_files: int | None = None, archive: str | None = None
+) -> DataFrame:
+    return _with_file(paced(spark.readStream.option("lineSep", "\n"), max_files, archive).text(landing))
+
+
+def _unescaped(c: Column) -> Column:
+    """Spark's file columns escape names as in a URL."""
+    return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+def _with_file(lines: DataFrame) -> DataFrame:
+    return lines.select(
         "value",
-        F.col("_metadata.file_name").alias("file_name"),
+        _unescaped(F.col("_metadata.file_name")).alias("file_name"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_modification_time").alias("receive_time"),
@@ -80,22 +110,86 @@ def file_records(lines: DataFrame) -> DataFrame:
             F.greatest(F.col("n_lines") - F.col("open_end") - 1, F.lit(0)).alias("data_count"),
             "receive_time",
             F.lit(True).alias("upload_success"),
+            F.lit(None).cast("string").alias("error"),
         )
     )
 
 
+def failed(records: DataFrame, error: str = UPLOAD_FAILED) -> DataFrame:
+    """The same records for files that were received but could not be stored."""
+    return records.withColumns({"upload_success": F.lit(False), "error": F.lit(error)})
+
+
 def keep_ledger(
-    lines: DataFrame, ledger: str, checkpoint: str, every: str | None = None
+    lines: DataFrame,
+    ledger: str,
+    checkpoint: str,
+    every: str | None = None,
+    store: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """Add the records of newly arrived files to the ledger table."""
+    """Add the records of newly arrived files to the ledger table.
+
+    ``store(lines, batch_id)`` may put the contents somewhere; if it fails, the files of the
+    batch get records with ``upload_success`` false and an error, and the stream goes on.
+    """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        file_records(batch).write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
+        records = file_records(batch)
+        if store is not None:
+            batch.persist()
+            try:
+                store(batch, batch_id)
+            except Exception:  # whatever the store raises is an upload that failed
+                records = failed(records)
+        records.write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
+        batch.unpersist()
 
     writer = lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return triggered(writer, every).start()
 
 
+def _plain_path(c: Column) -> Column:
+    """One spelling of a file's path: ``file:///x`` and ``file:/x`` are the same, escapes undone."""
+    return F.regexp_replace(_unescaped(c), "^([A-Za-z0-9]+):/+", "$1:/")
+
+
+def reconcile(spark: SparkSession, folders: str | Sequence[str], ledger: str) -> int:
+    """Enter files that the stream cannot see: empty ones, and those sent again under one path.
+
+    The folders' complete listing is compared with the ledger by path and time; what is
+    missing is read in one batch per ``RECONCILED_FILES`` files and added to the ledger in a
+    folder of its own.  Run it between batches.  Names that begin with ``_`` or ``.`` are
+    listed by the catalog but are no uploads.  Returns the number of records added.
+    """
+    files = listed_files(spark, folders).filter(~F.regexp_extract("path", "([^/]*)$", 1).rlike("^[_.]"))
+    files = files.withColumn("key", _plain_path(F.replace(F.col("path"), F.lit("%"), F.lit("%25"))))
+    known = spark.read.parquet(ledger) if file_system(spark, ledger)[0].exists(file_system(spark, ledger)[1]) else None
+    if known is not None and known.columns:
+        seen = known.select(_plain_path(F.col("file_path")).alias("key"), F.col("receive_time").alias("modify_time"))
+        files = files.join(seen, ["key", "modify_time"], "left_anti")
+    missing = stored(files, "missing")
+    last = -1 if known is None else (known.agg(F.min("batch_id").cast("long")).first()[0] or 0)
+    number, added = min(last, 0) - 1, 0
+    empty = missing.filter("size = 0").select(
+        F.regexp_extract("path", "([^/]*)$", 1).alias("file_name"),
+        F.col("path").alias("file_path"),
+        F.col("size").alias("file_size"),
+        F.lit(0).cast("bigint").alias("data_count"),
+        F.col("modify_time").alias("receive_time"),
+        F.lit(True).alias("upload_success"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    paths = (r["path"] for r in missing.filter("size > 0").select("path").toLocalIterator())
+    while chunk := list(itertools.islice(paths, RECONCILED_FILES)):
+        lines = _with_file(spark.read.option("lineSep", "\n").text(chunk))
+        file_records(lines).write.mode("overwrite").parquet(f"{ledger}/batch_id={number}")
+        number, added = number - 1, added + len(chunk)
+    if not empty.isEmpty():
+        empty.write.mode("overwrite").parquet(f"{ledger}/batch_id={number}")
+        added += empty.count()
+    return added
+
+
 def current_records(ledger: DataFrame) -> DataFrame:
     """The latest record of each file name."""
     return first_per_key(ledger, ["file_name"], [F.col("receive_time").desc(), F.col("file_path").desc()])
@@ -118,7 +212,8 @@ def outcomes(tasks: DataFrame, records: DataFrame) -> DataFrame:
     A task succeeds when its file was received by the deadline and stored; a file that was
     received but not stored, or nothing by the deadline, is an error.
     """
-    seen = records.select("file_name", "file_size", "data_count", "receive_time", "upload_success")
+    seen = records.select("file_name", "file_size", "data_count", "receive_time", "upload_success", *[c for c in records.columns if c == "error"])
+    error = F.coalesce("error", F.lit(UPLOAD_FAILED)) if "error" in seen.columns else F.lit(UPLOAD_FAILED)
     joined = tasks.join(seen, "file_name", "left")
     in_time = F.col("receive_time").isNotNull() & (F.col("receive_time") <= F.col("deadline"))
     stored = in_time & F.col("upload_success")
@@ -138,7 +233,7 @@ def outcomes(tasks: DataFrame, records: DataFrame) -> DataFrame:
         when_received("data_count"),
         F.when(stored, F.col("file_size")).alias("file_size"),
         F.when(stored, F.lit(None).cast("string"))
-        .when(in_time, F.lit(UPLOAD_FAILED))
+        .when(in_time, error)
         .otherwise(timed_out)
         .alias("message"),
     )

@@ -4,22 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from forecourt.operators.dedup import latest_per_key
 from forecourt.operators.ranking import number_rows
 from forecourt.streaming.intake import triggered
-
-
-def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The newest row of each key, for batches and streams alike.
-
-    Rows are reduced to one per key in each task before the shuffle; on a stream the state
-    holds one row per key.
-    """
-    rest = [F.col(c) for c in rows.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*[F.col(c) for c in order]))
-    return rows.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*")
+from forecourt.workspace import file_system
 
 
 def running_sums(rows: DataFrame, key: str, value: Column, name: str = "value") -> DataFrame:
@@ -43,6 +34,38 @@ def current_state(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     return latest_per_key(updates, keys, ["batch_id"]).drop("batch_id")
 
 
+def compact(spark: SparkSession, out: str, keys: Sequence[str] | None = None) -> int:
+    """Fold the batches before the last into one, keeping the newest version per key.
+
+    Without ``keys`` every row is kept (a ledger).  The last batch is left alone, since its
+    stream may still repeat it.  The folded rows are written to a hidden folder, moved into
+    that of the newest folded batch, and then the folders they replace are deleted; run it
+    while nobody sums up a ledger, a reader of states sees the same versions throughout.
+    Returns the number of folders that went.
+    """
+    files, folder = file_system(spark, out)
+    found = {}
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("batch_id="):
+            found[int(name.split("=")[1])] = status.getPath()
+    folded = sorted(found)[:-1]
+    if len(folded) < 2:
+        return 0
+    rows = spark.read.parquet(out).filter(F.col("batch_id").isin(folded) if len(folded) < 100 else F.col("batch_id") <= folded[-1])
+    newest = current_state(rows, keys) if keys else rows.drop("batch_id")
+    _, hidden = file_system(spark, f"{out}/_compacting")
+    newest.write.mode("overwrite").parquet(hidden.toString())
+    replaced = [s.getPath() for s in files.listStatus(found[folded[-1]])]
+    for status in files.listStatus(hidden):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            files.rename(status.getPath(), file_system(spark, f"{found[folded[-1]].toString()}/{name}")[1])
+    for path in [*replaced, *(found[b] for b in folded[:-1]), hidden]:
+        files.delete(path, True)
+    return len(folded) - 1
+
+
 def ranked_state(state: DataFrame, key: str, value: str) -> DataFrame:
     """Keys by descending value, ties by key, with 1-based ranks."""
     return number_rows(state, [F.col(value).desc(), F.col(key)], "rank")

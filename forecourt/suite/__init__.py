@@ -35,6 +35,7 @@ def all_queries() -> dict[str, Query]:
     return dict(_queries)
 
 
-def all_sql() -> dict[str, str]:
+def all_sql(sf_dir: str) -> dict[str, str]:
+    """The SQL of the queries, for tables that lie in ``sf_dir``."""
     _load()
-    return dict(_sql)
+    return {name: sql.replace("{sf_dir}", sf_dir) for name, sql in _sql.items()}

@@ -34,6 +34,22 @@ def a14_slice_percentages(spark, sf_dir):
     return stats.slice_percentages(slices, "name", "value", [F.col("name")])
 
 
+@query(
+    "a14_many_slices",
+    """WITH slices AS (SELECT l_orderkey * 10 + l_linenumber AS name,
+                              CAST(round(l_extendedprice * 100) AS BIGINT) AS value FROM lineitem),
+       cut AS (SELECT *, value / sum(value) OVER () * 100 * 100 AS share FROM slices),
+       placed AS (SELECT *, row_number() OVER (ORDER BY share - floor(share) DESC, name) AS n,
+                         10000 - sum(floor(share)) OVER () AS missing FROM cut)
+       SELECT name, value, (floor(share) + CASE WHEN n <= missing THEN 1 ELSE 0 END) / 100 AS percent FROM placed""",
+)
+def a14_many_slices(spark, sf_dir):
+    price = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    name = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("name")
+    slices = table(spark, sf_dir, "lineitem").select(name, price.alias("value"))
+    return stats.slice_percentages(slices, "name", "value", [F.col("name")])
+
+
 @query(
     "p6_name_value",
     "SELECT p_name AS name, p_retailprice AS value FROM part",

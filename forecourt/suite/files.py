@@ -11,7 +11,6 @@ from forecourt.sinks import files as sinks
 from forecourt.sinks import tables
 from forecourt.sources import files as sources
 from forecourt.sources.tables import point_lookup, table_scan
-from forecourt.streaming.state import latest_per_key
 from forecourt.functions import names
 from forecourt.suite import query
 from forecourt.suite.counts import JAVA_SPACE
@@ -204,20 +203,20 @@ def k5_replaced_table(spark, sf_dir):
     name = _ranking(spark, sf_dir, "forecourt_k5")
     by_type = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("brand_name"))
     tables.replace_table(by_type.agg(F.sum("p_size").alias("sales")), name)
-    return spark.table(name)
+    return tables.open_table(spark, name)
 
 
 @query("k6_k7_restored_table", RANKING)
 def k6_k7_restored_table(spark, sf_dir):
     name = _ranking(spark, sf_dir, "forecourt_k7")
     backup = f"{name}_backup"
-    spark.sql(f"DROP VIEW IF EXISTS {backup}")
+    tables.drop_table(spark, backup)  # of an earlier run
     tables.snapshot_once(spark, name, backup)
     by_type = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("brand_name"))
     tables.replace_table(by_type.agg(F.count("*").alias("sales")), name)
     tables.snapshot_once(spark, name, backup)
     tables.restore(spark, name, backup, ["brand_name", "sales"])
-    return spark.table(name)
+    return tables.open_table(spark, name)
 
 
 @query(
@@ -230,7 +229,7 @@ def k5_statistics_import(spark, sf_dir):
     statistics_import.import_statistics(
         spark, events_csv(spark, sf_dir), "event_type", 3, "forecourt_ranking", "forecourt_ranking_backup"
     )
-    return spark.table("forecourt_ranking")
+    return tables.open_table(spark, "forecourt_ranking")
 
 
 @query("k1_deduplicated_csv", "SELECT DISTINCT user_id, event_type FROM events")
@@ -316,8 +315,8 @@ def k10_device_json(spark, sf_dir):
     )
     sent = table(spark, sf_dir, "events").select(names.socket_host(address).alias("device"), "event_id", "props")
     out = fresh_dir(spark, "k10")
-    sinks.write_device_json(latest_per_key(sent, ["device"], ["event_id"]), out)
-    return spark.read.schema("event_id LONG, props STRING, device STRING").json(out)
+    sinks.write_device_json(sent, out, ["event_id"])
+    return spark.read.schema("device STRING, event_id LONG, props STRING").json(out)
 
 
 @query("s5_txt_fields", "SELECT DISTINCT unnest(range(1, 4))::VARCHAR AS field FROM events")

@@ -15,12 +15,12 @@ def _catalog(spark, sf_dir):
     return as_catalog(views.file_rows(spark, sf_dir))
 
 
-# The folder the given tables lie in at the scale factor of the check.
+# ``{sf_dir}`` is the folder of the given tables; ``suite.all_sql`` puts it in.
 @query(
     "s11_file_catalog",
     """SELECT regexp_replace(regexp_extract(filename, '([^/]*)$', 1), '\\.[^.]*$', '') AS display_name,
               'PARQUET' AS type, size, CAST(epoch(last_modified) AS BIGINT) AS modified
-       FROM read_blob('/root/testdata/sf0.01/*.parquet')""",
+       FROM read_blob('{sf_dir}/*.parquet')""",
 )
 def s11_file_catalog(spark, sf_dir):
     catalog = file_catalog(spark, sf_dir)

@@ -88,6 +88,16 @@ def a9_coverage(spark, sf_dir):
     return sales.coverage(car_sales(spark, sf_dir))
 
 
+@query(
+    "a9_coverage_rows",
+    f"""WITH {CAR_SALES}
+        SELECT 'region' AS kind, region AS value FROM car_sales WHERE region IS NOT NULL GROUP BY region
+        UNION ALL SELECT 'customer_type', customer_type FROM car_sales WHERE customer_type IS NOT NULL GROUP BY customer_type""",
+)
+def a9_coverage_rows(spark, sf_dir):
+    return sales.coverage_rows(car_sales(spark, sf_dir))
+
+
 PLAN = f"""{CAR_SALES}, targets AS (
   SELECT *, CAST(trunc(CAST(sales_volume AS FLOAT) *
            (CAST(1 AS FLOAT) + CAST(market_trend AS FLOAT) / CAST(100 AS FLOAT))) AS BIGINT) AS target_sales,

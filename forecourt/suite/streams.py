@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import calendar
+
+from pyspark.sql import Window, functions as F
 
 from forecourt.functions import names
 from forecourt.sinks.files import write_csv
 from forecourt.streaming import intake, state
 from forecourt.suite import query
 from forecourt.suite.views import table
-from forecourt.workspace import fresh_dir, landed_once
+from forecourt.workspace import file_system, fresh_dir, landed_once
 
 ROWS = "event_id LONG, user_id LONG, ts TIMESTAMP_NTZ, device STRING, props STRING"
 HEADER_BYTES = len("event_id,user_id\n")
@@ -50,22 +52,27 @@ def i1_landed_rows(spark, sf_dir):
     return spark.read.parquet(out).select("event_id", "user_id", "ts", "props")
 
 
-@query("i4_paced_rows", "SELECT event_id, user_id, ts, props FROM events")
+def several_files(spark, sf_dir):
+    """The events in eight CSV files."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", _device().alias("device"), "props")
+    return landed_once(spark, f"{sf_dir}/several_files", lambda p: write_csv(rows.repartition(8), p))
+
+
+@query("i4_paced_rows", "SELECT event_id, user_id, ts, props, 4 AS batches FROM events")
 def i4_paced_rows(spark, sf_dir):
-    _, pace = intake.intake_limits(5, 1000)
-    # At least a few files per task slot, so that a batch keeps a large cluster busy.
-    pace = max(pace, 4 * spark.sparkContext.defaultParallelism)
-    rows = intake.dropped_rows(spark, landing(spark, sf_dir), ROWS, max_files=pace)
+    rows = intake.dropped_rows(spark, several_files(spark, sf_dir), ROWS, max_files=2)
     out = fresh_dir(spark, "paced")
-    intake.land(rows, out, fresh_dir(spark, "paced-checkpoint")).awaitTermination()
-    return spark.read.parquet(out).select("event_id", "user_id", "ts", "props")
+    landing_ = intake.land(rows, out, fresh_dir(spark, "paced-checkpoint"))
+    landing_.awaitTermination()
+    batches = sum(p["numInputRows"] > 0 for p in landing_.recentProgress)
+    return spark.read.parquet(out).select("event_id", "user_id", "ts", "props", F.lit(batches).alias("batches"))
 
 
 @query(
     "i2_ledger",
     """SELECT event_type, CAST(count(*) AS BIGINT) AS data_count,
               CAST(sum(length(CAST(event_id AS VARCHAR)) + length(CAST(user_id AS VARCHAR)) + 2) AS BIGINT) AS payload,
-              true AS stored
+              true AS stored, CAST(NULL AS VARCHAR) AS error
        FROM events GROUP BY event_type""",
 )
 def i2_ledger(spark, sf_dir):
@@ -75,20 +82,57 @@ def i2_ledger(spark, sf_dir):
         F.sum("data_count").alias("data_count"),
         F.sum(F.col("file_size") - HEADER_BYTES).alias("payload"),
         F.bool_and("upload_success").alias("stored"),
+        F.max("error").alias("error"),
     )
 
 
+def dated_landing(spark, sf_dir):
+    """One file per event type, named after it, with a modification time that follows the names."""
+
+    def write(path):
+        rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+        rows.repartition(1, "event_type").write.partitionBy("event_type").option("header", True).csv(f"{path}-parts")
+        files, source = file_system(spark, f"{path}-parts")
+        target = file_system(spark, path)[1]
+        files.mkdirs(target)
+        start = calendar.timegm((2025, 1, 1, 0, 0, 0)) * 1000
+        folders = sorted((f.getPath() for f in files.listStatus(source) if f.isDirectory()), key=lambda f: f.getName())
+        for number, folder in enumerate(folders):
+            for file in files.listStatus(folder):
+                name = file.getPath().getName()
+                if name.startswith("part-"):
+                    place = file_system(spark, f"{path}/{folder.getName().split('=')[1]}.csv")[1]
+                    files.rename(file.getPath(), place)
+                    files.setTimes(place, start + 86_400_000 * 30 * number, -1)
+
+    return landed_once(spark, f"{sf_dir}/dated_landing", write)
+
+
+def _dated_ledger(spark, sf_dir, fails=None):
+    """The ledger of the dated files, taken one by one; storing fails for the name ``fails``."""
+    out = fresh_dir(spark, "dated-ledger")
+
+    def store(lines, batch_id):
+        if fails and not lines.filter(F.col("file_name") == fails).isEmpty():
+            raise OSError("cannot store")
+
+    lines = intake.dropped_lines(spark, dated_landing(spark, sf_dir), max_files=1)
+    intake.keep_ledger(lines, out, fresh_dir(spark, "dated-checkpoint"), store=store).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query(
     "i3_totals",
-    """SELECT CAST(sum(length(CAST(event_id AS VARCHAR)) + length(CAST(user_id AS VARCHAR)) + 2) AS BIGINT)
-              AS payload, true AS last_known FROM events""",
+    """SELECT CAST(count(DISTINCT event_type) AS BIGINT) AS received_count,
+              CAST(sum(length(CAST(event_id AS VARCHAR)) + length(CAST(user_id AS VARCHAR)) + 2)
+                   + 17 * count(DISTINCT event_type) AS BIGINT) AS received_bytes,
+              max(event_type) || '.csv' AS last_file_name, true AS last_path_known FROM events""",
 )
 def i3_totals(spark, sf_dir):
-    totals = intake.intake_totals(_ledger(spark, sf_dir))
-    return totals.select(
-        (F.col("received_bytes") - F.col("received_count") * HEADER_BYTES).alias("payload"),
-        F.col("last_file_path").endswith(F.col("last_file_name")).alias("last_known"),
-    )
+    # Months lie between the files' times, so a source that forgets old files would drop most.
+    totals = intake.intake_totals(_dated_ledger(spark, sf_dir))
+    known = F.col("last_file_path").endswith(F.concat(F.lit("/"), F.col("last_file_name")))
+    return totals.select("received_count", "received_bytes", "last_file_name", known.alias("last_path_known"))
 
 
 LATEST = """SELECT '10.0.' || CAST(user_id % 7 AS VARCHAR) || '.' || CAST(user_id % 200 AS VARCHAR) AS device,
@@ -127,36 +171,33 @@ def i6_ranked_totals(spark, sf_dir):
 
 @query(
     "i7_outcomes",
-    """WITH records AS (
-         SELECT CASE WHEN doc_id % 3 = 0 THEN 'lost' ELSE 'f' END || CAST(doc_id AS VARCHAR) AS file_name, n_chars,
-                doc_id % 5 <> 0 AS stored, TIMESTAMP '2025-01-01' + to_seconds(doc_id % 50) AS at FROM documents),
-       joined AS (
-         SELECT d.doc_id AS task_id, 'f' || CAST(d.doc_id AS VARCHAR) AS file_name, r.n_chars, r.stored,
-                coalesce(r.at <= TIMESTAMP '2025-01-01 00:00:35', false) AS seen
-         FROM documents d LEFT JOIN records r ON r.file_name = 'f' || CAST(d.doc_id AS VARCHAR))
-       SELECT task_id, file_name, CASE WHEN seen AND stored THEN 'success' ELSE 'error' END AS status,
-              CASE WHEN seen THEN n_chars END AS data_count, CASE WHEN seen AND stored THEN n_chars * 10 END AS file_size,
-              CASE WHEN seen AND stored THEN NULL WHEN seen THEN '数据已通过 Socket 接收，但写入 HDFS 失败，请检查 HDFS 连接状态'
+    """WITH sent AS (
+         SELECT event_type, CAST(count(*) AS BIGINT) AS n, row_number() OVER (ORDER BY event_type) AS place,
+                CAST(sum(length(CAST(event_id AS VARCHAR)) + length(CAST(user_id AS VARCHAR)) + 2) + 17 AS BIGINT) AS bytes
+         FROM events GROUP BY event_type),
+       tasks AS (
+         SELECT place AS task_id, event_type || '.csv' AS file_name, n, bytes, place = 2 AS lost, place <= 3 AS seen FROM sent
+         UNION ALL SELECT 100 + place, 'never_' || event_type || '.csv', NULL, NULL, false, false FROM sent)
+       SELECT CAST(task_id AS BIGINT) AS task_id, file_name, CASE WHEN seen AND NOT lost THEN 'success' ELSE 'error' END AS status,
+              CASE WHEN seen THEN n END AS data_count, CASE WHEN seen AND NOT lost THEN bytes END AS file_size,
+              CASE WHEN seen AND NOT lost THEN NULL WHEN seen THEN '数据已通过 Socket 接收，但写入 HDFS 失败，请检查 HDFS 连接状态'
                    ELSE '采集超时：无法连接数据源 10.0.0.' || CAST(task_id % 9 AS VARCHAR)
                         || ':81，请确认采集服务端已启动（本机监听端口 9999）' END AS message
-       FROM joined""",
+       FROM tasks""",
 )
 def i7_outcomes(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    doc, start = F.col("doc_id"), F.lit("2025-01-01").cast("timestamp_ntz")
-    name = F.concat(F.lit("f"), doc.cast("string")).alias("file_name")
-    deadline = start + F.make_dt_interval(secs=F.lit(5 + intake.GRACE_SECONDS))
-    address = F.concat(F.lit("tcp://10.0.0."), (doc % 9).cast("string"), F.lit(":81/in")).alias("address")
-    tasks = docs.select(doc.alias("task_id"), name, address, deadline.alias("deadline"))
-    # Every third file arrived under another name than its task expects.
-    received = F.concat(F.when(doc % 3 == 0, "lost").otherwise("f"), doc.cast("string"))
-    records = docs.select(
-        received.alias("file_name"),
-        (F.col("n_chars") * 10).alias("file_size"),
-        F.col("n_chars").alias("data_count"),
-        (start + F.make_dt_interval(secs=doc % 50)).alias("receive_time"),
-        (doc % 5 != 0).alias("upload_success"),
-    )
+    # A task per file and one that nothing was sent for; the deadline cuts off the later files.
+    kinds = table(spark, sf_dir, "events").select("event_type").distinct()
+    place = F.row_number().over(Window.orderBy("event_type")).cast("bigint")  # few types
+    kinds = kinds.withColumn("place", place)
+    file_name = F.concat(F.col("event_type"), F.lit(".csv"))
+    sent = kinds.select(F.col("place").alias("task_id"), file_name.alias("file_name"))
+    never = kinds.select((F.col("place") + 100).alias("task_id"), F.concat(F.lit("never_"), file_name).alias("file_name"))
+    address = F.concat(F.lit("tcp://10.0.0."), (F.col("task_id") % 9).cast("string"), F.lit(":81/in"))
+    deadline = F.lit("2025-03-15 00:00:00").cast("timestamp")
+    tasks = sent.unionByName(never).withColumns({"address": address, "deadline": deadline})
+    second = kinds.orderBy("event_type").limit(2).agg(F.max("event_type")).first()[0]
+    records = intake.current_records(_dated_ledger(spark, sf_dir, fails=f"{second}.csv"))
     return intake.outcomes(tasks, records)
 
 

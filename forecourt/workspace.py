@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _landed: dict[tuple[str, str], str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,7 +33,60 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path under the shared root that no earlier run has used."""
     app = spark.sparkContext.applicationId
-    return f"{shared_root(spark)}/forecourt/{app}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/forecourt/{app}/{label}-{uuid.uuid4().hex[:12]}"
+    if app not in _made:
+        _made[app] = []
+        atexit.register(_purge_at_exit, spark)
+    _made[app].append(path)
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as its object."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it lies; a missing one is no error."""
+    files, place = file_system(spark, path)
+    files.delete(place, True)
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete every intermediate folder of this application; tables read from them are gone.
+
+    Runs by itself when the interpreter ends with a live session.  A service that stops its
+    sessions calls it before.
+    """
+    app = spark.sparkContext.applicationId
+    if _made.pop(app, None) is not None:
+        remove(spark, f"{shared_root(spark)}/forecourt/{app}")
+    for key in [k for k in _landed if k[0] == app]:
+        del _landed[key]
+
+
+def _purge_at_exit(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if getattr(context, "_jsc", None) is not None and not context._jsc.sc().isStopped():
+        purge(spark)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate folders made inside are deleted on leaving: the work must be done by then."""
+    app = spark.sparkContext.applicationId
+    before = set(_made.get(app, []))
+    try:
+        yield
+    finally:
+        mine = [p for p in _made.get(app, []) if p not in before]
+        for path in mine:
+            remove(spark, path)
+            _made[app].remove(path)
+        for key in [k for k, p in _landed.items() if k[0] == app and p in mine]:
+            del _landed[key]
 
 
 def landed_once(spark: SparkSession, label: str, write) -> str:
@@ -46,7 +103,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """The same rows from a table written to the shared root (this runs a job).
 
     Evaluated once and not again when executors are lost; readers fetch only the columns
-    they use.
+    they use.  The copy stays until ``scratch`` is left, ``purge`` is called or the
+    application ends.
     """
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
