@@ -50,15 +50,16 @@ def dedup_columns(df: DataFrame, fields: str, order: Sequence[Column] | None = N
     return first_per_key(df, [F.col(f"`{c}`") for c in names], order)
 
 
-def dedup_lines(lines: DataFrame, fields: str) -> DataFrame:
+def dedup_lines(lines: DataFrame, fields: str, within: Sequence[str] = ()) -> DataFrame:
     """Deduplicate text lines by 1-based comma positions (``1,3``), keeping whole lines.
 
     Among lines with equal fields the smallest line is kept.  ``_ALL_FIELDS_`` compares
-    whole lines.  A position beyond the line's end counts as NULL.
+    whole lines.  A position beyond the line's end counts as NULL.  ``within`` names columns
+    (such as the file) across which lines are never duplicates; they are kept.
     """
     if fields == ALL_FIELDS:
-        return distinct_rows(lines.select("value"))
+        return distinct_rows(lines.select("value", *within))
     keys = [field_at(F.col("value"), int(p.strip())) for p in fields.split(",")]
     names = [f"_key{i}" for i in range(len(keys))]
-    keyed = lines.select("value", *[k.alias(n) for k, n in zip(keys, names)])
-    return keyed.groupBy(*names).agg(F.min("value").alias("value")).select("value")
+    keyed = lines.select("value", *within, *[k.alias(n) for k, n in zip(keys, names)])
+    return keyed.groupBy(*within, *names).agg(F.min("value").alias("value")).select("value", *within)

@@ -12,16 +12,20 @@ from forecourt.workspace import stored
 def number_rows(df: DataFrame, order: Sequence[Column], name: str, start: int = 1) -> DataFrame:
     """Consecutive numbers in a global order, without pulling all rows into one task.
 
-    The rows are range-sorted and written once (this runs a job) together with their
-    partition and their place in it; a row's number is its place plus the sizes of the
-    partitions before.  ``order`` should be unique, else tied rows get their numbers in no
-    particular order.
+    The rows are range-sorted and numbered as they then lie.  ``order`` should be unique,
+    else tied rows get their numbers in no particular order.
+    """
+    return numbered_as_sorted(df.orderBy(*order), name, start)
+
+
+def numbered_as_sorted(df: DataFrame, name: str, start: int = 1) -> DataFrame:
+    """Consecutive numbers in the order that ``df``, the result of a sort, already has.
+
+    The rows are written once (this runs a job) together with their partition and their
+    place in it; a row's number is its place plus the sizes of the partitions before.
     """
     in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = stored(
-        df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_place": in_partition}),
-        "numbered",
-    )
+    placed = stored(df.withColumns({"_part": F.spark_partition_id(), "_place": in_partition}), "numbered")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition: the window and the broadcast are bounded by that number.

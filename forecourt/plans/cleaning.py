@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,6 +12,7 @@ from forecourt.operators import dedup, words
 from forecourt.sinks import files as sinks
 from forecourt.sources import files as sources
 from forecourt.sources.catalog import has_files
+from forecourt.workspace import file_system, remove
 
 
 # Fixed value: what a job on an empty zone answers.
@@ -51,10 +53,92 @@ def deduplicate_file(
     return out
 
 
-def deduplicate_files(spark: SparkSession, paths: Sequence[str], fields: str, folder: str, **options) -> list[str]:
+def file_groups(
+    spark: SparkSession, paths: Sequence[str], charset: str | None = None, schema: str | None = None
+) -> list[tuple[str, str, list[str]]]:
+    """The paths as ``(kind, charset, paths)``: what one reader can scan together.
+
+    Text files are one group, CSV files one per charset and header, found for all of them in
+    one job; with a charset and a schema given no job is needed.  A path whose files differ
+    is an error.
+    """
     if not paths:
         raise ValueError("no files given")
-    return [deduplicate_file(spark, p, fields, folder, **options) for p in paths]
+    kinds: dict[str, list[str]] = {}
+    for path in paths:
+        kinds.setdefault(sources.file_kind(path), []).append(path)
+    if set(kinds) - {"csv", "txt"}:
+        raise ValueError(f"unsupported file format: {sorted(set(kinds) - {'csv', 'txt'})}")
+    groups = [("txt", "UTF-8", kinds["txt"])] if "txt" in kinds else []
+    csv = kinds.get("csv", [])
+    if csv and charset and schema:
+        groups.append(("csv", charset, csv))
+    elif csv:
+        found = sources.given_paths(spark, sources.described_files(spark, csv), csv)
+        looks = {}
+        for r in found.select("given", "charset", F.hex("header").alias("header")).distinct().collect():
+            looks.setdefault(r["given"], set()).add((charset or r["charset"], r["header"]))
+        by_look: dict[tuple[str, str], list[str]] = {}
+        for i, path in enumerate(csv):
+            if len(looks.get(i, ())) > 1:
+                raise ValueError(f"files under {path} have different charsets or headers")
+            by_look.setdefault(next(iter(looks.get(i, [(charset or "UTF-8", "")]))), []).append(path)
+        groups += [("csv", look[0], members) for look, members in by_look.items()]
+    return groups
+
+
+def _read_group(spark: SparkSession, kind: str, charset: str, paths: list[str], schema: str | None, infer: bool) -> DataFrame:
+    if kind == "csv":
+        return sources.read_csv(spark, paths, schema=schema, charset=charset, infer=infer)
+    return sources.read_lines(spark, paths)
+
+
+def deduplicate_files(
+    spark: SparkSession,
+    paths: Sequence[str],
+    fields: str,
+    folder: str,
+    single_file: bool = False,
+    charset: str | None = None,
+    schema: str | None = None,
+    infer: bool = True,
+) -> list[str]:
+    """``deduplicated_<name>`` of every file, each by itself, from one scan per group of files.
+
+    Files of one group are typed together, deduplicated by file and fields, written with a
+    folder per file, and the folders renamed.  Returns where they are, in the order given.
+    """
+    outs = [sinks.dedup_path(folder, p) for p in paths]
+    for kind, found, members in file_groups(spark, paths, charset, schema):
+        df = _read_group(spark, kind, found, members, schema, infer)
+        columns = df.columns
+        df = df.select("*", F.col("_metadata.file_path").alias("_path"))
+        files = df.select(F.col("_path").alias("path")).distinct()
+        placed = sources.given_paths(spark, files, members).withColumnRenamed("path", "_path")
+        df = df.join(placed, "_path").select(*[F.col(f"`{c}`") for c in columns], "given")
+        if kind == "csv":
+            rows = dedup.dedup_columns(df, fields if fields == dedup.ALL_FIELDS else f"given,{fields}")
+        else:
+            rows = dedup.dedup_lines(df, fields, ["given"])
+        if single_file:
+            rows = rows.repartition("given")
+        work = f"{folder.rstrip('/')}/_deduplicating-{uuid.uuid4().hex[:12]}"
+        writer = rows.write.partitionBy("given")
+        if kind == "csv":
+            writer.options(header=True, encoding="UTF-8", **sinks.TIME_FORMATS).csv(work)
+        else:
+            writer.text(work)
+        system, _ = file_system(spark, work)
+        for i, path in enumerate(members):
+            made, target = (file_system(spark, p)[1] for p in (f"{work}/given={i}", sinks.dedup_path(folder, path)))
+            if system.exists(target):
+                raise FileExistsError(target.toString())
+            if system.exists(made):
+                system.rename(made, target)
+            else:
+                system.mkdirs(target)  # the file had no rows
+        remove(spark, work)
+    return outs
 
 
 def field_columns(df: DataFrame, fields: str, kind: str):
@@ -75,13 +159,15 @@ def count_file_words(
     schema: str | None = None,
     infer: bool = True,
 ) -> DataFrame:
-    """Word frequency of chosen fields over all files (of one kind); optionally written."""
-    if not paths:
-        raise ValueError("no files given")
+    """Word frequency of chosen fields over all files; optionally written.
+
+    The files are read in groups (see ``file_groups``), so the plan grows with the number of
+    different headers and charsets, not of files.
+    """
     values = []
-    for path in paths:
-        df = _read(spark, path, charset, schema, infer)
-        values.append(words.field_values(df, field_columns(df, fields, sources.file_kind(path))))
+    for kind, found, members in file_groups(spark, paths, charset, schema):
+        df = _read_group(spark, kind, found, members, schema, infer)
+        values.append(words.field_values(df, field_columns(df, fields, kind)))
     freq = words.count_field_words(reduce(DataFrame.unionByName, values))
     if out:
         sinks.write_word_frequency(freq, out)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forecourt.functions.text import field_at
+from forecourt.operators.ranking import number_rows
+from forecourt.workspace import file_system
 
 # Candidate charsets in order of preference, and the characters that reject
 # a candidate (control characters but tab, CR and LF; U+FFFD and above).
@@ -127,6 +130,7 @@ def _raw_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return lines.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_size").alias("file_size"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("place"),
         "value",
     )
 
@@ -146,9 +150,15 @@ def detect_charsets(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
     newline byte inside a longer character.)  The reader drops a UTF-8 byte order mark,
     which shows as bytes missing from the sum of line lengths; a marked file is UTF-8.
     """
+    return described_files(spark, paths).select("path", "charset")
+
+
+def described_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``(path, charset, header)`` of every file, from one pass; the header is the raw first line."""
     lines = _raw_lines(spark, paths).select(
         "path",
         "file_size",
+        "place",
         "value",
         (F.octet_length("value") + 1).cast("bigint").alias("n_bytes"),
         (~F.col("value").rlike(r"[^\x00-\x7F]")).alias("plain"),
@@ -164,13 +174,37 @@ def detect_charsets(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
         )
     per_file = judged.groupBy("path", "file_size").agg(
         F.sum("n_bytes").alias("n_bytes"),
+        F.min_by("value", "place").alias("header"),
         *[F.bool_and(f"ok{i}").alias(f"ok{i}") for i in range(len(CHARSETS))],
     )
     missing = F.col("file_size") - F.col("n_bytes")  # 3, or 2 without a last newline
     chosen = F.when(missing.isin(2, 3), F.lit(CHARSETS[0]))
     for i, charset in enumerate(CHARSETS):
         chosen = chosen.when(F.col(f"ok{i}"), F.lit(charset))
-    return per_file.select("path", chosen.otherwise(F.lit(CHARSETS[0])).alias("charset"))
+    return per_file.select("path", chosen.otherwise(F.lit(CHARSETS[0])).alias("charset"), F.rtrim(F.col("header"), F.lit("\r")).alias("header"))
+
+
+def plain_path(c: Column) -> Column:
+    """One spelling of the path in a file column: ``file:///x`` is ``file:/x``, escapes are undone."""
+    unescaped = F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(unescaped, "^([A-Za-z0-9]+):/+", "$1:/")
+
+
+def given_paths(spark: SparkSession, files: DataFrame, given: Sequence[str]) -> DataFrame:
+    """``files`` (``path``) with ``given``: the place in the list of the path that holds the file.
+
+    Every folder above a file is offered as a key, so this is an equality join, whatever the
+    number of paths.
+    """
+    rows = []
+    for i, path in enumerate(given):
+        system, place = file_system(spark, path)
+        rows.append((i, re.sub("^([A-Za-z0-9]+):/+", r"\1:/", system.makeQualified(place).toString())))
+    named = spark.createDataFrame(rows, "given int, named string")
+    parts = F.split("_plain", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
+    keyed = files.withColumn("_plain", plain_path(F.col("path"))).withColumn("named", above)
+    return keyed.join(named, "named").drop("named", "_plain")
 
 
 def charset_of(spark: SparkSession, path: str) -> str:
@@ -182,13 +216,20 @@ def charset_of(spark: SparkSession, path: str) -> str:
 
 
 def preview_lines(spark: SparkSession, paths: str | Sequence[str], charset: str) -> DataFrame:
-    """``(path, line)``: the whole text of files in a charset, malformed bytes as U+FFFD."""
+    """``(path, position, line)``: the whole text of files in a charset, malformed bytes as U+FFFD.
+
+    Positions count a file's lines from 1, so its text can be put together again.  They are
+    found without gathering a file in one task (this runs a job).
+    """
     lines = _raw_lines(spark, paths)
     line = F.regexp_replace("value", "\r$", "")
     with _java_charsets(spark):
         if charset.upper() != "UTF-8":
             line = F.regexp_replace(F.decode(F.col("value").cast("binary"), charset), "\r$", "")
-        return lines.select("path", line.alias("line"))
+        decoded = lines.select("path", "place", line.alias("line"))
+        numbered = number_rows(decoded, [F.col("path"), F.col("place.block"), F.col("place.id")], "_n")
+    first = numbered.groupBy("path").agg(F.min("_n").alias("_first"))
+    return numbered.join(first, "path").select("path", (F.col("_n") - F.col("_first") + 1).alias("position"), "line")
 
 
 def preview_original(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

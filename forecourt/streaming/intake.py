@@ -16,6 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from forecourt.functions import names
 from forecourt.operators.dedup import first_per_key
 from forecourt.sources.catalog import listed_files
+from forecourt.sources.files import plain_path
 from forecourt.workspace import file_system, stored
 
 #: How much older than the newest file seen a file may be.  Far out: no file is too old.
@@ -148,11 +149,6 @@ def keep_ledger(
     return triggered(writer, every).start()
 
 
-def _plain_path(c: Column) -> Column:
-    """One spelling of a file's path: ``file:///x`` and ``file:/x`` are the same, escapes undone."""
-    return F.regexp_replace(_unescaped(c), "^([A-Za-z0-9]+):/+", "$1:/")
-
-
 def reconcile(spark: SparkSession, folders: str | Sequence[str], ledger: str) -> int:
     """Enter files that the stream cannot see: empty ones, and those sent again under one path.
 
@@ -162,10 +158,10 @@ def reconcile(spark: SparkSession, folders: str | Sequence[str], ledger: str) ->
     listed by the catalog but are no uploads.  Returns the number of records added.
     """
     files = listed_files(spark, folders).filter(~F.regexp_extract("path", "([^/]*)$", 1).rlike("^[_.]"))
-    files = files.withColumn("key", _plain_path(F.replace(F.col("path"), F.lit("%"), F.lit("%25"))))
+    files = files.withColumn("key", plain_path(F.replace(F.col("path"), F.lit("%"), F.lit("%25"))))
     known = spark.read.parquet(ledger) if file_system(spark, ledger)[0].exists(file_system(spark, ledger)[1]) else None
     if known is not None and known.columns:
-        seen = known.select(_plain_path(F.col("file_path")).alias("key"), F.col("receive_time").alias("modify_time"))
+        seen = known.select(plain_path(F.col("file_path")).alias("key"), F.col("receive_time").alias("modify_time"))
         files = files.join(seen, ["key", "modify_time"], "left_anti")
     missing = stored(files, "missing")
     last = -1 if known is None else (known.agg(F.min("batch_id").cast("long")).first()[0] or 0)

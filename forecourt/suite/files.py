@@ -292,6 +292,66 @@ def k3_word_frequency_csv(spark, sf_dir):
     return reader.schema(schemas.WORD_FREQUENCY).csv(out)
 
 
+def _many_files(spark, sf_dir):
+    """The events in twenty CSV files with two headers and two charsets, and in five text files."""
+
+    def write(path):
+        events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+        for i in range(20):
+            mine = events.filter(F.col("event_id") % 25 == i)
+            mine = mine.select("event_type", "user_id") if i % 2 else mine.select("user_id", "event_type", F.lit("销量").alias("note"))
+            sinks.write_csv(mine, f"{path}/f{i}.csv", charset="UTF-8" if i % 2 else "GBK")
+        for i in range(20, 25):
+            line = F.concat_ws(",", "user_id", "event_type")
+            sinks.write_lines(events.filter(F.col("event_id") % 25 == i).select(line.alias("value")), f"{path}/f{i}.txt")
+
+    root = landed_once(spark, f"{sf_dir}/many_files", write)
+    return [f"{root}/f{i}.csv" for i in range(20)], [f"{root}/f{i}.txt" for i in range(20, 25)]
+
+
+@query(
+    "k3_many_files",
+    """SELECT 'event_type' AS field, event_type AS word, CAST(count(*) AS BIGINT) AS freq FROM events
+       WHERE event_id % 25 < 20 GROUP BY event_type
+       UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR), count(*) FROM events WHERE event_id % 25 < 20 GROUP BY user_id""",
+)
+def k3_many_files(spark, sf_dir):
+    return cleaning.count_file_words(spark, _many_files(spark, sf_dir)[0], "event_type,user_id")
+
+
+@query(
+    "k1_many_files",
+    """SELECT DISTINCT 'f' || CAST(event_id % 25 AS VARCHAR) AS file, CAST(user_id AS VARCHAR) AS user_id, event_type
+       FROM events""",
+)
+def k1_many_files(spark, sf_dir):
+    tabular, lines = _many_files(spark, sf_dir)
+    out = fresh_dir(spark, "k1-many")
+    found = cleaning.deduplicate_files(spark, tabular, "user_id,event_type", out)
+    found_lines = cleaning.deduplicate_files(spark, lines, "1,2", out)
+    file = F.regexp_extract(F.col("_metadata.file_path"), "deduplicated_(f[0-9]+)", 1).alias("file")
+    user_first, kind_first = (sources.read_text_csv(spark, [p for i, p in enumerate(found) if i % 2 == odd]) for odd in (0, 1))
+    fields = F.split("value", ",")
+    text = sources.read_lines(spark, found_lines).select(file, fields[0].alias("user_id"), fields[1].alias("event_type"))
+    rows = [df.select(file, "user_id", "event_type") for df in (user_first, kind_first)]
+    return rows[0].unionByName(rows[1]).unionByName(text)
+
+
+@query(
+    "s12_preview_positions",
+    """SELECT 1 AS position, 'o_orderkey,region' AS line UNION ALL
+       SELECT 1 + row_number() OVER (ORDER BY o_orderkey),
+              CAST(o_orderkey AS VARCHAR) || ',' || ['北京', '上海', '广州', '深圳', '成都', '南京', '杭州'][o_orderkey % 7 + 1]
+       FROM orders""",
+)
+def s12_preview_positions(spark, sf_dir):
+    path = f"{fresh_dir(spark, 's12')}/sorted"
+    region = F.element_at(F.array(*[F.lit(r) for r in REGIONS]), (F.col("o_orderkey") % len(REGIONS) + 1).cast("int"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", region.alias("region"))
+    sinks.write_csv(orders.coalesce(1).sortWithinPartitions("o_orderkey"), path, charset="GBK")
+    return sources.preview_original(spark, path).select("position", "line")
+
+
 @query(
     "k9_saved_counts",
     """SELECT '(' || event_type || ',' || CAST(count(*) AS VARCHAR) || ')' AS value FROM events GROUP BY event_type""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from forecourt.functions import names
 from forecourt.operators import filelists
+from forecourt.operators.ranking import numbered_as_sorted
 from forecourt.sources.catalog import as_catalog, file_catalog
 from forecourt.suite import query, views
 from forecourt.suite.views import FILE_ROWS, table
@@ -150,6 +151,15 @@ def t2_sorted_by_size(spark, sf_dir):
     return listed.select("path", "name", "size", "modify_time")
 
 
+@query(
+    "t2_order",
+    f"""WITH {FILE_ROWS} SELECT size, CAST(row_number() OVER (ORDER BY size DESC) AS BIGINT) AS position FROM files""",
+)
+def t2_order(spark, sf_dir):
+    listed = filelists.sorted_by(_catalog(spark, sf_dir), "size", descending=True)
+    return numbered_as_sorted(listed, "position").select("size", "position")
+
+
 @query(
     "t5_listing",
     f"""WITH {FILE_ROWS} SELECT name, CASE WHEN size < 1024 THEN CAST(size AS VARCHAR) || ' B'

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from forecourt import schemas
 from forecourt.operators import sales
+from forecourt.operators.ranking import numbered_as_sorted
 from forecourt.plans import sales_report
 from forecourt.sinks import tables
 from forecourt.suite import query
@@ -37,6 +38,16 @@ def p3_sales_year(spark, sf_dir):
     return sales.sales_of(car_sales(spark, sf_dir), "1996")
 
 
+@query(
+    "t1_order",
+    f"""WITH {CAR_SALES} SELECT model, CAST(row_number() OVER (ORDER BY model NULLS FIRST) AS BIGINT) AS position FROM car_sales
+        WHERE sale_date >= DATE '1996-01-01' AND sale_date < DATE '1997-01-01'""",
+)
+def t1_order(spark, sf_dir):
+    ordered = sales.sales_of(car_sales(spark, sf_dir), "1996")
+    return numbered_as_sorted(ordered, "position").select("model", "position")
+
+
 @query("p3_month_folders", _period_sql("sale_date >= DATE '1996-03-01' AND sale_date < DATE '1996-04-01'"))
 def p3_month_folders(spark, sf_dir):
     path = landed_once(
