@@ -16,8 +16,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Rules beside the base: the share of symbols among characters, of repeated lines among
 #: lines, and the mean length of a word.
-MAX_SYMBOL_SHARE = 0.1
-MAX_DUP_LINE_SHARE = 0.3
+MAX_SYMBOL_SHARE = 0.05
+MAX_DUP_LINE_SHARE = 0.4
 WORD_LENGTHS = (2.0, 15.0)
 #: A host whose shrunk failure rate is above the first loses its doubtful documents (those
 #: that fail a rule outside the base); above the second it loses all its documents.
