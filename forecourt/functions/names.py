@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from forecourt.functions.text import java_trim
@@ -94,3 +96,9 @@ def file_stamp(ts: Column) -> Column:
 
 def result_label(operation: str, field: Column, millis: Column) -> Column:
     return F.concat_ws("_", F.lit(operation), safe_label(field), F.concat(millis.cast("string"), F.lit(".csv")))
+
+
+def result_path(folder: str, operation: str, field: str, millis: int) -> str:
+    """Where a job's result goes: ``<operation>_<field>_<millis>.csv``, other characters as ``_``."""
+    label = re.sub("[^a-zA-Z0-9]", "_", field)
+    return f"{folder.rstrip('/')}/{operation}_{label}_{millis}.csv"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from forecourt.functions import names
 from forecourt.operators import dedup, words
 from forecourt.sinks import files as sinks
 from forecourt.sources import files as sources
@@ -174,6 +176,13 @@ def count_file_words(
     return freq
 
 
+def save_result(df: DataFrame, folder: str, operation: str, field: str) -> str:
+    """Write a job's result as CSV under a name that tells the job, the field and the time."""
+    out = names.result_path(folder, operation, field, time.time_ns() // 1_000_000)
+    sinks.write_csv(df, out)
+    return out
+
+
 def zone_job(spark: SparkSession, folder: str | Sequence[str], job_type: str) -> DataFrame:
     """``dedup``: distinct lines of all files of a zone; any other type: token counts.
 

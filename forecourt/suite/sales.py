@@ -57,6 +57,7 @@ def p3_month_folders(spark, sf_dir):
     return sales.sales_of(spark.read.schema(schema).parquet(path), "1996-03").drop(sales.MONTH_COLUMN)
 
 
+# Fixed values in the SQL below: names, separators and report texts of the platform.
 BY_MODEL = """by_model AS (
   SELECT coalesce(model, '未知车型') AS model, CAST(sum(sales_volume) AS BIGINT) AS volume,
          CAST(sum(inventory) AS BIGINT) AS inventory, CAST(count(*) AS BIGINT) AS n_rows,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _landed: dict[tuple[str, str], str] = {}
 _made: dict[str, list[str]] = {}
+_landing: list[float] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -94,11 +96,18 @@ def landed_once(spark: SparkSession, label: str, write) -> str:
     key = (spark.sparkContext.applicationId, label)
     if key not in _landed:
         path = fresh_dir(spark, re.sub(r"[^A-Za-z0-9.]+", "_", label))
+        start = time.perf_counter()
         write(path)
+        _landing.append(time.perf_counter() - start)
         _landed[key] = path
     return _landed[key]
 
 
+def landing_seconds() -> float:
+    """Seconds that ``landed_once`` has spent on writing so far."""
+    return sum(_landing)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The same rows from a table written to the shared root (this runs a job).
 

@@ -1,6 +1,7 @@
 """Nothing is lost: old, empty, re-sent and hidden files, many slices, tables over sessions, copies gone."""
 
 import os
+import re
 import time
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from forecourt import workspace
 from forecourt.operators import geo, sales, stats
-from forecourt.operators.ranking import number_rows
+from forecourt.operators.ranking import last_per_key, number_rows
 from forecourt.plans import cleaning
 from forecourt.sinks import files as sinks
 from forecourt.sinks import tables
@@ -220,3 +221,16 @@ def test_scratch_copies_go(spark):
         number_rows(spark.range(10), [F.col("id")], "n").count()
         assert len(set(os.listdir(root)) - before) == 1
     assert set(os.listdir(root)) == before
+
+
+def test_many_rows_per_key_beyond_the_task_cut(spark):
+    """Above the planner's limit of 1,000 rows there is no cut in tasks; the rows are the same."""
+    df = spark.range(6000).select((F.col("id") % 2).alias("k"), "id")
+    got = last_per_key(df, ["k"], [F.col("id").desc()], 1500)
+    assert got.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")).orderBy("k").collect() == [(0, 1500, 3000), (1, 1500, 3001)]
+
+
+def test_results_are_named_by_job_field_and_time(spark, tmp_path):
+    out = cleaning.save_result(spark.range(3), str(tmp_path), "count", "Length(mm)")
+    assert re.fullmatch(r"count_Length_mm__\d{13}[.]csv", os.path.basename(out))
+    assert spark.read.option("header", True).csv(out).count() == 3

@@ -15,6 +15,7 @@ def test_schema_parses(spark, name):
     assert StructType.fromDDL(getattr(schemas, name)).fields
 
 
+# Headers of the exchanged files.
 HEADER = "ID,Brand,Model,Year,Horsepower,Torque,FuelType,Length(mm),Width(mm),Height(mm)"
 
 
