@@ -13,11 +13,13 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from forecourt.llm.packing import byte_alphabet
 from forecourt.llm.text import slices
@@ -58,7 +60,9 @@ class Codec:
         self.final = np.array([self.ids[c + _END] for c in self.shown])
         self._trie()
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words_of = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.library = Tokenizer.from_str(file)
+        self.classes = {c: pre_tokenizers.Split(Regex(rf"\p{{{c}}}"), "isolated") for c in "LN"}
         self.specials_in = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.numbers = {i: str(i) for i in self.tokens}
         self.known: dict[str | int, tuple[int, str, str]] = {i: (1, str(i), t) for t, i in self.special.items()}
@@ -237,6 +241,29 @@ class Codec:
             return regex.findall(r"\S+", text)
         return text.split()
 
+    def words_of(self, chunk: str) -> list[str]:
+        """The words of a chunk by the file's pattern.
+
+        Beyond ASCII each character is matched by way of one that stands for its class, from
+        ``unicodedata``.  Characters that are unassigned there may be newer letters or
+        numbers: the tokenizer library knows their class and lower case.
+        """
+        if chunk.isascii():
+            return self.pattern.findall(chunk)
+        if any(category(c) == "Cn" for c in chunk):
+            chunk = self.library.normalizer.normalize_str(chunk)
+        shape = "".join([c if c.isascii() else self.stand_in(c) for c in chunk])
+        return [chunk[m.start() : m.end()] for m in self.pattern.finditer(shape)]
+
+    def stand_in(self, c: str) -> str:
+        """A letter, a number or a symbol in place of a character of that class."""
+        kind = category(c)
+        if kind == "Cn":
+            for name, split in self.classes.items():
+                if len(split.pre_tokenize_str("\1" + c)) > 1:
+                    kind = name
+        return {"L": "Z", "N": "0"}.get(kind[0], "\1")
+
     def learn(self, fresh: list[str]) -> None:
         """Remember the tokens of chunks: how many, their ids and their texts, as strings."""
         words = [[c] if c.isalpha() else self.words_of(c) for c in fresh]

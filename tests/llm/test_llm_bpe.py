@@ -56,6 +56,11 @@ def test_texts_of_few_characters(text):
     assert next(iter(CODEC.encode([text]))) == expected(text)
 
 
+def test_new_and_unassigned_characters():
+    for text in (":\U0003d000", "a\u0558b", "\u0378\u0379 ½²x", "٣٤a", "\u00ad-\u200bz", ":\U00013460", "x\u1c89\u1c8a.", "1\U00010d40-"):
+        assert next(iter(CODEC.encode([text]))) == expected(text)
+
+
 def test_special_tokens_are_found_as_written():
     for text in ("a<|endoftext|>b", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> x", "<|endoftext|"):
         assert next(iter(CODEC.encode([text]))) == expected(text)
