@@ -293,17 +293,18 @@ def k3_word_frequency_csv(spark, sf_dir):
 
 
 def _many_files(spark, sf_dir):
-    """The events in twenty CSV files with two headers and two charsets, and in five text files."""
+    """All events in twenty CSV files with two headers and two charsets, and again in five text files."""
 
     def write(path):
         events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
         for i in range(20):
-            mine = events.filter(F.col("event_id") % 25 == i)
+            mine = events.filter(F.col("event_id") % 20 == i)
             mine = mine.select("event_type", "user_id") if i % 2 else mine.select("user_id", "event_type", F.lit("销量").alias("note"))
             sinks.write_csv(mine, f"{path}/f{i}.csv", charset="UTF-8" if i % 2 else "GBK")
         for i in range(20, 25):
             line = F.concat_ws(",", "user_id", "event_type")
-            sinks.write_lines(events.filter(F.col("event_id") % 25 == i).select(line.alias("value")), f"{path}/f{i}.txt")
+            mine = events.filter(F.col("event_id") % 5 == i - 20)
+            sinks.write_lines(mine.select(line.alias("value")), f"{path}/f{i}.txt")
 
     root = landed_once(spark, f"{sf_dir}/many_files", write)
     return [f"{root}/f{i}.csv" for i in range(20)], [f"{root}/f{i}.txt" for i in range(20, 25)]
@@ -311,9 +312,8 @@ def _many_files(spark, sf_dir):
 
 @query(
     "k3_many_files",
-    """SELECT 'event_type' AS field, event_type AS word, CAST(count(*) AS BIGINT) AS freq FROM events
-       WHERE event_id % 25 < 20 GROUP BY event_type
-       UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR), count(*) FROM events WHERE event_id % 25 < 20 GROUP BY user_id""",
+    """SELECT 'event_type' AS field, event_type AS word, CAST(count(*) AS BIGINT) AS freq FROM events GROUP BY event_type
+       UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR), count(*) FROM events GROUP BY user_id""",
 )
 def k3_many_files(spark, sf_dir):
     return cleaning.count_file_words(spark, _many_files(spark, sf_dir)[0], "event_type,user_id")
@@ -321,8 +321,9 @@ def k3_many_files(spark, sf_dir):
 
 @query(
     "k1_many_files",
-    """SELECT DISTINCT 'f' || CAST(event_id % 25 AS VARCHAR) AS file, CAST(user_id AS VARCHAR) AS user_id, event_type
-       FROM events""",
+    """SELECT DISTINCT 'f' || CAST(event_id % 20 AS VARCHAR) AS file, CAST(user_id AS VARCHAR) AS user_id, event_type
+       FROM events
+       UNION ALL SELECT DISTINCT 'f' || CAST(20 + event_id % 5 AS VARCHAR), CAST(user_id AS VARCHAR), event_type FROM events""",
 )
 def k1_many_files(spark, sf_dir):
     tabular, lines = _many_files(spark, sf_dir)
