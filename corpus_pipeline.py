@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from forecourt.llm import line_dedup, packing, quality, simhash, suffix_dedup
-from forecourt.workspace import stored
+from forecourt.workspace import fresh_dir, remove, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -61,7 +61,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each on what the one before has written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        path = fresh_dir(spark, name.replace(" ", "_"))
+        with scratch(spark):  # what the stage has written on its way goes with it
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

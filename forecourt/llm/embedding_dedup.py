@@ -14,7 +14,7 @@ from forecourt.llm.text import slices
 from forecourt.workspace import stored
 
 COSINE = 0.95
-#: The cells are fitted to a bounded sample: this many vectors, or 16 for each centroid.
+#: The cells are fitted to a bounded sample: about this many vectors, or 16 for each centroid.
 SAMPLE = 20_000
 MAX_CELLS = 4096
 #: Vectors of a cell that one task compares with as many others twice over.
@@ -156,8 +156,13 @@ def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     common = nodes.groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     if common is None:
         return nodes.sparkSession.createDataFrame([], "node bigint, links bigint, label bigint")
-    sample = nodes.filter(F.size("vector") == common["dims"]).orderBy(F.xxhash64("node", F.lit(1))).limit(size)
-    points = _matrix(sample.select("vector").toArrow().column("vector").combine_chunks())
+    fitting = nodes.filter(F.size("vector") == common["dims"])
+    if common["count"] > size:
+        # About ``size`` of them, by hash: each task picks its own, and none sorts for all.
+        draw = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40))
+        fitting = fitting.filter(draw < int((1 << 40) * size / common["count"]))
+    drawn = fitting.select("node", "vector").toArrow().sort_by("node")
+    points = _matrix(drawn.column("vector").combine_chunks())
     table = stored(assigned(nodes, spherical_kmeans(points, cells), cosine), "cells")
     member = table.select("node", "copies", "vector", "cells", F.posexplode("cells").alias("visit", "cell"))
     counts = (

@@ -58,6 +58,15 @@ def test_dense_groups_in_blocks(spark, monkeypatch, home, query):
     assert result(near_duplicates(frame(spark, rows))) == slow(rows)
 
 
+def test_cells_from_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 64)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(200, 24))
+    vectors = np.concatenate([base, base[:80] + 0.04 * rng.normal(size=(80, 24))])
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    assert result(near_duplicates(frame(spark, rows))) == slow(rows)
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs that only just link are found even where the cells say little."""
     rng = np.random.default_rng(5)
