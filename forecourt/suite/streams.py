@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import calendar
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from forecourt.functions import names
+from forecourt.operators.ranking import number_rows
 from forecourt.sinks.files import write_csv
 from forecourt.streaming import intake, state
 from forecourt.suite import query
@@ -188,8 +189,7 @@ def i6_ranked_totals(spark, sf_dir):
 def i7_outcomes(spark, sf_dir):
     # A task per file and one that nothing was sent for; the deadline cuts off the later files.
     kinds = table(spark, sf_dir, "events").select("event_type").distinct()
-    place = F.row_number().over(Window.orderBy("event_type")).cast("bigint")  # few types
-    kinds = kinds.withColumn("place", place)
+    kinds = number_rows(kinds, [F.col("event_type")], "place")
     file_name = F.concat(F.col("event_type"), F.lit(".csv"))
     sent = kinds.select(F.col("place").alias("task_id"), file_name.alias("file_name"))
     never = kinds.select((F.col("place") + 100).alias("task_id"), F.concat(F.lit("never_"), file_name).alias("file_name"))
