@@ -19,19 +19,21 @@ import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from forecourt.llm.text import utf8_column
+from forecourt.llm.text import slices, utf8_column
 from forecourt.workspace import stored
 
 #: Words that are sent to every task with their counts; the others are joined.  A bound.
 DICTIONARY = 200_000
 #: Symbols: own ones of words, and shared ones by the last two bytes of a word.
-OWN, SHARED = 447, 64
+OWN, SHARED = 191, 64
 HIDDEN = 16
 #: Steps through which errors are followed back, and texts trained side by side.
-WINDOW, STREAMS = 16, 256
+WINDOW, STREAMS = 16, 512
+#: Texts that a task turns into numbers at a time.
+TEXTS = 4096
 #: The texts are dealt to so many rounds by hash; models are averaged after each.
 ROUNDS = 3
-RATE = 0.05
+RATE = 0.1
 _FLUSH = 300_000
 
 
@@ -113,7 +115,17 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     """The bounded part of ``counts`` (stored) and its totals; ``texts`` is how many were counted."""
-    top = counts.orderBy(F.desc("c"), "word").limit(DICTIONARY).toArrow()
+    # Words by steps of their count's logarithm: some hundred rows.  The dictionary takes all
+    # words of the highest steps that fit, so nothing is sorted or cut in one task.
+    step = F.floor(F.log2("c") * 16).cast("int")
+    steps = {r["step"]: r["n"] for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}
+    least, room = None, DICTIONARY
+    for at in sorted(steps, reverse=True):
+        if steps[at] > room:
+            break
+        least, room = at, room - steps[at]
+    frequent = counts.filter(step >= least) if least is not None else counts.limit(0)
+    top = frequent.toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     words, c, k = top.column("word").to_pylist(), top.column("c").to_numpy(), top.column("k").to_numpy()
     sums = counts.groupBy("k").agg(
         F.sum("c").alias("c"), F.count("*").alias("words"), F.count(F.when(F.col("c") == 1, 1)).alias("once")
@@ -330,7 +342,7 @@ class Network:
             state = self.learn(inputs[cut], targets[cut], real[cut], state, end)
         return total
 
-    def scores(self, texts: list[np.ndarray], end: int, side_by_side: int = 512) -> np.ndarray:
+    def scores(self, texts: list[np.ndarray], end: int, side_by_side: int = 1536) -> np.ndarray:
         """Log10 probability of each whole text, its state carried from window to window."""
         out = np.zeros(len(texts))
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
@@ -340,9 +352,9 @@ class Network:
             state = np.zeros((len(mine), self.hidden), np.float32)
             last = np.full(len(mine), self.place[end])
             sums = np.zeros(len(mine))
-            for t in range(0, int(sizes[0]), 4 * WINDOW):
+            for t in range(0, int(sizes[0]), WINDOW):
                 live = int(np.searchsorted(-sizes, -t, side="left"))  # texts longer than t
-                steps = int(min(4 * WINDOW, sizes[0] - t))
+                steps = int(min(WINDOW, sizes[0] - t))
                 window = np.full((steps, live), -1, np.int64)
                 for j in range(live):
                     some = texts[mine[j]][t : t + steps]
@@ -385,7 +397,7 @@ def trained(texts: DataFrame, known: Vocabulary, sent: Broadcast, rounds: int =
             coder, network = Coder(vocabulary_), Network(vocabulary_.symbol_counts())
             network.load(start.value)
             seen = 0
-            for batch in batches:
+            for batch in slices(batches, TEXTS):
                 numbers = coder.numbers(utf8_column(batch, "text"))
                 symbols = coder.all_symbols()
                 end = np.array([vocabulary_.end])
@@ -432,7 +444,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         tail = np.arange(size) >= known_.own
         within[tail] = np.log10((1 - unseen[shared[tail]]) * known_.counts[tail] / known_.shared_total[shared[tail]])
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             numbers = coder.numbers(utf8_column(batch, "text"))
             symbols = coder.all_symbols()
             end = np.array([known_.end])
@@ -440,20 +452,25 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             base = np.full(len(numbers), np.log10(known_.ends + 0.1))
             n_known = np.zeros(len(numbers), np.int64)
             n_tokens = np.array([len(n) + 1 for n in numbers], np.int64)
-            rest = []
+            fresh, rest, times, ends = coder.ids.fresh, [], [], [0]
             for i, n in enumerate(numbers):
                 here = n[n < size]
                 base[i] += log_c[here].sum()
                 score[i] += within[here].sum()
                 n_known[i] = len(here) + (known_.ends > 0)
-                other, times = np.unique(n[n >= size], return_counts=True)
-                fresh = coder.ids.fresh
-                rest.append([{"word": fresh[o - size], "k": shared_symbol(fresh[o - size]), "times": c} for o, c in zip(other.tolist(), times.tolist())])
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32()), ("times", pa.int64())]))
+                other, often = np.unique(n[n >= size], return_counts=True)
+                rest.append(other - size)
+                times.append(often)
+                ends.append(ends[-1] + len(other))
+            # Words outside the dictionary as columns: no Python object per word and text.
+            at = pa.array(np.concatenate(rest))
+            kinds = pa.array(coder.all_symbols()[size:-1] - known_.own, pa.int32())
+            fields = [pa.array(fresh, pa.binary()).take(at), kinds.take(at), pa.array(np.concatenate(times), pa.int64())]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["word", "k", "times"]))
             ids = pa.array(np.arange(row, row + len(numbers)))
             row += len(numbers)
             yield pa.RecordBatch.from_arrays(
-                [ids, batch.column(0), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(score), pa.array(rest, kind)],
+                [ids, batch.column(0), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(score), lists],
                 names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"],
             )
             coder.ids.forget()
