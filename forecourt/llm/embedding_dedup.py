@@ -19,8 +19,8 @@ SAMPLE = 20_000
 MAX_CELLS = 4096
 #: Vectors of a cell that one task compares with as many others twice over.
 HOME_ROWS, QUERY_ROWS = 1024, 2048
-#: Widths of the spread that a link's difference makes in a cell's preference; see ``margin``.
-SPREADS = 2.3
+#: What rounding may add to a difference of likenesses.
+ROUNDING = 1e-6
 
 
 def valid(vector: Column) -> Column:
@@ -34,15 +34,20 @@ def cell_count(vectors: int) -> int:
     return max(1, min(MAX_CELLS, round(math.sqrt(vectors) / 2)))
 
 
-def margin(cosine: float, dims: int) -> float:
-    """How much less than its own cell a vector may prefer another and still visit it.
+def margins(centroids: np.ndarray, cosine: float) -> np.ndarray:
+    """How much less than its own cell (row) a vector may prefer another (column) and still visit it.
 
-    Two linked vectors differ by a chord; what it changes in the preference between two
-    cells is at most the chord times the distance of the centroids (a root of two), and
-    spreads as one over the root of the dimensions.  ``SPREADS`` spreads are allowed, in low
-    dimensions the whole bound.
+    Two linked vectors differ by a chord of ``sqrt(2 - 2 * cosine)`` at most.  What each
+    prefers its own cell over the other's by adds up to the chord times the distance of the
+    two centroids at most, so for one of them it is no more than half of that: in every
+    dimension, one of the two visits the cell of the other.
     """
-    return math.sin(math.acos(cosine)) * math.sqrt(2) * min(1.0, SPREADS / math.sqrt(dims))
+    apart = centroids @ centroids.T
+    np.clip(2 - 2 * apart, 0, None, out=apart)
+    np.sqrt(apart, out=apart)
+    apart *= 0.5 * math.sqrt(max(0.0, 2 - 2 * cosine))
+    apart += ROUNDING
+    return apart
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -77,21 +82,23 @@ def assigned(nodes: DataFrame, centroids: np.ndarray, cosine: float) -> DataFram
     Vectors of other dimensions than the centroids' share one cell per dimension.
     """
     dims = centroids.shape[1]
-    near = margin(cosine, dims)
     sent = nodes.sparkSession.sparkContext.broadcast(centroids)
     schema = nodes.select("*", F.array().cast("array<int>").alias("cells")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = None
         for batch in slices(batches, 1024):
             vectors = batch.column(batch.schema.get_field_index("vector"))
             sizes = np.asarray(vectors.value_lengths())
             cells: list[list[int]] = [[-int(n)] for n in sizes]
             fits = np.flatnonzero(sizes == dims)
             if len(fits):
+                if near is None:
+                    near = margins(sent.value, cosine)
                 likeness = unit(_matrix(vectors.take(pa.array(fits)))) @ sent.value.T
                 best = likeness.max(axis=1, keepdims=True)
                 home = likeness.argmax(axis=1)
-                for row, h, mine in zip(fits.tolist(), home.tolist(), likeness >= best - near):
+                for row, h, mine in zip(fits.tolist(), home.tolist(), best - likeness <= near[home]):
                     cells[row] = [h, *(c for c in np.flatnonzero(mine).tolist() if c != h)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
 

@@ -82,6 +82,25 @@ def test_recall_at_the_threshold(spark):
     assert linked >= 0.99 * 1500
 
 
+def test_low_rank_in_many_dimensions(spark):
+    """Pairs that only just link are all found where few directions hold all vectors."""
+    rng = np.random.default_rng(6)
+    dims, total = 256, 1500
+    spread = np.arange(1, dims + 1) ** -1.5
+    turned = np.linalg.qr(rng.normal(size=(dims, dims)))[0]
+    draw = lambda: (rng.normal(size=(total, dims)) * spread) @ turned
+    base = draw()
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = draw()
+    aside -= (aside * base).sum(1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    vectors = np.concatenate([base, 0.951 * base + np.sqrt(1 - 0.951**2) * aside])
+    linked = vectors @ vectors.T >= embedding_dedup.COSINE
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    found = result(near_duplicates(frame(spark, rows)))
+    assert [found[i][0] for i in range(2 * total)] == (linked.sum(1) - 1).tolist()
+
+
 def test_odd_vectors(spark):
     rows = [
         (1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]),
