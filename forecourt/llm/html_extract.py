@@ -1,8 +1,8 @@
 """Main text of web pages by block rules in two passes.
 
 A page is cut into blocks of text.  The first pass decides what it can: by the elements and
-names a block stands in, by the density of links, by length and the density of stop words.
-In the second, undecided blocks take the label of the nearest decided ones around them.
+names a block stands in, by the density of links, by length and the density of stop words;
+by length and links alone where the words are those of another language.  In the second, undecided blocks take the label of the nearest decided ones around them.
 """
 
 from __future__ import annotations
@@ -68,6 +68,14 @@ OWN_WORDS = frozenset("article entry post story content main".split())
 LONG, SHORT = 200, 70
 MAX_LINK_DENSITY = 0.4
 STOP_LOW, STOP_HIGH = 0.15, 0.3
+#: Stop words of all words, below which a page is in a language that has none here.
+STOP_KNOWN = 0.25
+#: Letters without spaces between words say about three times as much.
+WIDE = 3
+#: So many linked blocks in a row are a list of links.
+LINK_LIST = 3
+#: The share of the good text that articles must hold for what stands outside to be bad.
+MOST = 2 / 3
 
 _TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</[^a-zA-Z][^>]*+>"
@@ -77,6 +85,8 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]")
+_BEYOND_LATIN = re.compile(r"[^\W\d_\u0000-\u024f\u1e00-\u1eff]")
 
 
 @dataclass
@@ -222,31 +232,108 @@ def _raw_end(name: str) -> re.Pattern:
     return _RAW_ENDS[name]
 
 
-def stop_density(text: str) -> float:
-    words = _WORD.findall(text.lower())
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+def _width(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + (WIDE - 1) * len(_WIDE.findall(text))
+
+
+def _linked(block: Block) -> bool:
+    return block.link_chars > MAX_LINK_DENSITY * len(block.text)
+
+
+def _words(block: Block) -> tuple[int, int]:
+    """Stop words and words of a block; no words where most letters are beyond Latin script."""
+    text = block.text.lower()
+    if not text.isascii() and 2 * len(_BEYOND_LATIN.findall(text)) > sum(map(str.isalpha, text)):
+        return 0, 0
+    words = _WORD.findall(text)
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def _dealt(found: list[Block]) -> dict[int, bool | None]:
+    """Long blocks without many links: good, bad, or None, wherever they stand.
+
+    Where a page or a block is in a language without stop words here, length decides; if no
+    block is long enough for that, those that are not short are good.
+    """
+    counted = {
+        i: (*_words(b), _width(b.text))
+        for i, b in enumerate(found)
+        if not b.excluded and not b.heading and not _linked(b) and (len(b.text) >= SHORT or _width(b.text) >= SHORT)
+    }
+    known = sum(c[0] for c in counted.values()) >= STOP_KNOWN * sum(c[1] for c in counted.values())
+    dealt: dict[int, bool | None] = {}
+    for i, (stops, words, width) in counted.items():
+        density = stops / words if words else 0.0
+        if density >= STOP_HIGH or (density >= STOP_LOW and width >= LONG):
+            dealt[i] = True
+        elif density >= STOP_LOW:
+            dealt[i] = None
+        elif known and words:
+            dealt[i] = False
+        else:
+            dealt[i] = True if width >= LONG else None
+    if True not in dealt.values():
+        for i, (stops, words, _) in counted.items():
+            if dealt[i] is None and not (known and words):
+                dealt[i] = True
+    return dealt
+
+
+def _settle_articles(found: list[Block], dealt: dict[int, bool | None]) -> bool:
+    """True if articles hold ``MOST`` of the good text, so what stands outside is bad.
+
+    Articles without good text lose their number where others, or what stands outside, have
+    any: they are teasers, and their blocks are judged as all others are.
+    """
+    good: dict[int, int] = {}
+    for i, label in dealt.items():
+        if label:
+            good[found[i].article] = good.get(found[i].article, 0) + len(found[i].text)
+    if good:
+        for b in found:
+            if b.article not in good:
+                b.article = 0
+    inside = sum(n for article, n in good.items() if article)
+    return any(b.article and not b.excluded for b in found) and inside >= MOST * sum(good.values())
+
+
+def _link_lists(found: list[Block]) -> set[int]:
+    """Linked blocks of one kind that stand ``LINK_LIST`` or more in a row."""
+    lists: set[int] = set()
+    run: list[int] = []
+    for i, b in enumerate(found):
+        if run and (b.heading, b.article) != (found[run[-1]].heading, found[run[-1]].article) or not _linked(b):
+            run = []
+        if _linked(b):
+            run.append(i)
+            if len(run) >= LINK_LIST:
+                lists.update(run)
+    return lists
 
 
 def first_pass(found: list[Block]) -> list[bool | None]:
     """Good, bad, or None where length and words decide nothing.
 
-    Where a page names its article, what stands outside is bad.
+    An article is evidence: it leaves undecided what would be bad, but for lists of links,
+    and where articles hold most of the good text, what stands outside is bad.  Elsewhere a
+    linked heading stays undecided only right before good text.  The number of an article that
+    turns out to hold teasers is taken from its blocks.
     """
-    named = any(b.article and not b.excluded for b in found)
-    labels: list[bool | None] = []
-    for b in found:
-        if b.excluded or (named and not b.article):
-            labels.append(False)
-        elif b.link_chars > MAX_LINK_DENSITY * len(b.text):
-            labels.append(False)
-        elif b.heading or len(b.text) < SHORT:
-            labels.append(None)
+    dealt = _dealt(found)
+    named = _settle_articles(found, dealt)
+    lists = _link_lists(found)
+    labels: list[bool | None] = [None] * len(found)
+    for i in range(len(found) - 1, -1, -1):
+        b = found[i]
+        if b.excluded or (named and not b.article) or i in lists:
+            label = False
+        elif _linked(b):
+            label = None if b.article or (b.heading and i + 1 < len(found) and labels[i + 1]) else False
         else:
-            density = stop_density(b.text)
-            if density >= STOP_HIGH or (density >= STOP_LOW and len(b.text) >= LONG):
-                labels.append(True)
-            else:
-                labels.append(None if density >= STOP_LOW or b.article else False)
+            label = dealt.get(i)
+            if label is False and b.article:
+                label = None
+        labels[i] = label
     return labels
 
 

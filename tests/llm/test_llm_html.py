@@ -82,6 +82,53 @@ def test_link_lists_are_bad_and_prose_is_good():
     assert main_text(page(f"<div>{links}</div><div><p>{PROSE}</p></div>")) == PROSE
 
 
+def test_text_outside_of_teaser_articles():
+    cards = "".join(f'<article><h3><a href="/{i}">Another story {i}</a></h3><p>A teaser.</p></article>' for i in range(4))
+    text = f"<h1>Head</h1><p>{PROSE}</p><p>{PROSE} More.</p><p>Short.</p>"
+    expected = f"Head\n{PROSE}\n{PROSE} More.\nShort."
+    for body in (f"<div>{text}</div>{cards}", f"{cards}<div>{text}</div>", f"<article>{text}</article>{cards}"):
+        assert main_text(page(body)) == expected
+
+
+def test_text_of_which_an_article_holds_a_part():
+    rest = "".join(f"<p>{PROSE} Part {i}.</p>" for i in range(3))
+    expected = "\n".join([PROSE, *(f"{PROSE} Part {i}." for i in range(3))])
+    assert main_text(page(f"<article><p>{PROSE}</p></article><div>{rest}</div>")) == expected
+
+
+def test_an_article_with_most_of_the_text_wins():
+    article = "".join(f"<p>{PROSE} Part {i}.</p>" for i in range(4))
+    expected = "\n".join(f"{PROSE} Part {i}." for i in range(4))
+    assert main_text(page(f"<div><p>{PROSE}</p></div><article>{article}</article><p>Short.</p>")) == expected
+
+
+def test_linked_titles_and_paragraphs_of_an_article():
+    article = f'<h1><a href="/x">The title</a></h1><p>{PROSE}</p><p><a href="/y">The report.</a></p><p>{PROSE}</p>'
+    expected = f"The title\n{PROSE}\nThe report.\n{PROSE}"
+    assert main_text(page(f"<article>{article}</article>")) == expected
+    links = "".join(f'<li><a href="/{i}">Story {i}</a>' for i in range(5))
+    assert main_text(page(f"<article>{article}<ul>{links}</ul></article>")) == expected
+    assert main_text(page(f'<div><h1><a href="/x">The title</a></h1><p>{PROSE}</p></div>')) == f"The title\n{PROSE}"
+
+
+def test_languages_without_stop_words():
+    russian = "Сегодня утром в городе открылась новая библиотека, в которой собрано более ста тысяч книг на разных языках мира."
+    chinese = "今天上午，市中心的新图书馆正式向公众开放，馆内收藏了超过十万册不同语言的图书，吸引了许多读者前来参观。"
+    italian = "Questa mattina è stata inaugurata nel centro della città una nuova biblioteca che raccoglie oltre centomila volumi."
+    for words in (russian, chinese, italian):
+        for times in (1, 3):
+            text = " ".join([words] * times)
+            menu = "".join(f'<li><a href="/{i}">{words[:20]}</a>' for i in range(6))
+            body = f"<ul>{menu}</ul><div><h1>{words[:12]}</h1><p>{text}</p><p>{text}</p></div><ul>{menu}</ul>"
+            assert main_text(page(body)) == "\n".join([words[:12].strip(), text, text])
+    # English words around do not make a page English.
+    notice = f"<p>{PROSE}</p>"
+    assert russian in main_text(page(notice + f"<p>{russian}</p>" * 5))
+    # In a known language, long blocks without stop words are no text.
+    names = "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa Lambda Omicron Rho Sigma Tau"
+    assert main_text(page(f"<p>{PROSE}</p><p>{PROSE}</p><p>{names}</p><p>{PROSE}</p>")) == "\n".join([PROSE] * 3)
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, page(f"<article><p>{PROSE}</p></article>")), (2, "v", "x " * 200_000)]
     pages = spark.createDataFrame([(*r, "e") for r in rows], "page_id bigint, url string, html string, text string")
