@@ -25,15 +25,15 @@ from forecourt.workspace import stored
 #: Words that are sent to every task with their counts; the others are joined.  A bound.
 DICTIONARY = 200_000
 #: Symbols: own ones of words, and shared ones by the last two bytes of a word.
-OWN, SHARED = 191, 64
+OWN, SHARED = 447, 64
 HIDDEN = 16
 #: Steps through which errors are followed back, and texts trained side by side.
-WINDOW, STREAMS = 16, 512
+WINDOW, STREAMS = 16, 256
 #: Texts that a task turns into numbers at a time.
 TEXTS = 4096
 #: The texts are dealt to so many rounds by hash; models are averaged after each.
 ROUNDS = 3
-RATE = 0.1
+RATE = 0.05
 _FLUSH = 300_000
 
 

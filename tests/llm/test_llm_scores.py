@@ -131,3 +131,9 @@ def test_shares_of_a_shared_symbol_sum_to_one():
     known = lm_score.Vocabulary([], np.zeros(0, np.int64), 3, 13, 5, np.array([10] + [0] * 63), np.array([3] + [0] * 63))
     assert known.unseen[0] == pytest.approx(3.5 / 11) and known.unseen[1] == 1.0
     assert (1 - known.unseen[0]) * 10 / 10 + known.unseen[0] == pytest.approx(1.0)
+
+
+def test_frequent_words_are_told_apart():
+    words = [f"w{i:04d}".encode() for i in range(1000)]
+    known = lm_score.Vocabulary(words, np.arange(1000, 0, -1), 3, 13, 5, np.zeros(64, np.int64), np.zeros(64, np.int64))
+    assert len(set(lm_score.Coder(known).all_symbols()[:447].tolist())) == 447
