@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forecourt.llm import bpe, embedding_dedup, html_extract, line_dedup, lm_score, packing, quality, sharding, simhash, suffix_dedup
+from forecourt.llm import (
+    bpe, embedding_dedup, html_extract, license_scan, line_dedup, lm_score, packing, quality, sharding, simhash, suffix_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,3 +198,9 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under word counts and under the network."""
     return lm_score.scored(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and expressions of every document."""
+    return license_scan.summary(license_scan.scan(read(spark, sf_dir, "documents")))
