@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from forecourt.llm import (
-    bpe, embedding_dedup, html_extract, license_scan, line_dedup, lm_score, packing, quality, sharding, simhash, suffix_dedup,
+    bpe, divergence, embedding_dedup, html_extract, license_scan, line_dedup, lm_score, packing, quality, sharding, simhash, suffix_dedup,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,3 +204,39 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and expressions of every document."""
     return license_scan.summary(license_scan.scan(read(spark, sf_dir, "documents")))
+
+
+@query(
+    rf"""WITH docs AS (
+      SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    terms AS (SELECT d, lang, source, unnest(w) AS term FROM docs),
+    kept AS (SELECT lang, term, count(*)::HUGEINT AS whole FROM terms GROUP BY lang, term HAVING count(DISTINCT d) >= {divergence.MIN_DOCS}),
+    counts AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    sizes AS (SELECT lang, count(*)::HUGEINT AS v, sum(whole)::HUGEINT AS whole_n FROM kept GROUP BY lang),
+    totals AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM counts GROUP BY ALL),
+    groups AS (SELECT DISTINCT lang, source FROM docs),
+    full_ AS (
+      SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c,
+             1 + ({divergence.SCALE}::HUGEINT * (coalesce(c, 0) + 1)) // (coalesce(n, 0) + v) AS p,
+             1 + ({divergence.SCALE}::HUGEINT * (whole + 1)) // (whole_n + v) AS q
+      FROM groups g JOIN kept k ON k.lang = g.lang JOIN sizes s ON s.lang = g.lang
+      LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+      LEFT JOIN counts n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+    unlike AS (
+      SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM full_ a JOIN full_ b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    found AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN unlike u ON u.lang = a.lang AND u.source = a.source AND u.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM full_ WHERE c > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found) r
+    WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+)
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unlikeness of all sources of a language, and the words each has more of."""
+    return divergence.audit(read(spark, sf_dir, "documents")).drop("count", "share")
