@@ -38,7 +38,7 @@ _MASKS = np.array([0] + [((1 << 64) - 1) ^ ((1 << (64 - 8 * n)) - 1) for n in ra
 
 
 class Pointers:
-    """Word starts in a buffer of lower-cased text, where all other bytes are zero."""
+    """Word starts in a buffer of lower-cased text."""
 
     def __init__(self, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
         padded = np.concatenate([letters, np.zeros(16, np.uint8)])
@@ -46,9 +46,10 @@ class Pointers:
         self._words = np.ndarray((len(letters) + 8,), ">u8", padded, strides=(1,))
 
     @classmethod
-    def of(cls, letters: np.ndarray, breaks: np.ndarray) -> Pointers:
-        """Pointers to all words; none reaches over a place in ``breaks`` (document starts)."""
-        is_letter = letters != 0
+    def of(cls, letters: np.ndarray, breaks: np.ndarray, is_letter: np.ndarray | None = None) -> Pointers:
+        """Pointers to all runs of letters (by default bytes but zero); none reaches over a place in
+        ``breaks`` (document starts)."""
+        is_letter = letters != 0 if is_letter is None else is_letter
         begins = is_letter.copy()
         begins[1:] &= ~is_letter[:-1]
         inside = breaks[breaks < len(letters)]
@@ -117,16 +118,38 @@ class Pointers:
             depth += 8
             keys = self.keys(order[at], depth)
 
-    def texts(self, which: np.ndarray) -> pa.Array:
-        """The words at ``which`` pointers as strings."""
-        sizes = self.sizes[which]
-        offsets = np.zeros(len(which) + 1, np.int32)
-        np.cumsum(sizes, out=offsets[1:])
-        places = np.repeat(self.starts[which] - offsets[:-1], sizes) + np.arange(offsets[-1])
-        return pa.StringArray.from_buffers(len(which), pa.py_buffer(offsets), pa.py_buffer(self.letters[places]))
-
-
-def _byte_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    def word(self, which: int) -> bytes:
+        return self.letters[self.starts[which] : self.starts[which] + self.sizes[which]].tobytes()
+
+    def distinct(self, hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """A number for every pointer, equal exactly for equal words of one ``kind``, from hashes of both."""
+        _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+        like = first[ids]
+        unlike = (self.sizes != self.sizes[like]) | (kind != kind[like])
+        live, depth = np.flatnonzero(~unlike), 0
+        while len(live):
+            unlike[live] = self.keys(live, depth) != self.keys(like[live], depth)
+            depth += 8
+            live = live[(self.sizes[live] > depth) & ~unlike[live]]
+        named: dict[tuple[int, bytes], int] = {}
+        for i in np.flatnonzero(unlike).tolist():  # two words with one hash
+            ids[i] = named.setdefault((int(kind[i]), self.word(i)), len(first) + len(named))
+        return ids
+
+    def joined(self, which: np.ndarray, size: int) -> pa.Array:
+        """The ``size`` words from each of ``which`` pointers as strings, one blank between words."""
+        words = (which[:, None] + np.arange(size)).reshape(-1)
+        last = np.arange(len(words)) % size == size - 1
+        sizes = self.sizes[words] + ~last
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.starts[words] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        out = self.letters[np.minimum(places, len(self.letters) - 1)]
+        out[ends[~last] - 1] = 0x20
+        offsets = np.append(0, ends[last]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(which), pa.py_buffer(offsets), pa.py_buffer(out))
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts have about ``most`` bytes; a longer text is a run of its own."""
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
     part = np.cumsum(sizes) // most
@@ -166,7 +189,7 @@ def _count_shard(batch: pa.RecordBatch) -> pa.RecordBatch:
         [
             langs.dictionary.take(pa.array(groups[at] // n_sources)),
             sources.dictionary.take(pa.array(groups[at] % n_sources)),
-            found.texts(order[at]),
+            found.joined(order[at], 1),
             pa.array(docs),
             pa.array(np.diff(np.append(at, len(order)))),
         ],
@@ -183,7 +206,7 @@ def term_counts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in _byte_slices(batch, 2, shard_bytes):
+            for shard in byte_slices(batch, 2, shard_bytes):
                 rows = _count_shard(shard)
                 for start in range(0, rows.num_rows, 50_000):
                     yield rows.slice(start, 50_000)

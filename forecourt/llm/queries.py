@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from forecourt.llm import (
-    bpe, divergence, embedding_dedup, html_extract, license_scan, line_dedup, lm_score, packing, quality, sharding, simhash, suffix_dedup,
+    bpe, divergence, embedding_dedup, html_extract, license_scan, line_dedup, lm_score, packing, phrases, quality, sharding, simhash, suffix_dedup,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,3 +240,37 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unlikeness of all sources of a language, and the words each has more of."""
     return divergence.audit(read(spark, sf_dir, "documents")).drop("count", "share")
+
+
+@query(
+    rf"""WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang,
+             unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents WHERE text IS NOT NULL),
+    words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+    runs AS (
+      SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+      FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS size) s WHERE len(w) >= size) a),
+    counts AS (SELECT lang, size, phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= {phrases.MIN_COUNT}),
+    cuts AS (
+      SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS head,
+             array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+      FROM (SELECT *, unnest(range(1, size)) AS k FROM counts WHERE size > 1) c),
+    weighed AS (
+      SELECT c.lang, c.phrase, a, k, h.f AS l, t.f AS r, CAST({phrases.SCORE_SCALE}::HUGEINT * a // (h.f + t.f) AS BIGINT) AS score
+      FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head JOIN counts t ON t.lang = c.lang AND t.phrase = c.tail),
+    weakest AS (FROM weighed QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    around AS (
+      SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + n - 1], ' ') AS phrase, max(f) AS f
+      FROM (SELECT *, unnest(range(1, size - n + 2)) AS i FROM counts, (SELECT unnest([2, 3]) AS n) s WHERE size > n) c GROUP BY ALL),
+    kept AS (
+      SELECT w.* FROM weakest w LEFT JOIN around o ON o.lang = w.lang AND o.phrase = w.phrase
+      WHERE o.f IS NULL OR 100 * o.f < {phrases.COVERED} * a)
+    SELECT k.lang, rank, phrase, a, l, r, n, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) k
+    JOIN totals t ON t.lang = k.lang WHERE rank <= {phrases.TOP}"""
+)
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of every language whose words go together most."""
+    return phrases.collocations(read(spark, sf_dir, "documents"))

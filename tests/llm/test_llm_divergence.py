@@ -65,7 +65,7 @@ def test_pointers_are_sorted_as_words(small):
         assert order.tolist() == sorted(range(len(mine)), key=lambda i: (mine[i], i))
         ordered = [mine[i] for i in order]
         assert first.tolist() == [i == 0 or ordered[i] != ordered[i - 1] for i in range(len(mine))]
-        assert found.texts(order).to_pylist() == [w.decode() for w in ordered]
+        assert found.joined(order, 1).to_pylist() == [w.decode() for w in ordered]
 
 
 def test_shards_count_documents_and_words():
