@@ -30,14 +30,15 @@ COVERED = 80
 SCORE_SCALE = 2_000_000
 UNKNOWN_LANG = "und"
 #: Bytes of text that a task works on at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 #: Largest sieve, in 64-bit cells (32 MB): a proven bound on what is sent to the tasks.
 MAX_CELLS = 1 << 22
 
-_LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
-_BREAKS = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
-_BLANKS = np.isin(np.arange(256), list(b" \t"))
+#: Byte by byte: A-Z lower-cased; and 2 for ends of pieces, 1 for blanks, 0 for what words are made of.
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+_KINDS = bytes(2 if b in b".,;:!?\n\x0b\x0c\r" else 1 if b in b" \t" else 0 for b in range(256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
+_SIZE = np.uint64(3)
 _LONG = 256
 
 
@@ -54,17 +55,19 @@ class Sieve:
     Others that pass only cost counting: results never depend on them.
     """
 
+    _STEPS = (0, 6)  # where the places of a key's bits within its cell are read from it
+
     def __init__(self, cells: np.ndarray):
         self.cells = cells
         self.shift = np.uint64(64 - (len(cells).bit_length() - 1))
 
     def passes(self, keys: np.ndarray) -> np.ndarray:
         cells = self.cells[(keys >> self.shift).astype(np.int64)]
-        one, last = np.uint64(1), np.uint64(63)
-        mask = np.zeros(len(keys), np.uint64)
-        for step in (0, 6, 12, 18):
-            mask |= one << ((keys >> np.uint64(step)) & last)
-        return (cells & mask) == mask
+        last = np.uint64(63)
+        found = np.ones(len(keys), np.uint64)
+        for step in self._STEPS:
+            found &= cells >> ((keys >> np.uint64(step + 2)) & last)
+        return found.astype(bool)
 
     @classmethod
     def of(cls, keys: DataFrame, max_cells: int = MAX_CELLS) -> Sieve:
@@ -73,8 +76,8 @@ class Sieve:
         bits = min(max(12, (n // 4).bit_length()), max_cells.bit_length() - 1)
         key = F.col("key")
         mask = F.lit(0).cast("bigint")
-        for step in (0, 6, 12, 18):
-            at = F.shiftrightunsigned(key, step).bitwiseAND(F.lit(63)).cast("int")
+        for step in cls._STEPS:
+            at = F.shiftrightunsigned(key, step + 2).bitwiseAND(F.lit(63)).cast("int")
             mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), at))
         cell = F.shiftrightunsigned(key, 64 - bits).alias("cell")
         found = keys.groupBy(cell).agg(F.bit_or(mask).alias("mask")).toArrow()
@@ -92,19 +95,20 @@ class Slice:
         text = batch.column(1).cast(pa.large_string())
         _, ends, data = text.buffers()
         offsets = np.frombuffer(ends, np.int64)[text.offset : text.offset + len(text) + 1]
-        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+        raw = data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if data else b""
         offsets = offsets - offsets[0]
-        is_break = _BREAKS[raw]
-        self.found = Pointers.of(_LOWER[raw], offsets[:-1], ~(is_break | _BLANKS[raw]))
+        kinds = np.frombuffer(raw.translate(_KINDS), np.uint8)
+        self.found = Pointers.of(np.frombuffer(raw.translate(_LOWER), np.uint8), offsets[:-1], kinds == 0)
         starts = self.found.starts
         doc = np.searchsorted(offsets, starts, side="right") - 1
-        piece = np.searchsorted(np.flatnonzero(is_break), starts)
+        piece = np.searchsorted(np.flatnonzero(kinds == 2), starts)
         #: Word i + 1 is in the same piece as word i.
         self.follows = np.zeros(len(starts), bool)
         self.follows[:-1] = (piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1])
         self.lang = np.asarray(langs.indices).astype(np.int64)[doc] if len(starts) else np.zeros(0, np.int64)
         seeds = np.array([xxhash.xxh64_intdigest(x.as_py().encode()) for x in self.langs], np.uint64)
-        self.keys = _mix(self._hashes() ^ seeds[self.lang]) if len(starts) else np.zeros(0, np.uint64)
+        #: Key of each word: of its bytes and language, and (in the last two bits) of the words in a phrase.
+        self.keys = _mix(self._hashes() ^ seeds[self.lang]) & ~_SIZE if len(starts) else np.zeros(0, np.uint64)
 
     def _hashes(self) -> np.ndarray:
         """64-bit hash of every word, eight bytes at a time; of very long words at once."""
@@ -120,19 +124,44 @@ class Slice:
             out[i] = xxhash.xxh64_intdigest(self.found.word(i))
         return out
 
-    def levels(self, sieve: Sieve | None, known: int = MAX_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def longer(self, at: np.ndarray, keys: np.ndarray, parts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and keys of the phrases of ``size`` words both of whose shorter parts are marked in
+        ``parts``; ``at`` and ``keys`` are all the shorter ones."""
+        whole = np.zeros(len(self.keys), np.uint64)
+        whole[at] = keys
+        places = np.flatnonzero(parts[:-1] & parts[1:] & self.follows[: len(parts) - 1])
+        return places, _mix(whole[places] * _A + self.keys[places + size - 1]) & ~_SIZE | np.uint64(size - 1)
+
+    def levels(self, sieve: Sieve | None, known: int = MAX_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For 1 to ``MAX_WORDS`` words: places and keys of the phrases whose two parts, one word
-        shorter, pass the sieve.  Phrases of more than ``known`` words are not asked about."""
+        shorter, pass the sieve, and which pass themselves.  The sieve is not asked about phrases
+        of more than ``known`` words: they pass."""
+        at, keys = np.arange(len(self.keys)), self.keys
+        for size in range(1, MAX_WORDS + 1):
+            if size > 1:
+                parts = np.zeros(len(self.keys) + 1, bool)
+                parts[at] = passed
+                at, keys = self.longer(at, keys, parts, size)
+            passed = sieve.passes(keys) if sieve is not None and size <= known else np.ones(len(at), bool)
+            yield at, keys, passed
+
+    def opened(self, sieve: Sieve, failures: Sieve, words: Sieve) -> Iterator[np.ndarray]:
+        """For 2 to ``MAX_WORDS`` words: keys of the phrases that ``sieve`` kept from being counted, that hold a
+        phrase of ``failures`` inside and whose words are all in ``words``."""
+        frequent = words.passes(self.keys)
         at, keys = np.arange(len(self.keys)), self.keys
-        yield at, keys
-        for n in range(2, MAX_WORDS + 1):
-            passed = np.zeros(len(self.keys) + 1, bool)
-            passed[at] = sieve.passes(keys) if sieve is not None and n - 1 <= known else True
-            whole = np.zeros(len(self.keys), np.uint64)
-            whole[at] = keys
-            at = np.flatnonzero(passed[:-1] & passed[1:] & self.follows)
-            keys = _mix(whole[at] * _A + self.keys[at + n - 1])
-            yield at, keys
+        usable, hold = np.append(frequent, False), np.zeros(len(self.keys) + 1, bool)
+        for size, (counted, old, _) in enumerate(self.levels(sieve), 1):
+            if size > 1:
+                at, keys = self.longer(at, keys, usable, size)
+                usable = np.zeros(len(self.keys) + 1, bool)
+                usable[at] = True
+                inside = hold[:-1] | hold[1:]
+                new = inside.copy()
+                new[counted] = False
+                yield keys[new[at]]
+                hold = np.append(inside & usable[:-1], False)
+            hold[counted] |= failures.passes(old)
 
 
 def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[Slice]:
@@ -141,73 +170,73 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[Slice]:
             yield Slice(part)
 
 
-def _counted(texts: DataFrame, least: int, levels: range, sieve: Sieve | None, done: list[Sieve], known: int = MAX_WORDS) -> DataFrame:
-    """``key``, ``size``, ``f`` of phrases of ``levels`` words that ``sieve`` leaves and no sieve of
-    ``done`` has left before, with a count of ``least`` or more."""
-    context = texts.sparkSession.sparkContext
-    sent, before = context.broadcast(sieve), context.broadcast(done)
+def _summed(texts: DataFrame, keys_of, least: int) -> DataFrame:
+    """``key``, ``f``: counts, of ``least`` or more, of the keys that ``keys_of`` names in each slice of the texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _slices(batches):
-            passes = [words.levels(s) for s in before.value]
-            for size, (at, keys) in enumerate(words.levels(sent.value, known), 1):
-                counted = [next(p) for p in passes]
-                if size not in levels:
-                    continue
-                if counted:
-                    old = np.zeros(len(words.keys), bool)
-                    for places, _ in counted:
-                        old[places] = True
-                    keys = keys[~old[at]]
+            for keys in keys_of(words):
                 key, often = np.unique(keys, return_counts=True)
                 for a in range(0, len(key), 50_000):
-                    b = min(a + 50_000, len(key))
-                    sizes = pa.array(np.full(b - a, size, np.int8))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[a:b].view(np.int64)), sizes, pa.array(often[a:b].astype(np.int64))], names=["key", "size", "f"]
-                    )
-                if size == levels[-1]:
-                    break
+                    some = [pa.array(key[a : a + 50_000].view(np.int64)), pa.array(often[a : a + 50_000].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(some, names=["key", "f"])
+
+    rows = texts.select("lang", "text").mapInArrow(run, "key bigint, f bigint")
+    return rows.groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+
 
-    rows = texts.mapInArrow(run, "key bigint, size tinyint, f bigint")
-    return rows.groupBy("key", "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+def _counted(texts: DataFrame, least: int, sizes: range, sieve: Sieve | None, known: int = MAX_WORDS) -> DataFrame:
+    """Counts of the phrases of ``sizes`` words whose two parts, one word shorter, pass the sieve."""
+    sent = texts.sparkSession.sparkContext.broadcast(sieve)
+
+    def keys_of(words: Slice) -> Iterator[np.ndarray]:
+        for size, (_, keys, _) in enumerate(words.levels(sent.value, known), 1):
+            if size in sizes:
+                yield keys
+            if size == sizes[-1]:
+                return
+
+    return _summed(texts, keys_of, least)
 
 
 def _proposed(texts: DataFrame, sample: Column, share: float, min_count: int) -> Sieve:
     """Sieve of the phrases that are frequent in the sample, by a lowered bound."""
-    some = texts.filter(sample).select("lang", "text")
+    some = texts.filter(sample)
     least = max(1, int(min_count * share * LOWERED))
-    words = stored(_counted(some, least, range(1, 2), None, []), "sample_words")
-    pairs = stored(_counted(some, least, range(2, 3), Sieve.of(words), [], 1), "sample_pairs")
+    words = stored(_counted(some, least, range(1, 2), None), "sample_words")
+    pairs = stored(_counted(some, least, range(2, 3), Sieve.of(words), 1), "sample_pairs")
     found = words.unionByName(pairs)
-    longer = stored(_counted(some, least, range(3, MAX_WORDS + 1), Sieve.of(found), [], 2), "sample_longer")
+    longer = stored(_counted(some, least, range(3, MAX_WORDS + 1), Sieve.of(found), 2), "sample_longer")
     return Sieve.of(found.unionByName(longer))
 
 
 def frequent_keys(texts: DataFrame, sample: Column, share: float, min_count: int = MIN_COUNT) -> DataFrame:
-    """Keys (``key``, ``size``, ``f``) that include every phrase with ``min_count`` occurrences.
-
-    ``texts`` has ``lang`` and ``text`` and what ``sample`` reads.  The passes end when every
-    frequent phrase short enough to be extended has passed the sieve that was counted with.
+    """Keys (``key``, ``f``) that include every phrase with ``min_count`` occurrences.
+
+    ``texts`` has ``lang`` and ``text`` and what ``sample`` reads.  The full pass counts all words
+    and every phrase whose two parts the sample proposed: proposals and their negative border.
+    A frequent phrase that was not proposed is a failure: what holds it was not counted.  If
+    there are any, one more pass counts, of all sizes, what holds a failure and consists of
+    frequent words.  Then all is closed: a frequent phrase not counted before holds a smallest
+    part that was not proposed, and that part is in the border, frequent, so a failure.
     """
-    read = texts.select("lang", "text")
-    sieve, done = _proposed(texts, sample, share, min_count), []
-    found = stored(_counted(read, min_count, range(1, MAX_WORDS + 1), sieve, []), "frequent_0")
-    while True:
-        sent = read.sparkSession.sparkContext.broadcast(sieve)
-
-        def missed(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                passes = sent.value.passes(np.asarray(batch.column(0)).view(np.uint64))
-                yield batch.filter(pa.array(~passes))
-
-        failures = found.filter(F.col("size") < MAX_WORDS).mapInArrow(missed, found.schema)
-        if failures.isEmpty():
-            return found
-        done.append(sieve)
-        sieve = Sieve.of(found)
-        more = stored(_counted(read, min_count, range(2, MAX_WORDS + 1), sieve, done), f"frequent_{len(done)}")
-        found = found.unionByName(more)
+    sieve = _proposed(texts, sample, share, min_count)
+    context = texts.sparkSession.sparkContext
+    found = stored(_counted(texts, min_count, range(1, MAX_WORDS + 1), sieve), "frequent")
+    first = context.broadcast(sieve)
+
+    def missed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passes = first.value.passes(np.asarray(batch.column(0)).view(np.uint64))
+            yield batch.filter(pa.array(~passes))
+
+    size = F.col("key").bitwiseAND(F.lit(3)) + 1
+    failures = stored(found.filter(size < MAX_WORDS).mapInArrow(missed, found.schema), "failures")
+    if failures.isEmpty():
+        return found
+    others = context.broadcast((Sieve.of(failures), Sieve.of(found.filter(size == 1))))
+    more = _summed(texts, lambda words: words.opened(first.value, *others.value), min_count)
+    return found.unionByName(stored(more, "opened"))
 
 
 def phrase_counts(texts: DataFrame, keys: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
@@ -222,17 +251,15 @@ def phrase_counts(texts: DataFrame, keys: DataFrame, min_count: int = MIN_COUNT)
         for words in _slices(batches):
             yield _rows(words, words.lang, np.bincount(words.lang), None, 0)
             ids = words.found.distinct(words.keys, words.lang)
-            number = ids
-            for size, (at, keys_) in enumerate(words.levels(sent.value), 1):
-                if size > 1:  # a phrase is its first words and its last
-                    pairs = number[at] * (len(ids) + 1) + ids[at + size - 1]
-                    _, again = np.unique(pairs, return_inverse=True)
-                    number = np.zeros(len(ids), np.int64)
-                    number[at] = again
-                passed = at[sent.value.passes(keys_)]
-                _, first, often = np.unique(number[passed], return_index=True, return_counts=True)
+            for size, (at, _, passed) in enumerate(words.levels(sent.value), 1):
+                at = at[passed]
+                # A phrase is its first words and its last: exact, whatever the keys.
+                names = ids[at] if size == 1 else number[at] * (len(ids) + 1) + ids[at + size - 1]
+                _, first, again, often = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+                number = np.zeros(len(ids), np.int64)
+                number[at] = again
                 for a in range(0, len(first), 50_000):
-                    some = passed[first[a : a + 50_000]]
+                    some = at[first[a : a + 50_000]]
                     yield _rows(words, words.lang[some], often[a : a + 50_000], some, size)
 
     counted = texts.select("lang", "text").mapInArrow(run, "lang string, phrase string, size tinyint, f bigint")

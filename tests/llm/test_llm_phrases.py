@@ -82,7 +82,7 @@ def test_passes_close_whatever_the_sample_said(spark, sample):
             for n in range(1, 5):
                 every.update(" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1))
     assert counts == {(p, c) for p, c in every.items() if c >= 10}
-    assert keys.filter("size = 4").count() >= sum(1 for p, c in counts if p.count(" ") == 3)
+    assert keys.filter("key & 3 = 3").count() >= sum(1 for p, c in counts if p.count(" ") == 3)
 
 
 def test_a_phrase_in_a_third_of_all_texts_and_slices_of_rows(spark, monkeypatch):
@@ -103,7 +103,7 @@ def test_sieve_passes_all_its_keys_and_few_others(spark):
     rng = np.random.default_rng(1)
     inside, outside = (rng.integers(0, 1 << 63, 50_000, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
     keys = spark.createDataFrame([(int(k),) for k in inside.view(np.int64)], "key bigint")
-    for most in (1 << 22, 64):
+    for most in (phrases.MAX_CELLS, 64):
         sieve = Sieve.of(keys, most)
         assert len(sieve.cells) <= most and sieve.passes(inside).all()
     assert Sieve.of(keys).passes(outside).mean() < 0.05
