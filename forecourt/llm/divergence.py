@@ -28,9 +28,8 @@ BLOCK = 512
 _PAIRS = 1 << 20
 _MATRICES = 16
 
-_LETTERS = np.array(
-    [b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0 for b in range(256)], np.uint8
-)
+#: Byte by byte: A-Z lower-cased, other letters as they are, zero for all that is none.
+_LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0 for b in range(256))
 _MASKS = np.array([0] + [((1 << 64) - 1) ^ ((1 << (64 - 8 * n)) - 1) for n in range(1, 9)], np.uint64)
 
 
@@ -167,9 +166,9 @@ def _count_shard(batch: pa.RecordBatch) -> pa.RecordBatch:
     text = batch.column(2).cast(pa.large_string())
     _, ends, data = text.buffers()
     offsets = np.frombuffer(ends, np.int64)[text.offset : text.offset + len(text) + 1]
-    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+    raw = data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if data else b""
     offsets = offsets - offsets[0]
-    found = Pointers.of(_LETTERS[raw], offsets[:-1])
+    found = Pointers.of(np.frombuffer(raw.translate(_LETTERS), np.uint8), offsets[:-1])
     # Documents of one group side by side, so that a run of equal words is a run of groups too.
     by_group = np.argsort(group, kind="stable")
     rank = np.empty(len(group), np.int64)
