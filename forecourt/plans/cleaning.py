@@ -108,9 +108,17 @@ def deduplicate_files(
     """``deduplicated_<name>`` of every file, each by itself, from one scan per group of files.
 
     Files of one group are typed together, deduplicated by file and fields, written with a
-    folder per file, and the folders renamed.  Returns where they are, in the order given.
+    folder per file, and the folders renamed.  A small file is one part file, a large one
+    several.  Returns where they are, in the order given.  A target that exists, or two of
+    one name, is an error before anything is written.
     """
     outs = [sinks.dedup_path(folder, p) for p in paths]
+    for out in outs:  # before anything is moved
+        system, target = file_system(spark, out)
+        if system.exists(target):
+            raise FileExistsError(target.toString())
+    if len(set(outs)) < len(outs):
+        raise FileExistsError("two files would have one name")
     for kind, found, members in file_groups(spark, paths, charset, schema):
         df = _read_group(spark, kind, found, members, schema, infer)
         columns = df.columns
@@ -122,8 +130,9 @@ def deduplicate_files(
             rows = dedup.dedup_columns(df, fields if fields == dedup.ALL_FIELDS else f"given,{fields}")
         else:
             rows = dedup.dedup_lines(df, fields, ["given"])
-        if single_file:
-            rows = rows.repartition("given")
+        # Without this every task that has rows of a file writes a part of it.  Rebalancing gathers a
+        # file's rows, and several small files, in one task, and splits what is too large for one.
+        rows = rows.repartition("given") if single_file else rows.hint("rebalance", "given")
         work = f"{folder.rstrip('/')}/_deduplicating-{uuid.uuid4().hex[:12]}"
         writer = rows.write.partitionBy("given")
         if kind == "csv":
@@ -133,8 +142,6 @@ def deduplicate_files(
         system, _ = file_system(spark, work)
         for i, path in enumerate(members):
             made, target = (file_system(spark, p)[1] for p in (f"{work}/given={i}", sinks.dedup_path(folder, path)))
-            if system.exists(target):
-                raise FileExistsError(target.toString())
             if system.exists(made):
                 system.rename(made, target)
             else:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from forecourt.commits import CommitLog
 from forecourt.operators.sales import MONTH_COLUMN
 from forecourt.workspace import file_system, remove
 
@@ -25,18 +26,24 @@ def tables_root(spark: SparkSession) -> str:
 
 
 def versions(spark: SparkSession, name: str) -> list[str]:
-    """Complete versions of a table, oldest first: a few folders, so listed in the driver."""
-    files, folder = file_system(spark, f"{tables_root(spark)}/{name}")
-    if not files.exists(folder):
+    """Committed versions of a table that are still there, oldest first: a few folders."""
+    folder = f"{tables_root(spark)}/{name}"
+    files, place = file_system(spark, folder)
+    if not files.exists(place):
         return []
-    found = [status.getPath() for status in files.listStatus(folder)]
-    return sorted((p.toString() for p in found if p.getName().startswith("v")), key=lambda p: p.rsplit("/", 1)[-1])
+    there = {status.getPath().getName(): status.getPath().toString() for status in files.listStatus(place)}
+    return [there[value] for _, value in CommitLog(spark, folder).entries() if value in there]
 
 
 def table_exists(spark: SparkSession, name: str) -> bool:
     return bool(versions(spark, name))
 
 
+def table_version(spark: SparkSession, name: str) -> int:
+    """Number of the newest commit of a table, 0 before the first."""
+    return CommitLog(spark, f"{tables_root(spark)}/{name}").latest()[0]
+
+
 def open_table(spark: SparkSession, name: str) -> DataFrame:
     """The newest version of a table, also in a session that did not write it."""
     found = versions(spark, name)
@@ -46,26 +53,31 @@ def open_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.parquet(found[-1])
 
 
-def replace_table(df: DataFrame, name: str) -> None:
-    """Replace a table's contents in one step.
+def replace_table(df: DataFrame, name: str, expected: int | None = None) -> int:
+    """Replace a table's contents in one step; returns the number of the commit.
 
-    The rows go to a hidden folder first; renaming it makes it the newest version.  Readers
-    see the old rows or the new ones, and a failed write changes nothing.  The version
-    before stays for readers that still use it; older ones are deleted.
+    The rows go to a folder of their own, which readers see once the commit log names it: a
+    failed write, or a folder that is copied only in part, changes nothing.  Of two writers
+    that began with the same version one is refused with ``CommitConflict``; ``expected`` is
+    the version to begin with, by default that found at the call.  The version before stays
+    for readers that still use it; older ones are deleted.
     """
     spark = df.sparkSession
     folder = f"{tables_root(spark)}/{name}"
-    before = versions(spark, name)
-    number = 1 + (int(before[-1].rsplit("/", 1)[-1][1:].split("-")[0]) if before else 0)
-    stamp = uuid.uuid4().hex[:12]
-    files, hidden = file_system(spark, f"{folder}/_writing-{stamp}")
-    df.write.parquet(hidden.toString())
-    _, place = file_system(spark, f"{folder}/v{number:012d}-{stamp}")
-    if not files.rename(hidden, place):
-        raise OSError(f"cannot rename {hidden.toString()}")
+    log = CommitLog(spark, folder)
+    begun = log.latest()[0] if expected is None else expected
+    made = f"v{begun + 1:012d}-{uuid.uuid4().hex[:12]}"
+    try:
+        df.write.parquet(f"{folder}/{made}")
+        number = log.commit(begun, made)
+    except BaseException:
+        remove(spark, f"{folder}/{made}")
+        raise
     open_table(spark, name)
-    for old in before[:-1]:
+    for old in versions(spark, name)[:-2]:
         remove(spark, old)
+    log.forget_before(begun)
+    return number
 
 
 def drop_table(spark: SparkSession, name: str) -> None:

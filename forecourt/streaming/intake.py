@@ -157,9 +157,11 @@ def reconcile(spark: SparkSession, folders: str | Sequence[str], ledger: str) ->
     folder of its own.  Run it between batches.  Names that begin with ``_`` or ``.`` are
     listed by the catalog but are no uploads.  Returns the number of records added.
     """
+    from forecourt.streaming.state import read_batches  # it builds on this module
+
     files = listed_files(spark, folders).filter(~F.regexp_extract("path", "([^/]*)$", 1).rlike("^[_.]"))
     files = files.withColumn("key", plain_path(F.replace(F.col("path"), F.lit("%"), F.lit("%25"))))
-    known = spark.read.parquet(ledger) if file_system(spark, ledger)[0].exists(file_system(spark, ledger)[1]) else None
+    known = read_batches(spark, ledger) if file_system(spark, ledger)[0].exists(file_system(spark, ledger)[1]) else None
     if known is not None and known.columns:
         seen = known.select(plain_path(F.col("file_path")).alias("key"), F.col("receive_time").alias("modify_time"))
         files = files.join(seen, ["key", "modify_time"], "left_anti")
@@ -209,8 +211,12 @@ def outcomes(tasks: DataFrame, records: DataFrame) -> DataFrame:
     received but not stored, or nothing by the deadline, is an error.
     """
     seen = records.select("file_name", "file_size", "data_count", "receive_time", "upload_success", *[c for c in records.columns if c == "error"])
-    error = F.coalesce("error", F.lit(UPLOAD_FAILED)) if "error" in seen.columns else F.lit(UPLOAD_FAILED)
-    joined = tasks.join(seen, "file_name", "left")
+    return _verdicts(tasks.join(seen, "file_name", "left"))
+
+
+def _verdicts(joined: DataFrame, *more: str) -> DataFrame:
+    """Tasks with their records (or NULL) as outcomes."""
+    error = F.coalesce("error", F.lit(UPLOAD_FAILED)) if "error" in joined.columns else F.lit(UPLOAD_FAILED)
     in_time = F.col("receive_time").isNotNull() & (F.col("receive_time") <= F.col("deadline"))
     stored = in_time & F.col("upload_success")
 
@@ -232,4 +238,31 @@ def outcomes(tasks: DataFrame, records: DataFrame) -> DataFrame:
         .when(in_time, error)
         .otherwise(timed_out)
         .alias("message"),
+        *more,
+    )
+
+
+def deadline(start: Column, duration: Column) -> Column:
+    """When a task that began at ``start`` counts as timed out; its duration is cut to the limit."""
+    seconds = F.least(duration.cast("int"), F.lit(MAX_DURATION)) + F.lit(GRACE_SECONDS)
+    return start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
+def late_outcomes(tasks: DataFrame, records: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """Stream of outcomes of a stream of tasks against a stream of records, each as soon as it is known.
+
+    Tasks have ``task_id``, ``file_name``, ``address``, ``start`` and ``deadline`` (see ``deadline``),
+    records the columns of the ledger.  A record that arrives in time gives its outcome at
+    once.  A task without one is said to be late by the stream itself, when both streams'
+    time has passed the longest deadline a task can have by ``delay``; its state is dropped
+    with that.  A record after the deadline changes nothing.  A file received twice in time
+    gives a row each.  Tasks and records that come more than ``delay`` behind their stream's
+    newest are not taken.
+    """
+    longest = f"INTERVAL {MAX_DURATION + GRACE_SECONDS} SECONDS"
+    started = tasks.withWatermark("start", delay)
+    seen = records.withColumnRenamed("file_name", "_received").withWatermark("receive_time", delay)
+    in_time = F.expr(
+        f"file_name = _received AND receive_time >= start AND receive_time <= start + {longest} AND receive_time <= deadline"
     )
+    return _verdicts(started.join(seen, in_time, "left_outer"), "start")

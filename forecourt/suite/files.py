@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from forecourt import schemas
 from forecourt.operators import dedup, words
@@ -10,6 +10,8 @@ from forecourt.plans import cleaning, statistics_import
 from forecourt.sinks import files as sinks
 from forecourt.sinks import tables
 from forecourt.sources import files as sources
+from forecourt.sources.catalog import listed_files
+from forecourt.sources.line_index import line_index, page_of_rows
 from forecourt.sources.tables import point_lookup, table_scan
 from forecourt.functions import names
 from forecourt.suite import query
@@ -349,8 +351,32 @@ def s12_preview_positions(spark, sf_dir):
     path = f"{fresh_dir(spark, 's12')}/sorted"
     region = F.element_at(F.array(*[F.lit(r) for r in REGIONS]), (F.col("o_orderkey") % len(REGIONS) + 1).cast("int"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", region.alias("region"))
-    sinks.write_csv(orders.coalesce(1).sortWithinPartitions("o_orderkey"), path, charset="GBK")
-    return sources.preview_original(spark, path).select("position", "line")
+    sinks.write_csv(orders.orderBy("o_orderkey"), path, charset="GBK")
+    lines = sources.preview_original(spark, path)
+    # Each file has its header; positions go on from file to file, of which there are few.
+    ends = lines.groupBy("path").agg((F.max("position") - 1).alias("rows"))
+    earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    places = ends.select("path", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    whole = lines.join(places, "path").filter("position > 1 OR before = 0")
+    return whole.select((F.col("position") + F.col("before")).alias("position"), "line")
+
+
+@query(
+    "s12_page_of_rows",
+    """SELECT row, CAST(o_orderkey AS VARCHAR) || ',' || region AS line FROM (
+         SELECT row_number() OVER (ORDER BY o_orderkey) AS row, o_orderkey,
+                ['北京', '上海', '广州', '深圳', '成都', '南京', '杭州'][o_orderkey % 7 + 1] AS region, count(*) OVER () AS n FROM orders) o
+       WHERE row BETWEEN n // 2 AND n // 2 + n // 10""",
+)
+def s12_page_of_rows(spark, sf_dir):
+    # A page in the middle of many files, a tenth of all rows, by the index alone.
+    path = f"{fresh_dir(spark, 's12')}/indexed"
+    region = F.element_at(F.array(*[F.lit(r) for r in REGIONS]), (F.col("o_orderkey") % len(REGIONS) + 1).cast("int"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", region.alias("region"))
+    sinks.write_csv(orders.orderBy("o_orderkey"), path, charset="GBK")
+    n = orders.count()
+    index = line_index(listed_files(spark, path).filter("path LIKE '%.csv'"), header=1)
+    return page_of_rows(index, n // 2, n // 10 + 1, charset="GBK").select("row", "line")
 
 
 @query(

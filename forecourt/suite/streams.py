@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from forecourt.functions import names
 from forecourt.operators.ranking import number_rows
 from forecourt.sinks.files import write_csv
-from forecourt.streaming import intake, state
+from forecourt.sources.catalog import listed_files
+from forecourt.sources.line_index import line_index
+from forecourt.streaming import intake, paced, state
 from forecourt.suite import query
 from forecourt.suite.views import table
 from forecourt.workspace import file_system, fresh_dir, landed_once
@@ -42,7 +44,7 @@ def _ledger(spark, sf_dir):
     out = fresh_dir(spark, "ledger")
     lines = intake.dropped_lines(spark, typed_landing(spark, sf_dir))
     intake.keep_ledger(lines, out, fresh_dir(spark, "ledger-checkpoint")).awaitTermination()
-    return spark.read.parquet(out)
+    return state.read_batches(spark, out)
 
 
 @query("i1_landed_rows", "SELECT event_id, user_id, ts, props FROM events")
@@ -119,7 +121,8 @@ def _dated_ledger(spark, sf_dir, fails=None):
 
     lines = intake.dropped_lines(spark, dated_landing(spark, sf_dir), max_files=1)
     intake.keep_ledger(lines, out, fresh_dir(spark, "dated-checkpoint"), store=store).awaitTermination()
-    return spark.read.parquet(out)
+    state.compact(spark, out)
+    return state.read_batches(spark, out)
 
 
 @query(
@@ -201,6 +204,107 @@ def i7_outcomes(spark, sf_dir):
     return intake.outcomes(tasks, records)
 
 
+def _written_index(spark, sf_dir):
+    """Line index of the events, sorted over several CSV files."""
+
+    def write(path):
+        rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type").orderBy("event_id")
+        write_csv(rows, f"{path}-files")
+        line_index(listed_files(spark, f"{path}-files").filter("path LIKE '%.csv'"), header=1).write.parquet(path)
+
+    return landed_once(spark, f"{sf_dir}/events_by_line", write)
+
+
+@query(
+    "i4_paced_source",
+    """WITH pace AS (SELECT greatest(1000, (count(*) + 5) // 6) AS n FROM events)
+       SELECT event_id, user_id, event_type, CAST((row_number() OVER (ORDER BY event_id) - 1) // n AS BIGINT) AS batch
+       FROM events, pace""",
+)
+def i4_paced_source(spark, sf_dir):
+    # Ends after two batches; a second run with the same folders goes on where it stood.
+    index, out = _written_index(spark, sf_dir), fresh_dir(spark, "paced-rows")
+    pace = max(1000, (table(spark, sf_dir, "events").count() + 5) // 6)
+    progress, checkpoint = fresh_dir(spark, "paced-progress"), fresh_dir(spark, "paced-rows-checkpoint")
+
+    def save(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    for batches in (2, None):
+        lines = paced.paced_lines(spark, index, progress, pace, batches)
+        writer = lines.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+        paced.finish(writer.trigger(processingTime="0 seconds").start())
+    fields = F.from_csv("line", "event_id LONG, user_id LONG, event_type STRING").alias("r")
+    return spark.read.parquet(out).select(fields, F.col("batch_id").cast("long").alias("batch")).select("r.*", "batch")
+
+
+def _intake_events(spark, sf_dir):
+    """A task per event and, for two thirds of them, the record of its file, some of them late or failed."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("start"))
+    file_name = F.format_string("socket_collect_%d.csv", "event_id")
+    address = F.concat(F.lit("tcp://10.0.0."), (F.col("event_id") % 9).cast("string"), F.lit(":81/in"))
+    due = intake.deadline(F.col("start"), 1 + F.col("user_id") % 90)
+    tasks = events.select(F.col("event_id").alias("task_id"), file_name.alias("file_name"), address.alias("address"), "start", due.alias("deadline"))
+    records = events.filter("event_id % 3 <> 0").select(
+        file_name.alias("file_name"),
+        (F.col("event_id") * 10).alias("file_size"),
+        (F.col("event_id") % 50).alias("data_count"),
+        (F.col("start") + F.make_dt_interval(secs=(F.col("event_id") % 120).cast("decimal(18,6)"))).alias("receive_time"),
+        (F.col("event_id") % 7 != 0).alias("upload_success"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    # A task and a record a day later move both streams' time on.
+    end = F.max("start") + F.make_dt_interval(days=F.lit(1))
+    last = events.agg(end.alias("start"))
+    closing = last.select(F.lit(-1).cast("bigint").alias("task_id"), F.lit("last").alias("file_name"), F.lit("").alias("address"), "start", F.col("start").alias("deadline"))
+    closed = last.select(
+        F.lit("last").alias("file_name"), F.lit(0).cast("bigint").alias("file_size"), F.lit(0).cast("bigint").alias("data_count"),
+        F.col("start").alias("receive_time"), F.lit(True).alias("upload_success"), F.lit(None).cast("string").alias("error"),
+    )
+    return tasks.unionByName(closing), records.unionByName(closed)
+
+
+@query(
+    "i7_late_stream",
+    """WITH tasks AS (
+         SELECT event_id, least(1 + user_id % 90, 60) + 30 AS patience, event_id % 3 <> 0 AND event_id % 120 <= least(1 + user_id % 90, 60) + 30 AS seen,
+                event_id % 7 <> 0 AS stored FROM events)
+       SELECT event_id AS task_id, 'socket_collect_' || CAST(event_id AS VARCHAR) || '.csv' AS file_name,
+              CASE WHEN seen AND stored THEN 'success' ELSE 'error' END AS status,
+              CASE WHEN seen THEN event_id % 50 END AS data_count, CASE WHEN seen AND stored THEN event_id * 10 END AS file_size,
+              CASE WHEN seen AND stored THEN NULL WHEN seen THEN '数据已通过 Socket 接收，但写入 HDFS 失败，请检查 HDFS 连接状态'
+                   ELSE '采集超时：无法连接数据源 10.0.0.' || CAST(event_id % 9 AS VARCHAR)
+                        || ':81，请确认采集服务端已启动（本机监听端口 9999）' END AS message
+       FROM tasks""",
+)
+def i7_late_stream(spark, sf_dir):
+    landed = landed_once(
+        spark,
+        f"{sf_dir}/intake_events",
+        lambda p: [df.write.parquet(f"{p}/{name}") for df, name in zip(_intake_events(spark, sf_dir), ("tasks", "records"))],
+    )
+    tasks, records = (
+        spark.readStream.schema(spark.read.parquet(f"{landed}/{name}").schema).parquet(f"{landed}/{name}") for name in ("tasks", "records")
+    )
+    out = fresh_dir(spark, "late-outcomes")
+    intake.land(intake.late_outcomes(tasks, records), out, fresh_dir(spark, "late-checkpoint")).awaitTermination()
+    return spark.read.parquet(out).filter("task_id >= 0").drop("start")
+
+
+@query(
+    "i6_stored_totals",
+    """SELECT '10.0.' || CAST(user_id % 7 AS VARCHAR) || '.' || CAST(user_id % 200 AS VARCHAR) AS device,
+              CAST(sum(user_id) AS BIGINT) AS value FROM events GROUP BY 1""",
+)
+def i6_stored_totals(spark, sf_dir):
+    # Several batches update the sums; what they come to is read from the state store.
+    rows = intake.dropped_rows(spark, several_files(spark, sf_dir), ROWS, max_files=3)
+    checkpoint = fresh_dir(spark, "stored-checkpoint")
+    sums = state.running_sums(rows, "device", F.col("user_id"))
+    state.write_updates(sums, fresh_dir(spark, "stored-updates"), checkpoint).awaitTermination()
+    return state.stored_sums(spark, checkpoint, "device")
+
+
 @query(
     "f11_k10_device_files",
     """SELECT DISTINCT '10_0_' || CAST(user_id % 7 AS VARCHAR) || '_' || CAST(user_id % 200 AS VARCHAR) || '.json'

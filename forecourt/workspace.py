@@ -9,12 +9,15 @@ import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _landed: dict[tuple[str, str], str] = {}
 _made: dict[str, list[str]] = {}
 _landing: list[float] = []
+#: Folders made in the innermost ``scratch`` of this thread; other threads have their own.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -40,6 +43,9 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
         _made[app] = []
         atexit.register(_purge_at_exit, spark)
     _made[app].append(path)
+    mine = _scratch.get()
+    if mine is not None:
+        mine.append(path)
     return path
 
 
@@ -77,16 +83,18 @@ def _purge_at_exit(spark: SparkSession) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Intermediate folders made inside are deleted on leaving: the work must be done by then."""
+    """Intermediate folders this thread makes inside are deleted on leaving: the work must be done by then."""
     app = spark.sparkContext.applicationId
-    before = set(_made.get(app, []))
+    mine: list[str] = []
+    token = _scratch.set(mine)
     try:
         yield
     finally:
-        mine = [p for p in _made.get(app, []) if p not in before]
+        _scratch.reset(token)
         for path in mine:
             remove(spark, path)
-            _made[app].remove(path)
+            if path in _made.get(app, []):
+                _made[app].remove(path)
         for key in [k for k, p in _landed.items() if k[0] == app and p in mine]:
             del _landed[key]
 

@@ -101,3 +101,28 @@ def test_previewed_text_can_be_put_together(spark, tmp_path):
         mine = sorted((r["position"], r["line"]) for r in rows if r["path"].endswith(f"/{name}.txt"))
         assert [p for p, _ in mine] == list(range(1, 501))
         assert "".join(f"{line}\n" for _, line in mine) == text
+
+
+def test_part_files_are_about_as_many_as_files(spark, tmp_path):
+    given = []
+    for i in range(20):
+        given.append(put(f"{tmp_path}/in/f{i}.csv", ("a,b\n" + "".join(f"{j},{j % 7}\n" for j in range(200))).encode()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = cleaning.deduplicate_files(spark, given, "a", f"{tmp_path}/out", charset="UTF-8", schema="a INT, b INT")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = [len([n for n in os.listdir(path) if n.startswith("part-")]) for path in found]
+    assert parts == [1] * 20
+    assert spark.read.option("header", True).csv(found).count() == 20 * 200
+
+
+def test_a_taken_name_stops_all_before_anything_is_written(spark, tmp_path):
+    given = [put(f"{tmp_path}/in/f{i}.csv", b"a,b\n1,2\n") for i in range(3)]
+    os.makedirs(f"{tmp_path}/out/deduplicated_f2.csv")
+    with pytest.raises(FileExistsError):
+        cleaning.deduplicate_files(spark, given, "a", f"{tmp_path}/out")
+    assert os.listdir(f"{tmp_path}/out") == ["deduplicated_f2.csv"]
+    twice = [given[0], put(f"{tmp_path}/other/f0.csv", b"a,b\n1,2\n")]
+    with pytest.raises(FileExistsError):
+        cleaning.deduplicate_files(spark, twice, "a", f"{tmp_path}/out3")
