@@ -9,6 +9,7 @@ all training texts.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -16,10 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from forecourt.llm.text import slices, utf8_column
+from forecourt.llm.threads import one_thread
 from forecourt.workspace import stored
 
 #: Words that are sent to every task with their counts; the others are joined.  A bound.
@@ -29,8 +32,8 @@ OWN, SHARED = 447, 64
 HIDDEN = 16
 #: Steps through which errors are followed back, and texts trained side by side.
 WINDOW, STREAMS = 16, 256
-#: Texts that a task turns into numbers at a time.
-TEXTS = 4096
+#: Texts, and bytes of them, that a task works on at a time; a longer text is alone.
+TEXTS, TEXT_BYTES = 4096, 16 << 20
 #: The texts are dealt to so many rounds by hash; models are averaged after each.
 ROUNDS = 3
 RATE = 0.05
@@ -124,7 +127,10 @@ def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
         if steps[at] > room:
             break
         least, room = at, room - steps[at]
-    frequent = counts.filter(step >= least) if least is not None else counts.limit(0)
+    frequent = counts.filter(step >= least) if least is not None else None
+    if frequent is None or DICTIONARY - room < OWN:
+        # Too many words share a step: those with a symbol of their own are taken apart, by a top list.
+        frequent = counts.orderBy(F.desc("c"), "word").limit(min(OWN, DICTIONARY))
     top = frequent.toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     words, c, k = top.column("word").to_pylist(), top.column("c").to_numpy(), top.column("k").to_numpy()
     sums = counts.groupBy("k").agg(
@@ -141,6 +147,17 @@ def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     return Vocabulary(words, c, texts, everything, distinct, total, once)
 
 
+def text_runs(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``TEXTS`` rows and about ``TEXT_BYTES`` bytes of ``column``; a longer row is alone."""
+    for batch in slices(batches, TEXTS):
+        sizes = np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0)).astype(np.int64)
+        run = np.cumsum(sizes) // TEXT_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 class _Ids(dict):
     """Word to number: its rank in the dictionary, or a fresh number that lasts for a batch."""
 
@@ -188,6 +205,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1.0)
 
 
+def _grouped(small: np.ndarray) -> np.ndarray:
+    """Stable order of small numbers: two bytes are sorted by radix."""
+    return np.argsort(small.astype(np.uint16), kind="stable")
+
+
 class Network:
     """A gated recurrent unit with a class-factored softmax, in single precision.
 
@@ -245,8 +267,8 @@ class Network:
         total = e.sum(axis=1)
         rows = np.arange(len(targets))
         logp = logits[rows, classes] - np.log(total)
-        order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(len(self.edges)))
+        order = _grouped(classes)
+        cuts = np.append(0, np.cumsum(np.bincount(classes, minlength=len(self.edges) - 1)))
         if train:
             e /= total[:, None]
             e[rows, classes] -= 1.0
@@ -310,10 +332,11 @@ class Network:
             grads["gates"] += before.T @ d_gates
             d_state = (d * update + d_kept * reset + d_gates @ w["gates"].T) * goes_on
         flat = inputs.ravel()
-        order = np.argsort(flat, kind="stable")
-        found, at = np.unique(flat[order], return_index=True)
+        order = _grouped(flat)
+        ordered = flat[order]
+        at = np.append(0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1)
         grads["inputs"] = np.zeros_like(w["inputs"])
-        grads["inputs"][found] = np.add.reduceat(d_inputs.reshape(-1, 3 * hidden)[order], at, axis=0)
+        grads["inputs"][ordered[at]] = np.add.reduceat(d_inputs.reshape(-1, 3 * hidden)[order], at, axis=0)
         scale = 1.0 / max(1, len(flat_states))
         for name, g in grads.items():
             g = np.clip(g * scale, -1.0, 1.0)
@@ -342,34 +365,47 @@ class Network:
             state = self.learn(inputs[cut], targets[cut], real[cut], state, end)
         return total
 
-    def scores(self, texts: list[np.ndarray], end: int, side_by_side: int = 1536) -> np.ndarray:
-        """Log10 probability of each whole text, its state carried from window to window."""
-        out = np.zeros(len(texts))
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        for begin in range(0, len(order), side_by_side):
-            mine = order[begin : begin + side_by_side]
-            sizes = np.array([len(texts[i]) for i in mine])
-            state = np.zeros((len(mine), self.hidden), np.float32)
-            last = np.full(len(mine), self.place[end])
-            sums = np.zeros(len(mine))
-            for t in range(0, int(sizes[0]), WINDOW):
-                live = int(np.searchsorted(-sizes, -t, side="left"))  # texts longer than t
-                steps = int(min(WINDOW, sizes[0] - t))
-                window = np.full((steps, live), -1, np.int64)
-                for j in range(live):
-                    some = texts[mine[j]][t : t + steps]
-                    window[: len(some), j] = self.place[some]
-                states, targets, owners = [], [], []
-                for s in range(steps):
-                    on = int(np.searchsorted(-sizes[:live], -(t + s), side="left"))
-                    state[:on] = self.step(last[:on], state[:on])[0]
-                    last[:on] = window[s, :on]
-                    states.append(state[:on].copy())
-                    targets.append(window[s, :on])
-                    owners.append(np.arange(on))
-                logp = self.output(np.concatenate(states), np.concatenate(targets))
-                sums += np.bincount(np.concatenate(owners), weights=logp, minlength=len(mine))
-            out[mine] = sums
+    def scores(self, texts: list[np.ndarray], end: int, side_by_side: int = 1024) -> np.ndarray:
+        """Log10 probability of each whole text, its state carried from window to window.
+
+        Texts stand one behind the other in streams of about equal length, longest first, so a
+        finished text gives its place to the next one; each begins with an empty state.
+        """
+        if not texts:
+            return np.zeros(0)
+        sizes = np.array([len(t) for t in texts])
+        streams: list[list[int]] = [[] for _ in range(min(side_by_side, len(texts)))]
+        loads = [(0, i) for i in range(len(streams))]
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            load, k = loads[0]
+            streams[k].append(i)
+            heapq.heapreplace(loads, (load + int(sizes[i]), k))
+        streams.sort(key=lambda mine: -sum(int(sizes[i]) for i in mine))
+        placed = [i for mine in streams for i in mine]
+        flat = self.place[np.concatenate([texts[i] for i in placed])]
+        length = np.array([sum(int(sizes[i]) for i in mine) for mine in streams])
+        begin = np.cumsum(length) - length
+        end = self.place[end]
+        before = np.concatenate([[end], flat[:-1]])
+        logs = np.empty(len(flat))
+        state = np.zeros((len(streams), self.hidden), np.float32)
+        for t in range(0, int(length[0]), WINDOW):
+            live = int(np.searchsorted(-length, -t, side="left"))  # streams longer than t
+            steps = int(min(WINDOW, length[0] - t))
+            at = begin[:live] + t + np.arange(steps)[:, None]
+            real = at < (begin + length)[:live]
+            at = np.minimum(at, len(flat) - 1)
+            inputs = before[at]
+            states = np.empty((steps, live, self.hidden), np.float32)
+            held = state[:live]
+            for s in range(steps):
+                held = self.step(inputs[s], held * (inputs[s] != end)[:, None])[0]
+                states[s] = held
+            state[:live] = held
+            logs[at[real]] = self.output(states[real], flat[at[real]])
+        out = np.empty(len(texts))
+        ends = np.cumsum(sizes[placed])
+        out[placed] = np.add.reduceat(logs, ends - sizes[placed])
         return out / np.log(10.0)
 
 
@@ -380,34 +416,30 @@ def _add(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.
     return a[0] + b[0], a[1] + b[1]
 
 
-def trained(texts: DataFrame, known: Vocabulary, sent: Broadcast, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after every text of ``texts`` (``doc_id``, ``text``) has been learned from once.
+def trained(numbers: DataFrame, known: Vocabulary, sent: Broadcast, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights after every text of ``numbers`` with a ``turn`` of 0 or more has been learned from once.
 
     Each round every task trains a copy of the model on the round's texts of its partition;
     the copies are averaged by the tokens they saw, in a tree on the executors, so the
     driver receives a few models of fixed size.
     """
     model = Network(known.symbol_counts()).flat()
-    spark = texts.sparkSession
+    spark = numbers.sparkSession
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterable[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            vocabulary_ = sent.value
-            coder, network = Coder(vocabulary_), Network(vocabulary_.symbol_counts())
+            one_thread()
+            network = Network(sent.value.symbol_counts())
             network.load(start.value)
             seen = 0
-            for batch in slices(batches, TEXTS):
-                numbers = coder.numbers(utf8_column(batch, "text"))
-                symbols = coder.all_symbols()
-                end = np.array([vocabulary_.end])
-                seen += network.learn_texts([np.concatenate([symbols[n], end]) for n in numbers], vocabulary_.end)
-                coder.ids.forget()
+            for batch in text_runs(batches, "symbols"):
+                seen += network.learn_texts(_symbols(batch), sent.value.end)
             if seen:
                 weights = network.flat().astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([weights.tobytes()], pa.binary())], names=["seen", "weights"])
 
-        mine = texts.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(rounds)) == turn).select("text")
+        mine = numbers.filter(F.col("turn") == turn).select("symbols")
         models = mine.mapInArrow(run, "seen bigint, weights binary").rdd.map(lambda r: (r["seen"], np.frombuffer(r["weights"])))
         nothing = (0, np.zeros(len(model)))
         seen, total = models.treeAggregate(nothing, _add, _add)
@@ -416,27 +448,21 @@ def trained(texts: DataFrame, known: Vocabulary, sent: Broadcast, rounds: int =
     return model
 
 
-def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
+def _symbols(batch: pa.RecordBatch) -> list[np.ndarray]:
+    column = batch.column(batch.schema.get_field_index("symbols"))
+    return [np.frombuffer(x.as_buffer(), np.uint16) for x in column]
 
-    One row per row of ``docs``.  Counts and training cover all texts that are not held out;
-    every text is scored whole.  Words outside the dictionary that tasks hold are joined with
-    their counts by document and word.  NULL and empty texts are the end token alone; with no
-    training text the network is untrained and every word unseen; other columns are not
-    read; an empty table gives no rows.
+
+def numbered(texts: DataFrame, sent: Broadcast, rounds: int = ROUNDS) -> DataFrame:
+    """One row per text (``doc_id``, ``text``): what counts alone give, and the text as symbols.
+
+    Texts are cut into words here once; training and scoring read two bytes a token.
+    ``turn`` is the round a text is learned in, -1 for those held out.
     """
-    spark = docs.sparkSession
-    read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    train = read.filter(~held_out(F.col("doc_id")))
-    counts = stored(word_counts(train), "word_counts")
-    known = vocabulary(counts, train.count())
-    sent = spark.sparkContext.broadcast(known)
-    weights = spark.sparkContext.broadcast(trained(train, known, sent))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_ = sent.value
-        coder, network = Coder(known_), Network(known_.symbol_counts())
-        network.load(weights.value)
+        coder = Coder(known_)
         size, unseen = len(known_.words), known_.unseen
         log_c = np.log10(known_.counts + 0.1)
         shared = coder.symbols - known_.own
@@ -444,11 +470,12 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         tail = np.arange(size) >= known_.own
         within[tail] = np.log10((1 - unseen[shared[tail]]) * known_.counts[tail] / known_.shared_total[shared[tail]])
         row = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, TEXTS):
+        for batch in text_runs(batches, "text"):
             numbers = coder.numbers(utf8_column(batch, "text"))
-            symbols = coder.all_symbols()
-            end = np.array([known_.end])
-            score = network.scores([np.concatenate([symbols[n], end]) for n in numbers], known_.end)
+            every = coder.all_symbols().astype(np.uint16)
+            end = every[-1:]
+            symbols = [np.concatenate([every[n], end]).tobytes() for n in numbers]
+            score = np.zeros(len(numbers))
             base = np.full(len(numbers), np.log10(known_.ends + 0.1))
             n_known = np.zeros(len(numbers), np.int64)
             n_tokens = np.array([len(n) + 1 for n in numbers], np.int64)
@@ -464,20 +491,59 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 ends.append(ends[-1] + len(other))
             # Words outside the dictionary as columns: no Python object per word and text.
             at = pa.array(np.concatenate(rest))
-            kinds = pa.array(coder.all_symbols()[size:-1] - known_.own, pa.int32())
+            kinds = pa.array(every[size:-1].astype(np.int32) - known_.own, pa.int32())
             fields = [pa.array(fresh, pa.binary()).take(at), kinds.take(at), pa.array(np.concatenate(times), pa.int64())]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["word", "k", "times"]))
             ids = pa.array(np.arange(row, row + len(numbers)))
             row += len(numbers)
+            whole = [ids, batch.column(0), batch.column(1), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(score)]
             yield pa.RecordBatch.from_arrays(
-                [ids, batch.column(0), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(score), lists],
-                names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"],
+                [*whole, pa.array(symbols, pa.binary()), lists],
+                names=["row", "doc_id", "turn", "n_tokens", "n_known", "base", "score", "symbols", "rest"],
             )
             coder.ids.forget()
 
-    schema = "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rest array<struct<word:binary,k:int,times:bigint>>"
-    parts = stored(read.mapInArrow(run, schema), "scored")
-    words = parts.select("row", F.inline("rest"))
+    schema = (
+        "row bigint, doc_id bigint, turn int, n_tokens bigint, n_known bigint, base double, score double, symbols binary, "
+        "rest array<struct<word:binary,k:int,times:bigint>>"
+    )
+    deal = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(rounds)).cast("int")
+    turn = F.when(held_out(F.col("doc_id")), F.lit(-1)).otherwise(deal)
+    return texts.select("doc_id", turn.alias("turn"), "text").mapInArrow(run, schema)
+
+
+def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
+
+    One row per row of ``docs``.  Counts and training cover all texts that are not held out;
+    every text is scored whole.  Words outside the dictionary that tasks hold are joined with
+    their counts by document and word.  NULL and empty texts are the end token alone; with no
+    training text the network is untrained and every word unseen; other columns are not
+    read; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    train = read.filter(~held_out(F.col("doc_id")))
+    counts = stored(word_counts(train), "word_counts")
+    known = vocabulary(counts, train.count())
+    sent = spark.sparkContext.broadcast(known)
+    numbers = stored(numbered(read, sent), "numbers")
+    weights = spark.sparkContext.broadcast(trained(numbers, known, sent))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        network = Network(sent.value.symbol_counts())
+        network.load(weights.value)
+        for batch in text_runs(batches, "symbols"):
+            told = network.scores(_symbols(batch), sent.value.end)
+            whole = batch.drop_columns(["symbols", "score"])
+            counted = np.asarray(batch.column(batch.schema.get_field_index("score")))
+            yield whole.append_column("score", pa.array(counted + told))
+
+    told = "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double"
+    columns = ["row", "doc_id", "n_tokens", "n_known", "base", "symbols", "score"]
+    parts = stored(numbers.select(*columns).mapInArrow(run, told), "scored")
+    words = numbers.select("row", F.inline("rest"))
     by_word = words.join(counts.select("word", "c"), "word", "left")
     # Shares by shared symbol: few, and fixed in number.
     totals = np.maximum(known.shared_total, 1)
@@ -491,8 +557,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     )
     zero = lambda name: F.coalesce(name, F.lit(0))
     return (
-        parts.drop("rest")
-        .join(rest, "row", "left")
+        parts.join(rest, "row", "left")
         .select(
             "doc_id",
             held_out(F.col("doc_id")).alias("held_out"),

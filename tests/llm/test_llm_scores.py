@@ -137,3 +137,21 @@ def test_frequent_words_are_told_apart():
     words = [f"w{i:04d}".encode() for i in range(1000)]
     known = lm_score.Vocabulary(words, np.arange(1000, 0, -1), 3, 13, 5, np.zeros(64, np.int64), np.zeros(64, np.int64))
     assert len(set(lm_score.Coder(known).all_symbols()[:447].tolist())) == 447
+
+
+def test_words_of_one_step_beyond_the_dictionary_still_get_symbols(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "DICTIONARY", 50)
+    monkeypatch.setattr(lm_score, "OWN", 40)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20)), "a") for i in range(30)]
+    counts = lm_score.word_counts(frame(spark, rows))
+    known = lm_score.vocabulary(counts, len(rows))
+    assert known.own == 40 and len(known.words) <= 50
+    assert known.shared_total.sum() == 600 - 40 and known.total == 630
+
+
+def test_runs_of_texts_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(lm_score, "TEXT_BYTES", 100)
+    texts = [b"x" * n for n in (10, 95, 400, 5, 5, 0, 90)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    runs = [r.column(0).to_pylist() for r in lm_score.text_runs([batch], "text")]
+    assert [t for r in runs for t in r] == texts and all(len(r) == 1 or sum(map(len, r[:-1])) < 200 for r in runs)
