@@ -201,10 +201,6 @@ class Coder:
 # -- network ----------------------------------------------------------------------------
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1.0)
-
-
 def _grouped(small: np.ndarray) -> np.ndarray:
     """Stable order of small numbers: two bytes are sorted by radix."""
     return np.argsort(small.astype(np.uint16), kind="stable")
@@ -248,52 +244,91 @@ class Network:
             self.weights[name] = np.asarray(flat[at : at + w.size], np.float32).reshape(w.shape)
             at += w.size
 
+    @property
+    def kind(self) -> np.dtype:
+        """Precision of the weights, and of all that is computed with them."""
+        return self.weights["gates"].dtype
+
+    def _inputs(self, symbols: np.ndarray) -> np.ndarray:
+        """What the symbols add to the gates (halved, for the tangent) and to the candidate."""
+        x = self.weights["inputs"][symbols]
+        x[..., : 2 * self.hidden] *= 0.5
+        return x
+
+    def _advance(self, x: np.ndarray, state: np.ndarray, half: np.ndarray, gates: np.ndarray, kept: np.ndarray, fresh: np.ndarray, out: np.ndarray) -> None:
+        """One step: ``gates``, ``kept``, ``fresh`` and the new state ``out`` from what came in and ``state``."""
+        hidden = self.hidden
+        np.matmul(state, half, out=gates)
+        gates += x[:, : 2 * hidden]
+        np.tanh(gates, out=gates)  # the sigmoid of twice that
+        gates *= 0.5
+        gates += 0.5
+        np.multiply(gates[:, hidden:], state, out=kept)
+        np.matmul(kept, self.weights["candidate"], out=fresh)
+        fresh += x[:, 2 * hidden :]
+        np.tanh(fresh, out=fresh)
+        np.subtract(state, fresh, out=out)
+        out *= gates[:, :hidden]
+        out += fresh
+
     def step(self, symbols: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-        w, hidden = self.weights, self.hidden
-        x = w["inputs"][symbols]
-        gates = _sigmoid(x[:, : 2 * hidden] + state @ w["gates"])
-        update, reset = gates[:, :hidden], gates[:, hidden:]
-        kept = reset * state
-        fresh = np.tanh(x[:, 2 * hidden :] + kept @ w["candidate"])
-        return fresh + update * (state - fresh), update, reset, kept, fresh
+        """The state after one symbol each, and the gates, what was kept of the old state, and the candidate."""
+        state = np.asarray(state, self.kind)
+        gates = np.empty((len(state), 2 * self.hidden), self.kind)
+        kept, fresh, out = (np.empty_like(state) for _ in range(3))
+        self._advance(self._inputs(symbols), state, 0.5 * self.weights["gates"], gates, kept, fresh, out)
+        return out, gates, kept, fresh
 
     def output(self, states: np.ndarray, targets: np.ndarray, train: bool = False):
-        """Natural log probability of every target given its state; gradients if training."""
-        w = self.weights
+        """Natural log probability of every target given its state; gradients if training.
+
+        Classes and members stand in rows, targets in columns, so that sums over the few run
+        along the many; a last column of ones stands for what is added whatever the state.
+        """
+        w, hidden, n = self.weights, self.hidden, len(targets)
+        wide = np.concatenate([states, np.ones((n, 1))], axis=1, dtype=self.kind)
+        columns = np.arange(n)
         classes = self.class_of[targets]
-        logits = states @ w["class_w"] + w["class_b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        rows = np.arange(len(targets))
-        logp = logits[rows, classes] - np.log(total)
+        of_class = np.concatenate([w["class_w"], w["class_b"][None]]).T
+        of_member = np.concatenate([w["member_w"], w["member_b"][:, None]], axis=1)
+        e = of_class @ wide.T.copy()
+        e -= e.max(axis=0)
+        logp = e[classes, columns]
+        np.exp(e, out=e)
+        total = e.sum(axis=0)
+        logp -= np.log(total)
+        # Targets of one class side by side.
         order = _grouped(classes)
         cuts = np.append(0, np.cumsum(np.bincount(classes, minlength=len(self.edges) - 1)))
-        if train:
-            e /= total[:, None]
-            e[rows, classes] -= 1.0
-            grads = {"class_w": states.T @ e, "class_b": e.sum(axis=0)}
-            back = e @ w["class_w"].T
-            grads["member_w"], grads["member_b"] = np.zeros_like(w["member_w"]), np.zeros_like(w["member_b"])
-        for k in range(len(self.edges) - 1):
-            mine = order[cuts[k] : cuts[k + 1]]
-            if not len(mine):
-                continue
-            a, b = self.edges[k], self.edges[k + 1]
-            held = states[mine]
-            inside = held @ w["member_w"][a:b].T + w["member_b"][a:b]
-            inside -= inside.max(axis=1, keepdims=True)
-            f = np.exp(inside)
-            sums = f.sum(axis=1)
-            column, row = targets[mine] - a, np.arange(len(mine))
-            logp[mine] += inside[row, column] - np.log(sums)
-            if train:
-                f /= sums[:, None]
-                f[row, column] -= 1.0
-                grads["member_w"][a:b] = f.T @ held
-                grads["member_b"][a:b] = f.sum(axis=0)
-                back[mine] += f @ w["member_w"][a:b]
-        return (logp, grads, back) if train else logp
+        runs = [(self.edges[k], self.edges[k + 1], slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts))]
+        held = np.take(wide, order, axis=0)
+        across = held.T.copy()
+        f = np.full((int(np.diff(self.edges).max()), n), -1e30, self.kind)
+        for a, b, run in runs:
+            f[: b - a, run] = of_member[a:b] @ across[:, run]
+        member = (targets - self.edges[classes])[order]
+        f -= f.max(axis=0)
+        inside = f[member, columns]
+        np.exp(f, out=f)
+        sums = f.sum(axis=0)
+        logp[order] += inside - np.log(sums)
+        if not train:
+            return logp
+        e /= total
+        e[classes, columns] -= 1.0
+        f /= sums
+        f[member, columns] -= 1.0
+        g = e @ wide
+        grads = {"class_w": g[:, :hidden].T, "class_b": g[:, hidden]}
+        grads["member_w"], grads["member_b"] = np.zeros_like(w["member_w"]), np.zeros_like(w["member_b"])
+        behind = np.empty((hidden, n), self.kind)
+        for a, b, run in runs:
+            g = f[: b - a, run] @ held[run]
+            grads["member_w"][a:b], grads["member_b"][a:b] = g[:, :hidden], g[:, hidden]
+            behind[:, run] = w["member_w"][a:b].T @ f[: b - a, run]
+        back = (w["class_w"] @ e).T.copy()
+        back[order] += behind.T
+        return logp, grads, back
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, state: np.ndarray, end: int) -> np.ndarray:
         """One window of truncated backpropagation; (steps, streams) arrays.  Returns the state after it.
@@ -302,41 +337,52 @@ class Network:
         """
         w, hidden = self.weights, self.hidden
         steps, streams = inputs.shape
-        begins, trail, states = [], [], np.empty((steps, streams, hidden), np.float32)
+        two = 2 * hidden
+        x = self._inputs(inputs)
+        half = 0.5 * w["gates"]
+        goes_on = (inputs != end).astype(self.kind)[:, :, None]
+        before, kept, fresh, states = (np.empty((steps, streams, hidden), self.kind) for _ in range(4))
+        gates = np.empty((steps, streams, two), self.kind)
         for t in range(steps):
-            goes_on = (inputs[t] != end).astype(np.float32)[:, None]
-            state = state * goes_on
-            begins.append((state, goes_on))
-            state, *rest = self.step(inputs[t], state)
-            trail.append(rest)
-            states[t] = state
+            np.multiply(state, goes_on[t], out=before[t])
+            self._advance(x[t], before[t], half, gates[t], kept[t], fresh[t], states[t])
+            state = states[t]
         seen = real.ravel()
         flat_states = states.reshape(-1, hidden)[seen]
         _, grads, back = self.output(flat_states, targets.ravel()[seen], train=True)
-        errors = np.zeros((steps * streams, hidden), np.float32)
+        errors = np.zeros((steps * streams, hidden), self.kind)
         errors[seen] = back
         errors = errors.reshape(steps, streams, hidden)
-        d_state = np.zeros((streams, hidden), np.float32)
-        grads["gates"], grads["candidate"] = np.zeros_like(w["gates"]), np.zeros_like(w["candidate"])
-        d_inputs = np.empty((steps, streams, 3 * hidden), np.float32)
+        update, reset = gates[:, :, :hidden], gates[:, :, hidden:]
+        # What does not depend on the steps behind, for all steps at once.
+        to_fresh = (1.0 - update) * (1.0 - fresh * fresh)
+        to_update = (before - fresh) * update * (1.0 - update)
+        to_reset = before * reset * (1.0 - reset)
+        back_candidate, back_gates = w["candidate"].T.copy(), w["gates"].T.copy()
+        d_state = np.zeros((streams, hidden), self.kind)
+        d_inputs = np.empty((steps, streams, 3 * hidden), self.kind)
         for t in range(steps - 1, -1, -1):
-            (before, goes_on), (update, reset, kept, fresh) = begins[t], trail[t]
-            d = errors[t] + d_state
-            d_fresh = d * (1.0 - update) * (1.0 - fresh * fresh)
-            d_kept = d_fresh @ w["candidate"].T
-            d_gates = d_inputs[t, :, : 2 * hidden]
-            d_gates[:, :hidden] = d * (before - fresh) * update * (1.0 - update)
-            d_gates[:, hidden:] = d_kept * before * reset * (1.0 - reset)
-            d_inputs[t, :, 2 * hidden :] = d_fresh
-            grads["candidate"] += kept.T @ d_fresh
-            grads["gates"] += before.T @ d_gates
-            d_state = (d * update + d_kept * reset + d_gates @ w["gates"].T) * goes_on
+            d, d_gates, d_fresh = errors[t], d_inputs[t, :, :two], d_inputs[t, :, two:]
+            d += d_state
+            np.multiply(d, to_fresh[t], out=d_fresh)
+            d_kept = d_fresh @ back_candidate
+            np.multiply(d, to_update[t], out=d_gates[:, :hidden])
+            np.multiply(d_kept, to_reset[t], out=d_gates[:, hidden:])
+            d *= update[t]
+            d_kept *= reset[t]
+            d += d_kept
+            d += d_gates @ back_gates
+            d *= goes_on[t]
+            d_state = d
+        flat_d = d_inputs.reshape(-1, 3 * hidden)
+        grads["candidate"] = kept.reshape(-1, hidden).T @ flat_d[:, two:]
+        grads["gates"] = before.reshape(-1, hidden).T @ flat_d[:, :two]
         flat = inputs.ravel()
         order = _grouped(flat)
         ordered = flat[order]
         at = np.append(0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1)
         grads["inputs"] = np.zeros_like(w["inputs"])
-        grads["inputs"][ordered[at]] = np.add.reduceat(d_inputs.reshape(-1, 3 * hidden)[order], at, axis=0)
+        grads["inputs"][ordered[at]] = np.add.reduceat(np.take(flat_d, order, axis=0), at, axis=0)
         scale = 1.0 / max(1, len(flat_states))
         for name, g in grads.items():
             g = np.clip(g * scale, -1.0, 1.0)
@@ -359,7 +405,7 @@ class Network:
         # A stream that begins inside a text sees the symbol before, with an empty state.
         inputs = np.concatenate([[end], padded[:-1]]).reshape(streams, length).T
         real = (np.arange(streams * length) < total).reshape(streams, length).T
-        state = np.zeros((streams, self.hidden), np.float32)
+        state = np.zeros((streams, self.hidden), self.kind)
         for t in range(0, length, WINDOW):
             cut = slice(t, t + WINDOW)
             state = self.learn(inputs[cut], targets[cut], real[cut], state, end)
@@ -388,7 +434,8 @@ class Network:
         end = self.place[end]
         before = np.concatenate([[end], flat[:-1]])
         logs = np.empty(len(flat))
-        state = np.zeros((len(streams), self.hidden), np.float32)
+        state = np.zeros((len(streams), self.hidden), self.kind)
+        half = 0.5 * self.weights["gates"]
         for t in range(0, int(length[0]), WINDOW):
             live = int(np.searchsorted(-length, -t, side="left"))  # streams longer than t
             steps = int(min(WINDOW, length[0] - t))
@@ -396,11 +443,14 @@ class Network:
             real = at < (begin + length)[:live]
             at = np.minimum(at, len(flat) - 1)
             inputs = before[at]
-            states = np.empty((steps, live, self.hidden), np.float32)
-            held = state[:live]
+            x = self._inputs(inputs)
+            goes_on = (inputs != end).astype(self.kind)[:, :, None]
+            states = np.empty((steps, live, self.hidden), self.kind)
+            kept, fresh = (np.empty((live, self.hidden), self.kind) for _ in range(2))
+            gates, held = np.empty((live, 2 * self.hidden), self.kind), state[:live]
             for s in range(steps):
-                held = self.step(inputs[s], held * (inputs[s] != end)[:, None])[0]
-                states[s] = held
+                self._advance(x[s], held * goes_on[s], half, gates, kept, fresh, states[s])
+                held = states[s]
             state[:live] = held
             logs[at[real]] = self.output(states[real], flat[at[real]])
         out = np.empty(len(texts))
@@ -473,32 +523,35 @@ def numbered(texts: DataFrame, sent: Broadcast, rounds: int = ROUNDS) -> DataFra
         for batch in text_runs(batches, "text"):
             numbers = coder.numbers(utf8_column(batch, "text"))
             every = coder.all_symbols().astype(np.uint16)
-            end = every[-1:]
-            symbols = [np.concatenate([every[n], end]).tobytes() for n in numbers]
-            score = np.zeros(len(numbers))
-            base = np.full(len(numbers), np.log10(known_.ends + 0.1))
-            n_known = np.zeros(len(numbers), np.int64)
             n_tokens = np.array([len(n) + 1 for n in numbers], np.int64)
-            fresh, rest, times, ends = coder.ids.fresh, [], [], [0]
-            for i, n in enumerate(numbers):
-                here = n[n < size]
-                base[i] += log_c[here].sum()
-                score[i] += within[here].sum()
-                n_known[i] = len(here) + (known_.ends > 0)
-                other, often = np.unique(n[n >= size], return_counts=True)
-                rest.append(other - size)
-                times.append(often)
-                ends.append(ends[-1] + len(other))
+            ends_of = np.cumsum(n_tokens)
+            # All texts in a row, each with its end; the end has the last number.
+            last = np.array([len(every) - 1])
+            flat = np.concatenate([x for n in numbers for x in (n, last)])
+            symbols = pa.Array.from_buffers(
+                pa.large_binary(), len(numbers), [None, pa.py_buffer(np.append(0, 2 * ends_of)), pa.py_buffer(every[flat])]
+            ).cast(pa.binary())
+            owner = np.repeat(np.arange(len(numbers)), n_tokens)
+            here = flat < size
+            own, who = flat[here], owner[here]
+            score = np.bincount(who, weights=within[own], minlength=len(numbers)).astype(np.float64)
+            base = np.bincount(who, weights=log_c[own], minlength=len(numbers)) + np.log10(known_.ends + 0.1)
+            n_known = np.bincount(who, minlength=len(numbers)) + (known_.ends > 0)
+            fresh = coder.ids.fresh
+            other = ~here
+            other[ends_of - 1] = False
+            pairs, times = np.unique(owner[other] * max(1, len(fresh)) + flat[other] - size, return_counts=True)
+            rest, ends = pairs % max(1, len(fresh)), np.searchsorted(pairs, np.arange(len(numbers) + 1) * max(1, len(fresh)))
             # Words outside the dictionary as columns: no Python object per word and text.
-            at = pa.array(np.concatenate(rest))
+            at = pa.array(rest)
             kinds = pa.array(every[size:-1].astype(np.int32) - known_.own, pa.int32())
-            fields = [pa.array(fresh, pa.binary()).take(at), kinds.take(at), pa.array(np.concatenate(times), pa.int64())]
+            fields = [pa.array(fresh, pa.binary()).take(at), kinds.take(at), pa.array(times.astype(np.int64))]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["word", "k", "times"]))
             ids = pa.array(np.arange(row, row + len(numbers)))
             row += len(numbers)
-            whole = [ids, batch.column(0), batch.column(1), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(score)]
+            whole = [ids, batch.column(0), batch.column(1), pa.array(n_tokens), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score)]
             yield pa.RecordBatch.from_arrays(
-                [*whole, pa.array(symbols, pa.binary()), lists],
+                [*whole, symbols, lists],
                 names=["row", "doc_id", "turn", "n_tokens", "n_known", "base", "score", "symbols", "rest"],
             )
             coder.ids.forget()
