@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -55,13 +56,19 @@ CLOSED_BY = {
 }
 SCOPES = frozenset("ul ol dl table article main section div body nav aside header footer form blockquote".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: How the parts of class names and ids begin that mark what surrounds an article.
-MARKS = (
-    "advert sponsor promo banner comment disqus repl respond sidebar widget nav menu breadcrumb footer masthead cookie "
-    "consent gdpr notice popup modal overlay newsletter subscri signup login share sharing social related recommend "
-    "copyright pagina pager toolbar trending outbrain taboola"
-).split()
-MARK_WORDS = frozenset("ad ads adbox adslot adsense adsbygoogle dfp rail header topbar".split())
+#: Words in class names and ids that mark what surrounds an article.
+MARK_WORDS = frozenset(
+    """
+    ad adbox ads adsbygoogle adsense adslot banner banners breadcrumb breadcrumbs consent cookie cookies copyright dfp
+    footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice outbrain overlay pager
+    pagination popup promo promos promotion rail recommended related repl respond share sharing sidebar signup social
+    subscribe subscription taboola toolbar topbar trending widget widgets
+    """.split()
+)
+#: Words that mark it however much text stands there.
+STRICT_WORDS = frozenset("advert advertisement adverts comment comments disqus replies sponsor sponsored".split())
+#: Words that say a name is about how a page is laid out, not about what the element holds.
+LAYOUT_WORDS = frozenset("has is no not off on with without".split())
 #: Parts of names that mark an article's own elements, whatever else they say.
 OWN_WORDS = frozenset("article entry post story content main".split())
 
@@ -89,6 +96,14 @@ _WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\U00020
 _BEYOND_LATIN = re.compile(r"[^\W\d_\u0000-\u024f\u1e00-\u1eff]")
 
 
+_TAG_START = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z]|/[^a-zA-Z])")
+#: The same where quotes no longer count.
+_LENIENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</[^a-zA-Z][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_DECLARATION = re.compile(r"<[!?]")
+#: Marked elements inside one another that are told apart.
+DEEPEST = 16
+
+
 @dataclass
 class Block:
     """Text between two block elements, and where it stands."""
@@ -98,6 +113,7 @@ class Block:
     excluded: bool
     heading: bool
     article: int  # number of the article that holds it, 0 for none
+    marks: tuple[int, ...] = ()  # numbers of the elements around it whose names mark a margin
 
 
 @dataclass
@@ -106,6 +122,8 @@ class _Open:
     excluded: bool = False
     article: int = 0
     heading: bool = False
+    firm: bool = False  # excluded by more than a form or an unclosed menu
+    marks: tuple[int, ...] = ()
 
 
 @dataclass
@@ -114,39 +132,59 @@ class _Page:
     pieces: list[str] = field(default_factory=list)
     link_chars: int = 0
     articles: int = 0
+    marks: int = 0
 
 
-def _marked(attributes: str) -> bool:
-    """True if names, role or style of an element say that it is not part of an article."""
+#: What an element says of itself: nothing, that its name marks a margin, that it is none of the article.
+PLAIN, MARKED, AWAY = 0, 1, 2
+
+
+def _marked(attributes: str) -> int:
+    """What names, role or style of an element say: ``PLAIN``, ``MARKED`` or ``AWAY``.
+
+    Names count by whole words.  One that speaks of layout (``no-sidebar``, ``has-menu``) says
+    nothing, and words of an article's own elements outweigh those of margins.
+    """
     if not attributes:
-        return False
+        return PLAIN
+    found = PLAIN
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id"):
-            parts = {p.lower() for p in _NAME_PARTS.findall(html.unescape(value))}
-            named = parts & MARK_WORDS or any(p.startswith(m) for p in parts for m in MARKS)
-            strict = any(p.startswith(("comment", "advert", "disqus")) for p in parts)
-            if strict or (named and not parts & OWN_WORDS):
-                return True
+            parts: set[str] = set()
+            for one in html.unescape(value).split():
+                words = {w.lower() for w in _NAME_PARTS.findall(one)}
+                if not words & LAYOUT_WORDS:
+                    parts |= words
+            if parts & STRICT_WORDS:
+                return AWAY
+            if parts & MARK_WORDS and not parts & OWN_WORDS:
+                found = MARKED
         elif name == "role" and value.lower() in ROLES:
-            return True
+            return AWAY
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return AWAY
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return AWAY
+    return found
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, white space inside made one space, empty ones left out."""
+    """The blocks of a page in order, white space inside made one space, empty ones left out.
+
+    Time is in proportion to the page, however broken: no tag is looked for behind the last
+    ``>``, quotes count no more once one has been found open, and the elements that are open
+    are counted by name.
+    """
     found, stack, links, at = _Page(), [_Open("")], 0, 0
-    stop = len(page)
+    stop, last = len(page), page.rfind(">") + 1
+    strict, endless, opened_names = True, set(), Counter()
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(found.pieces)).split())
         if text:
             top = stack[-1]
-            found.blocks.append(Block(text, min(found.link_chars, len(text)), top.excluded, top.heading, top.article))
+            found.blocks.append(Block(text, min(found.link_chars, len(text)), top.excluded, top.heading, top.article, top.marks))
         found.pieces, found.link_chars = [], 0
 
     def add(text: str) -> None:
@@ -154,20 +192,38 @@ def blocks(page: str) -> list[Block]:
         if links and text:
             found.link_chars += len(" ".join(html.unescape(text).split()))
 
+    def close(depth: int) -> None:
+        for gone in stack[depth:]:
+            opened_names[gone.name] -= 1
+        del stack[depth:]
+
     while at < stop:
-        token = _TOKEN.search(page, at)
+        token = None
+        if at < last:
+            begin = _TAG_START.search(page, at, last)
+            if begin is not None:
+                token = (_TOKEN if strict else _LENIENT).match(page, begin.start(), last)
+                if token is None and strict:
+                    strict = False  # a quote stays open: from here on tags end at the next >
+                    token = _LENIENT.match(page, begin.start(), last)
         if token is None:
-            add(page[at:])
+            tail = page[at:]
+            open_end = _DECLARATION.search(tail)
+            add(tail[: open_end.start()] if open_end else tail)
             break
         if token.start() > at:
             add(page[at : token.start()])
         at = token.end()
         if token[2] is None:
+            if token[0].startswith("<!--") and not token[0].endswith((">",)):
+                break  # a comment that is never closed hides the rest
             continue
         name, closing = token[2].lower(), bool(token[1])
         if name in RAW and not closing:
             if not token[3].rstrip().endswith("/"):
-                end = _raw_end(name).search(page, at)
+                end = None if name in endless else _raw_end(name).search(page, at)
+                if end is None:
+                    endless.add(name)
                 # The head may lack its end; it ends where the body begins.
                 if end is None and name == "head":
                     continue
@@ -184,41 +240,46 @@ def blocks(page: str) -> list[Block]:
             flush()
             links = 0 if name not in ("td", "li", "p", "div") or closing else links
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    if is_block or depth == len(stack) - 1:
-                        del stack[depth:]
-                    break
+            if is_block and opened_names[name]:
+                close(next(depth for depth in range(len(stack) - 1, 0, -1) if stack[depth].name == name))
+            elif stack[-1].name == name and len(stack) > 1:
+                close(len(stack) - 1)
             continue
         if name in VOID:
             continue
         top = stack[-1]
         if is_block and top.name == "p":
-            stack.pop()
-        elif name in CLOSED_BY:
+            close(len(stack) - 1)
+        elif name in CLOSED_BY and any(opened_names[n] for n in CLOSED_BY[name]):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].name in CLOSED_BY[name]:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if stack[depth].name in SCOPES:
                     break
         if not is_block and name not in AROUND and not token[3]:
             continue  # plain inline markup changes nothing for its text
         top = stack[-1]
-        opened = _Open(name, top.excluded, top.article, top.heading or name in HEADINGS)
+        opened = _Open(name, top.excluded, top.article, top.heading or name in HEADINGS, top.firm, top.marks)
         if name in ARTICLE:
             # A form or an unclosed menu around a whole article is no reason to lose it.
-            if opened.excluded and all(s.name in ("form", "nav", "fieldset", "") or not s.excluded for s in stack):
+            if opened.excluded and not opened.firm:
                 opened.excluded = False
             if not opened.article and not opened.excluded:
                 found.articles += 1
                 opened.article = found.articles
+        says = PLAIN if name in ("body", "html") else _marked(token[3])
         if name in AROUND and not (name == "header" and top.article):
             opened.excluded = True
-        elif name not in ("body", "html") and _marked(token[3]):
-            opened.excluded = True
+            opened.firm = top.firm or name not in ("form", "nav", "fieldset")
+        elif says == AWAY:
+            opened.excluded = opened.firm = True
+        elif says == MARKED:
+            found.marks += 1
+            opened.marks = (*top.marks, found.marks) if len(top.marks) < DEEPEST else top.marks
         if not token[3].rstrip().endswith("/") or is_block:
             stack.append(opened)
+            opened_names[name] += 1
     flush()
     return found.blocks
 
@@ -370,9 +431,29 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
     return out
 
 
+def settle_marks(found: list[Block]) -> None:
+    """Exclude blocks in elements whose names mark a margin, but for those that hold the page's text.
+
+    An element with ``MOST`` of the good text is no margin whatever it is called, unless an
+    article outside of it has good text.
+    """
+    if not any(b.marks for b in found):
+        return
+    good = [found[i] for i, label in _dealt(found).items() if label]
+    inside: Counter[int] = Counter()
+    for b in good:
+        for mark in b.marks:
+            inside[mark] += len(b.text)
+    total = sum(len(b.text) for b in good)
+    text = {m for m, n in inside.items() if n >= MOST * total and all(m in b.marks or not b.article for b in good)}
+    for b in found:
+        b.excluded = b.excluded or not text.issuperset(b.marks)
+
+
 def main_text(page: str) -> str:
     """The text of the good blocks in page order, one per line; empty if there is none."""
     found = blocks(page)
+    settle_marks(found)
     good = second_pass(found, first_pass(found))
     return "\n".join(b.text for b, g in zip(found, good) if g)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from forecourt.llm.text import free_name, joined_by_key, row_key, words
+from forecourt.llm.text import free_name, joined_by_key, quoted, row_key, words
 from forecourt.workspace import stored
 
 #: Shorter lines match exactly only: one word in fewer is no small edit.
@@ -201,7 +201,9 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
     """``docs`` without duplicate lines; documents left without any word go, if lines were taken.
 
-    All columns are kept; ``n_chars``, if given, is set to the new length where lines went.
+    All columns are kept, whatever their names; ``n_chars``, if given, is set to the new length
+    where lines went.  NULL and empty texts have no lines and stay as they are; repeated rows
+    share their lines' fate; an empty table gives no rows.
     """
     gone = duplicates(docs, doc_id, text).groupBy("_doc", "_hash").agg(F.collect_list("line").alias("_gone"))
     name = free_name(docs, "_gone")
@@ -214,10 +216,10 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
     result = result.filter(F.col(name).isNull() | F.col(after).rlike(r"[^ \t-\r]"))
     columns = []
     for c in docs.columns:
-        value = docs[c]
+        value = docs[quoted(c)]
         if c == text:
             value = F.col(after)
         elif c == n_chars:
-            value = F.when(F.col(name).isNull(), docs[c]).otherwise(F.length(after).cast(docs.schema[c].dataType))
+            value = F.when(F.col(name).isNull(), docs[quoted(c)]).otherwise(F.length(after).cast(docs.schema[c].dataType))
         columns.append(value.alias(c))
     return result.select(*columns)

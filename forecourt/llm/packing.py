@@ -17,6 +17,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
 from forecourt.llm.text import slices
 from forecourt.workspace import stored
@@ -49,6 +50,24 @@ def encoding(vocabulary: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=4)
+def tokenizer(vocabulary: str) -> Tokenizer:
+    """The tokenizer of the file itself, without truncation or padding."""
+    found = Tokenizer.from_str(vocabulary)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
+def token_ids(coder: tiktoken.Encoding, vocabulary: str, text: str) -> np.ndarray:
+    """Ids of a text.  The faster library cannot match very long runs of white space (about a million
+    characters); such texts go to the tokenizer itself."""
+    try:
+        return coder.encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(tokenizer(vocabulary).encode(text, add_special_tokens=False).ids, np.int64)
+
+
 def cut(ids: np.ndarray, length: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document: the first takes what is left over."""
     total = len(ids)
@@ -76,7 +95,7 @@ def pieces(
         for batch in slices(batches, 512):
             rows: list[tuple] = []
             for number, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(coder.encode_to_numpy(body or "", allowed_special="all"), end_id).astype("<u4")
+                ids = np.append(token_ids(coder, sent.value[0], body or ""), end_id).astype("<u4")
                 for k, (start, size) in enumerate(cut(ids, length)):
                     crc = zlib.crc32(ids[start : start + size].tobytes())
                     rows.append((number, k, start, size, crc))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from forecourt.llm.text import free_name, words
+from forecourt.llm.text import free_name, quoted, words
 from forecourt.workspace import stored
 
 WINDOW = 8
@@ -155,8 +155,9 @@ def judged(found: DataFrame, hosts: DataFrame, at: dict[str, str]) -> DataFrame:
     when its file is small, else shuffled with hot hosts split.
     """
     rate, kept = free_name(found, "host_rate"), free_name(found, "kept")
-    side = hosts.select(F.col("host").alias("_host_key"), F.col("host_rate").alias(rate))
-    joined = found.join(side, found[at["host"]].eqNullSafe(side["_host_key"]), "left").drop("_host_key")
+    key = free_name(found, "_host_key")
+    side = hosts.select(F.col("host").alias(key), F.col("host_rate").alias(rate))
+    joined = found.join(side, found[at["host"]].eqNullSafe(side[key]), "left").drop(key)
     bad = (
         F.col(at["base_failed"])
         | (F.col(at["doubtful"]) & (F.col(rate) > DOUBTFUL_RATE))
@@ -182,10 +183,12 @@ def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
 def filtered(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns only.
 
-    The text is measured again when the rows are picked, which is cheaper than shuffling it.
+    Rows are written with their measures once, then joined with the hosts.  NULL, empty and
+    blank texts fail the base and go; repeated rows are judged alike and all stay or go;
+    columns of any name are kept as they are, names of measures too; an empty table gives no
+    rows.
     """
-    narrow, names = measured(docs.select(F.col(text).alias("text"), F.col(host).alias("source")))
-    hosts = host_rates(narrow.drop("text"), names)
     found, at = measured(docs, text, host)
-    result = judged(found, stored(hosts, "host_rates"), at)
-    return result.filter(F.col(at["kept"])).select(*[result[c] for c in docs.columns])
+    found = stored(found, "measured_documents")
+    result = judged(found, host_rates(found, at), at)
+    return result.filter(F.col(at["kept"])).select(*[F.col(quoted(c)) for c in docs.columns])

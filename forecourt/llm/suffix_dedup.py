@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from forecourt.llm.text import free_name, joined_by_key, row_key, slices, utf8_column
+from forecourt.llm.text import free_name, joined_by_key, quoted, row_key, slices, utf8_column
 from forecourt.workspace import stored
 
 PASSAGE = 50
@@ -226,17 +226,19 @@ def cut_out(text: str, starts: list[int], sizes: list[int]) -> str:
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
     """``docs`` with copies of passages cut out of their texts; originals stay.
 
-    Documents left without a word go.  All columns are kept; ``n_chars``, if given, is set to
-    the new length where a text was cut.
+    Documents left without a word by the cuts go.  All columns are kept, whatever their names;
+    ``n_chars``, if given, is set to the new length where a text was cut.  NULL, empty and
+    short texts stay as they are; rows that agree in number and text are one document and are
+    cut alike; an empty table gives no rows.
     """
     copies = passages(docs, doc_id, text).filter(~F.col("original"))
     name = free_name(docs, "_cuts")
     per_doc = copies.groupBy("_doc", "_hash").agg(F.collect_list(F.struct("start", "words")).alias(name))
     joined = joined_by_key(docs, stored(per_doc, "cuts"), doc_id, text, "left")
     rest = free_name(docs, "_rest")
-    kept = joined.select(*[docs[c] for c in docs.columns], F.col(name))
+    kept = joined.select(*[docs[quoted(c)] for c in docs.columns], F.col(name))
     whole = kept.filter(F.col(name).isNull()).drop(name)
-    schema = kept.select(*docs.columns, F.lit("").alias(rest)).schema
+    schema = kept.select(*map(quoted, docs.columns), F.lit("").alias(rest)).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -250,7 +252,7 @@ def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cut = kept.filter(F.col(name).isNotNull()).mapInArrow(run, schema).filter(F.col(rest).rlike(r"[^ \t-\r]"))
     columns = []
     for c in docs.columns:
-        value = F.col(rest) if c == text else F.col(c)
+        value = F.col(rest) if c == text else F.col(quoted(c))
         if c == n_chars:
             value = F.length(rest).cast(docs.schema[c].dataType)
         columns.append(value.alias(c))

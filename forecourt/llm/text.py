@@ -32,6 +32,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark parses it back, whatever stands in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def with_key(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str, str]:
     """``docs`` with the two columns of ``row_key`` under names that clash with none of its own."""
     names = free_name(docs, "_doc"), free_name(docs, "_hash")

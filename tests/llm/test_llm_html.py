@@ -137,3 +137,39 @@ def test_odd_rows(spark):
     assert [(r["text"], r["n_chars"]) for r in found if r["page_id"] == 1] == [("", 0)] * 2
     assert [r["text"] for r in found if r["page_id"] is None] == [PROSE]
     assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+NAMES = [
+    "no-sidebar", "site has-sidebar", "with-nav", "page-header-fixed", "share-price-news", "commentary", "navy-history",
+    "socialism", "cookie-recipes", "promoted",
+]
+
+
+def test_no_page_is_lost_to_the_name_of_its_wrapper():
+    body = f"<h1>Head</h1><p>{PROSE}</p><p>{PROSE} More.</p>"
+    margin = f'<div class="sidebar"><p>{PROSE[:80]}</p></div><nav><a href=x>menu</a></nav>'
+    for name in NAMES:
+        for inner in (body, f"<article>{body}</article>"):
+            assert main_text(page(f'<div class="{name}">{inner}</div>{margin}')) == f"Head\n{PROSE}\n{PROSE} More.", name
+
+
+def test_long_comments_and_margins_of_an_article_still_go():
+    article = f"<article><p>{PROSE}</p></article>"
+    for name in ("comments", "comment-list", "disqus", "advert"):
+        assert main_text(page(f'{article}<div class="{name}">' + f"<p>{PROSE} I say.</p>" * 9 + "</div>")) == PROSE
+    for name in ("sidebar", "related posts-list", "cookie-notice"):
+        assert main_text(page(f'{article}<div class="{name}">' + f"<p>{PROSE} aside.</p>" * 9 + "</div>")) == PROSE
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    n = 100_000
+    for broken in (
+        "<a " * n, "<div>" * n + "</b>" * n, '<a b="' * n, '<a b="' * n + ">", '<a x=">"' * n + "'", "</1 " * n, "<head>" * n,
+        "<span x>" * n + "<li>" * n, "<form>" * n + "<article>" * n, '<div class="menu">' * n, "<!" * n, "<p>" + "</p>" * n,
+    ):
+        start = time.time()
+        main_text(broken)
+        assert time.time() - start < 5, broken[:20]
+    assert main_text("<article><p>" + PROSE + "</p></article>" + "<a " * n).startswith(PROSE)

@@ -95,3 +95,13 @@ def test_only_the_first_piece_is_short(total):
     assert sum(n for _, n in pieces) == total
     assert all(n == 1024 for _, n in pieces[1:])
     assert len(pieces) == -(-total // 1024)
+
+
+@pytest.mark.parametrize("gap", [" ", "\t", "\n"])
+def test_long_runs_of_white_space_have_the_tokenizers_ids(gap):
+    vocabulary = queries.vocabulary("byte_bpe_50k.json")
+    coder = packing.encoding(vocabulary, public_tokenizers.PATTERN)
+    text = "x" + gap * 2_000_000 + "y <|endoftext|>"
+    ids = packing.token_ids(coder, vocabulary, text)
+    assert packing.tokenizer(vocabulary).decode(ids.tolist(), skip_special_tokens=False) == text
+    assert packing.token_ids(coder, vocabulary, "a  b\n\n c").tolist() == packing.tokenizer(vocabulary).encode("a  b\n\n c", add_special_tokens=False).ids

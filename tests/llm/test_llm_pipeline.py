@@ -4,6 +4,7 @@ import pytest
 from llm_cases import frame, odd_documents, table
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from forecourt.workspace import stored
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +75,14 @@ def test_odd_rows_pass_every_stage(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
         docs = after
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
+def test_columns_of_any_name_are_kept(spark):
+    from forecourt.llm import line_dedup, quality, suffix_dedup
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns({"a.b": F.lit(1), "_host_key": F.lit(2), "x`y": F.lit(3)})
+    for stage in (quality.filtered, line_dedup.deduplicated, suffix_dedup.without_copies):
+        made = stage(docs)
+        assert made.columns == docs.columns
+        assert made.select("`a.b`", "_host_key", "`x``y`").distinct().collect() == [(1, 2, 3)]
+        assert stage(docs.limit(0)).count() == 0
