@@ -201,7 +201,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
     """``docs`` without duplicate lines; documents left without any word go, if lines were taken.
 
-    All columns are kept, whatever their names; ``n_chars``, if given, is set to the new length
+    All columns are kept, also those with dots in their names; ``n_chars``, if given, is set to the new length
     where lines went.  NULL and empty texts have no lines and stay as they are; repeated rows
     share their lines' fate; an empty table gives no rows.
     """

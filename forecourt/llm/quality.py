@@ -185,7 +185,7 @@ def filtered(docs: DataFrame, text: str = "text", host: str = "source") -> DataF
 
     Rows are written with their measures once, then joined with the hosts.  NULL, empty and
     blank texts fail the base and go; repeated rows are judged alike and all stay or go;
-    columns of any name are kept as they are, names of measures too; an empty table gives no
+    columns are kept as they are, also those with dots in their names or the names of measures; an empty table gives no
     rows.
     """
     found, at = measured(docs, text, host)

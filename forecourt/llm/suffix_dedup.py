@@ -226,7 +226,7 @@ def cut_out(text: str, starts: list[int], sizes: list[int]) -> str:
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
     """``docs`` with copies of passages cut out of their texts; originals stay.
 
-    Documents left without a word by the cuts go.  All columns are kept, whatever their names;
+    Documents left without a word by the cuts go.  All columns are kept, also those with dots in their names;
     ``n_chars``, if given, is set to the new length where a text was cut.  NULL, empty and
     short texts stay as they are; rows that agree in number and text are one document and are
     cut alike; an empty table gives no rows.
