@@ -235,25 +235,27 @@ def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     name = free_name(docs, "_cuts")
     per_doc = copies.groupBy("_doc", "_hash").agg(F.collect_list(F.struct("start", "words")).alias(name))
     joined = joined_by_key(docs, stored(per_doc, "cuts"), doc_id, text, "left")
-    rest = free_name(docs, "_rest")
     kept = joined.select(*[docs[quoted(c)] for c in docs.columns], F.col(name))
     whole = kept.filter(F.col(name).isNull()).drop(name)
-    schema = kept.select(*map(quoted, docs.columns), F.lit("").alias(rest)).schema
+    # Arrow batches take no names with dots in them, so columns go by their places.
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    body = places[docs.columns.index(text)]
+    found = kept.filter(F.col(name).isNotNull()).toDF(*places, "cuts")
+    schema = found.select(*places, F.lit("").alias("rest")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            cuts = batch.column(batch.schema.get_field_index(name)).to_pylist()
+            texts = batch.column(batch.schema.get_field_index(body)).to_pylist()
+            cuts = batch.column(batch.schema.get_field_index("cuts")).to_pylist()
             made = [cut_out(t, [c["start"] for c in cs], [c["words"] for c in cs]) for t, cs in zip(texts, cuts)]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in docs_columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.string())], names=[*docs_columns, rest])
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in places]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.string())], names=[*places, "rest"])
 
-    docs_columns = docs.columns
-    cut = kept.filter(F.col(name).isNotNull()).mapInArrow(run, schema).filter(F.col(rest).rlike(r"[^ \t-\r]"))
+    cut = found.mapInArrow(run, schema).filter(F.col("rest").rlike(r"[^ \t-\r]"))
     columns = []
-    for c in docs.columns:
-        value = F.col(rest) if c == text else F.col(quoted(c))
+    for c, place in zip(docs.columns, places):
+        value = F.col("rest") if c == text else F.col(place)
         if c == n_chars:
-            value = F.length(rest).cast(docs.schema[c].dataType)
+            value = F.length("rest").cast(docs.schema[c].dataType)
         columns.append(value.alias(c))
     return whole.unionByName(cut.select(*columns))
