@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from forecourt.llm.components import components
 from forecourt.llm.text import slices
@@ -205,10 +206,13 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     they are kept only where their component has no number.  Repeated rows each get a row;
     other columns are not read; an empty table gives no rows.
     """
-    read = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
+    # Floats travel as they are, in half the bytes; tasks compute with doubles.
+    kind = vectors.select(vector).schema[0].dataType
+    number = "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "double"
+    read = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast(f"array<{number}>").alias("vector"))
     ok = valid(F.col("vector"))
     # Minus zero is zero, so that equal vectors have equal hashes.
-    plain = F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
+    plain = F.transform("vector", lambda x: F.when(x == 0, F.lit(0).cast(number)).otherwise(x))
     rows = stored(read.select("vec_id", F.when(ok, plain).alias("vector")).withColumn("node", F.xxhash64("vector")), "vectors")
     nodes = rows.filter("vector IS NOT NULL").groupBy("node").agg(
         F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min("vec_id").alias("first")

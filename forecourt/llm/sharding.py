@@ -7,7 +7,6 @@ number of shards is enough.
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,38 +26,75 @@ _TASK_GROUPS = 500_000
 
 
 class Remaining:
-    """Open bins by remaining capacity, in a balanced tree of two levels of sorted lists.
+    """Open bins by remaining capacity, in a balanced tree.
 
-    Finding, removing and adding a bin takes time that grows with the square root of the
-    number of open bins at most.
+    A treap: nodes are ordered by (capacity, bin) from left to right, and by rank from the
+    root down.  A node's rank is a hash of its bin's number, so the tree is balanced whatever
+    the capacities are, and the same on every run: finding, removing and adding a bin takes
+    logarithmic time.  The root hangs to the right of ``top``.
     """
 
-    LEAF = 512
-
     def __init__(self) -> None:
-        self.leaves: list[list[tuple[int, int]]] = []
+        self.top: list = [None, None, None, None]
 
     def add(self, free: int, number: int) -> None:
-        if not self.leaves:
-            self.leaves.append([(free, number)])
-            return
-        at = min(bisect.bisect_left([leaf[-1] for leaf in self.leaves], (free, number)), len(self.leaves) - 1)
-        leaf = self.leaves[at]
-        bisect.insort(leaf, (free, number))
-        if len(leaf) > self.LEAF:
-            half = len(leaf) // 2
-            self.leaves[at : at + 1] = [leaf[:half], leaf[half:]]
+        key, rank = (free, number), _rank(number)
+        hook, side = self.top, _HIGH
+        at = hook[side]
+        while at is not None and at[_RANK] > rank:
+            hook, side = at, _HIGH if at[_KEY] < key else _LOW
+            at = hook[side]
+        node = hook[side] = [key, rank, None, None]
+        # What hung here is cut along the key: lower bins go to the left, the others to the right.
+        lower, higher = (node, _LOW), (node, _HIGH)
+        while at is not None:
+            if at[_KEY] < key:
+                lower[0][lower[1]] = at
+                lower, at = (at, _HIGH), at[_HIGH]
+            else:
+                higher[0][higher[1]] = at
+                higher, at = (at, _LOW), at[_LOW]
+        lower[0][lower[1]] = higher[0][higher[1]] = None
 
     def take(self, size: int) -> tuple[int, int] | None:
         """Remove and return the bin with the least remaining capacity of at least ``size``."""
-        at = bisect.bisect_left([leaf[-1] for leaf in self.leaves], (size, -1))
-        if at == len(self.leaves):
+        found, hook, side = None, self.top, _HIGH
+        while (at := hook[side]) is not None:
+            if at[_KEY][0] >= size:
+                found = (hook, side)
+                hook, side = at, _LOW
+            else:
+                hook, side = at, _HIGH
+        if found is None:
             return None
-        leaf = self.leaves[at]
-        found = leaf.pop(bisect.bisect_left(leaf, (size, -1)))
-        if not leaf:
-            del self.leaves[at]
-        return found
+        hook, side = found
+        key, _, low, high = hook[side]
+        while low is not None and high is not None:
+            if low[_RANK] > high[_RANK]:
+                hook[side] = low
+                hook, side, low = low, _HIGH, low[_HIGH]
+            else:
+                hook[side] = high
+                hook, side, high = high, _LOW, high[_LOW]
+        hook[side] = high if low is None else low
+        return key
+
+    def depth(self) -> int:
+        """Levels of the tree."""
+        level, deep = [self.top[_HIGH]], 0
+        while level := [node for node in level if node is not None]:
+            level = [child for node in level for child in (node[_LOW], node[_HIGH])]
+            deep += 1
+        return deep
+
+
+_KEY, _RANK, _LOW, _HIGH = range(4)
+
+
+def _rank(number: int) -> int:
+    """A number spread over 64 bits, no two alike."""
+    mixed = (number + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    return (mixed ^ mixed >> 32) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int, most: int | None = None) -> np.ndarray | None:

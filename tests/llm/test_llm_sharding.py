@@ -1,5 +1,6 @@
 """Shards: whole groups, near-equal sizes, gapless slots."""
 
+import bisect
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -82,3 +83,23 @@ def test_one_oversized_group_leaves_the_others_even():
     _, bins = sharding.fixed_capacity(sizes, 24)
     loads = np.bincount(bins, weights=sizes, minlength=24)
     assert sorted(loads)[-2] == 1000 and loads.min() == 1000
+
+
+def test_the_tree_stays_balanced_and_gives_the_tightest_bin():
+    rng = random.Random(7)
+    for order in (range(20_000), range(20_000, 0, -1), [5] * 20_000):
+        tree, held = sharding.Remaining(), []
+        for number, free in enumerate(order):
+            tree.add(free, number)
+            held.append((free, number))
+        assert tree.depth() <= 60
+        held.sort()
+        for _ in range(3000):
+            size = rng.randrange(25_000)
+            at = bisect.bisect_left(held, (size, -1))
+            assert tree.take(size) == (held.pop(at) if at < len(held) else None)
+            if rng.random() < 0.5:
+                item = (rng.randrange(20_000), rng.randrange(100_000, 10**9))
+                tree.add(*item)
+                bisect.insort(held, item)
+        assert [tree.take(0) for _ in held] == held and tree.take(0) is None and tree.depth() == 0
