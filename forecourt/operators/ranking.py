@@ -52,14 +52,39 @@ def last_per_key(
 ) -> DataFrame:
     """First ``n`` rows of each key in ``order``, numbered from 1.
 
-    Spark cuts each key to ``n`` rows in every task before the shuffle, so one hot key
-    sends at most ``n`` rows per task (for ``n`` up to the session setting
-    ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default).
+    Up to the session setting ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by
+    default) Spark cuts each key to ``n`` rows in every task before the shuffle, so one hot
+    key sends at most ``n`` rows per task.  For a larger ``n`` rows are range-sorted by key
+    and ``order`` instead (this runs a job), and no task holds a key whole.
     """
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        return _first_in_ranges(df, keys, order, n, name)
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
 
 
+def _first_in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str) -> DataFrame:
+    """``last_per_key`` for any ``n``: numbers come from places in a global sort.
+
+    A row's number is its place among its key's rows in its partition plus how many rows of
+    the key the partitions before hold.  Partitions that begin behind the ``n`` th row of a
+    key are left out before the join, which goes by key and partition.
+    """
+    in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = df.orderBy(*keys, *order)
+    placed = stored(ordered.withColumns({"_part": F.spark_partition_id(), "_place": in_partition}), "placed_in_key")
+    runs = placed.groupBy(*keys, "_part").agg(F.min("_place").alias("_from"), F.count("*").alias("_size"))
+    # One row per key and partition that has rows of it: about keys + partitions in all.
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).filter(F.col("_before") < n)
+    runs = runs.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_part").alias("_run"), "_from", "_before")
+    same = F.col("_part") == F.col("_run")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    number = (F.col("_before") + F.col("_place") - F.col("_from") + 1).cast("int")
+    return placed.join(runs, same).select(*df.columns, number.alias(name)).filter(F.col(name) <= n)
+
+
 def rank_labels(df: DataFrame, value: str, label: str) -> DataFrame:
     """Chart labels by descending value: ``00name`` ... ``09name``, ``10name``."""
     numbered = number_rows(df, [F.col(value).desc(), F.col(label)], "_place", start=0)

@@ -90,11 +90,11 @@ def i2_ledger(spark, sf_dir):
 
 
 def dated_landing(spark, sf_dir):
-    """One file per event type, named after it, with a modification time that follows the names."""
+    """One file per event type (each type in a task of its own), named after it, with a modification time that follows the names."""
 
     def write(path):
         rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-        rows.repartition(1, "event_type").write.partitionBy("event_type").option("header", True).csv(f"{path}-parts")
+        rows.repartition("event_type").write.partitionBy("event_type").option("header", True).csv(f"{path}-parts")
         files, source = file_system(spark, f"{path}-parts")
         target = file_system(spark, path)[1]
         files.mkdirs(target)

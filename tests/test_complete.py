@@ -224,7 +224,7 @@ def test_scratch_copies_go(spark):
 
 
 def test_many_rows_per_key_beyond_the_task_cut(spark):
-    """Above the planner's limit of 1,000 rows there is no cut in tasks; the rows are the same."""
+    """Above the planner's limit of 1,000 rows rows are sorted by range; they are the same."""
     df = spark.range(6000).select((F.col("id") % 2).alias("k"), "id")
     got = last_per_key(df, ["k"], [F.col("id").desc()], 1500)
     assert got.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")).orderBy("k").collect() == [(0, 1500, 3000), (1, 1500, 3001)]

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import pytest
-from conftest import values
+from conftest import plan_of, values
 from pyspark.sql import functions as F
 
 from forecourt.operators import conversations, dedup, ranking, stats, words
@@ -123,3 +123,21 @@ def test_numbers_spread_over_tasks(skewed):
     hot = numbered.filter("k = 0").agg(F.max("n"), F.count("*")).first()
     assert hot[0] == hot[1]
     assert values(numbered.filter("n = 1").select("id", "k")) == [(0, 0)]
+
+
+def test_many_rows_of_a_hot_key(skewed):
+    """Beyond the planner's limit the rows of a key stay spread over tasks, and are the same."""
+    df = skewed.withColumn("k", F.when(F.col("k") != 1, F.col("k")))
+    got = ranking.last_per_key(df, ["k"], [F.col("id").desc()], 15_000)
+    rows = {}
+    for i in range(ROWS - 1, -1, -1):
+        k = key_of(i) if key_of(i) != 1 else None
+        mine = rows.setdefault(k, [])
+        if len(mine) < 15_000:
+            mine.append(i)
+    expected = {(k, i, place) for k, mine in rows.items() for place, i in enumerate(mine, 1)}
+    assert {(r["k"], r["id"], r["back"]) for r in got.collect()} == expected
+    # Rows are joined by key and range; the window sees one row per key and range.
+    assert "_part" in plan_of(got) and "row_number" not in plan_of(got)
+    held = got.groupBy("k", F.spark_partition_id()).count().filter("k = 0").agg(F.max("count")).first()[0]
+    assert held < 15_000
