@@ -353,10 +353,10 @@ def s12_preview_positions(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", region.alias("region"))
     sinks.write_csv(orders.orderBy("o_orderkey"), path, charset="GBK")
     lines = sources.preview_original(spark, path)
-    # Each file has its header; positions go on from file to file, of which there are few.
-    ends = lines.groupBy("path").agg((F.max("position") - 1).alias("rows"))
+    # Each file has its header; positions go on from file to file: a file is a partition of the sort.
+    ends = lines.groupBy("path").agg((F.max("position") - 1).alias("_size"))
     earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    places = ends.select("path", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    places = ends.select("path", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("before"))
     whole = lines.join(places, "path").filter("position > 1 OR before = 0")
     return whole.select((F.col("position") + F.col("before")).alias("position"), "line")
 
