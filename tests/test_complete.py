@@ -1,5 +1,6 @@
 """Nothing is lost: old, empty, re-sent and hidden files, many slices, tables over sessions, copies gone."""
 
+import json
 import os
 import re
 import time
@@ -103,13 +104,56 @@ def test_the_catalog_lists_every_file(spark, tmp_path):
     assert seconds == int(os.path.getmtime(f"{tmp_path}/a.csv"))
 
 
-def test_listing_in_chunks(spark, tmp_path, monkeypatch):
+def test_listing_in_chunks_of_the_driver(spark, tmp_path, monkeypatch):
     from forecourt.sources import catalog
 
     monkeypatch.setattr(catalog, "_CHUNK", 3)
     for i in range(8):
-        put(f"{tmp_path}/f{i}", "x" * i)
-    assert values(catalog.listed_files(spark, str(tmp_path)), "size") == [(i,) for i in range(8)]
+        put(f"{tmp_path}/f{i}.{'ab'[i % 2]}", "x" * i)
+    in_tasks = values(catalog.listed_files(spark, str(tmp_path)))
+    of_type = values(catalog.listed_files(spark, str(tmp_path), ["B"]))
+    monkeypatch.setattr(catalog, "can_list", lambda folder: False)
+    assert values(catalog.listed_files(spark, str(tmp_path))) == in_tasks and len(in_tasks) == 8
+    assert values(catalog.listed_files(spark, str(tmp_path), ["B"])) == of_type and len(of_type) == 4
+
+
+def test_folders_are_listed_in_tasks(spark, tmp_path, monkeypatch):
+    from forecourt.sources import catalog, listing
+
+    monkeypatch.setattr(catalog, "_list_here", lambda *a: pytest.fail("entries in the driver"))
+    for i in range(30):
+        put(f"{tmp_path}/z {i}/a.csv", "x" * i)
+        put(f"{tmp_path}/z {i}/_é.TXT", "")
+        put(f"{tmp_path}/z {i}/.a.csv.crc", "1")
+        put(f"{tmp_path}/z {i}/in/b.csv", "1")
+    folders = [f"{tmp_path}/z {i}" for i in range(30)]
+    found = catalog.file_catalog(spark, folders)
+    assert values(found, "name", "size") == sorted([("a.csv", i) for i in range(30)] + [("_é.TXT", 0)] * 30, key=str)
+    assert found.select("folder").distinct().count() == 30
+    assert values(catalog.file_catalog(spark, folders, ["TXT"]), "type", "size") == [("TXT", 0)] * 30
+    assert listing.listing(spark, [f"file:{p}" for p in folders]).rdd.getNumPartitions() == 30
+    monkeypatch.setattr(listing, "MOST_TASKS", 7)
+    reader = listing.ListingReader({"folders": json.dumps(folders)})
+    assert sorted(p for task in reader.partitions() for p in task.folders) == sorted(folders)
+    assert len(reader.partitions()) == 7
+    # A file is its own entry; a missing folder is an error; no folder, no file.
+    assert values(catalog.file_catalog(spark, f"{folders[3]}/a.csv"), "name", "size") == [("a.csv", 3)]
+    assert catalog.file_catalog(spark, []).count() == 0
+    with pytest.raises(Exception, match="No such file"):
+        catalog.file_catalog(spark, [*folders, f"{tmp_path}/none"])
+
+
+def test_filters_reach_the_listing(spark, tmp_path):
+    from forecourt.sources.listing import listing
+
+    put(f"{tmp_path}/a/x.csv", "1")
+    put(f"{tmp_path}/a/y.txt", "1")
+    both = listing(spark, [f"file:{tmp_path}/a", f"file:{tmp_path}/missing"])
+    # The missing folder is never opened.
+    here = both.filter(F.col("folder") == f"file:{tmp_path}/a")
+    assert values(here, "type") == [("CSV",), ("TXT",)]
+    assert values(here.filter(F.col("type").isin("CSV", "GZ")), "path") == [(f"file:{tmp_path}/a/x.csv",)]
+    assert here.filter("type = 'CSV' AND type = 'TXT'").count() == 0
 
 
 def test_an_empty_zone_says_so(spark, tmp_path):
