@@ -57,6 +57,58 @@ def test_planted_passages(spark):
     assert result(suffix_dedup.passages(frame(spark, [(d, t, "x") for d, t in rows]))) == expected
 
 
+def test_neighbours_that_are_not_nearest_in_front(spark):
+    rng = random.Random(4)
+    word = lambda n: [f"w{rng.randrange(100000)}" for _ in range(n)]
+    left, other, middle = word(24), word(24), word(26)
+    texts = [(left, word(40)), (other, word(40)), (left, word(40)), (other, word(40)), (word(24), word(40)), (left, word(3))]
+    rows = [(i, " ".join([*word(30), *a, *middle, *b])) for i, (a, b) in enumerate(texts)]
+    got = result(suffix_dedup.passages(frame(spark, [(d, t, "x") for d, t in rows])))
+    assert got == slow(rows) and len(got) == 5
+
+
+def test_many_small_overlaps(spark):
+    rng = random.Random(5)
+    parts = [[f"{k}_{rng.randrange(9)}" for k in range(rng.randrange(3, 12))] for _ in range(12)]
+    rows = []
+    for doc in range(120):
+        words = [w for _ in range(rng.randrange(1, 9)) for w in rng.choice(parts)]
+        rows.append((doc, " ".join([*words, "long" * rng.randrange(1, 4) * 9])))
+    rows += [(200, "a " * 100), (201, "a " * 90), (202, rows[3][1])]
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = result(suffix_dedup.passages(frame(spark, [(d, t, "x") for d, t in rows]), passage=12, span=5))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert got == slow(rows, 12)
+
+
+def test_a_common_start_is_counted_in_words():
+    assert suffix_dedup.common_words(b"ab c d ", b"ab c e ") == 2
+    assert suffix_dedup.common_words(b"ab ", b"a ") == suffix_dedup.common_words(b"", b"a ") == 0
+    assert suffix_dedup.common_words(b"a b ", b"a b ") == 2
+
+
+def judged(rows, passage=4, span=2):
+    neighbours = suffix_dedup.Neighbours(passage, span)
+    return [v for r in sorted(rows) for v in neighbours.add(*r)] + neighbours.end()
+
+
+def test_verdicts_by_neighbours():
+    edge = [(b"0 0 0 0 ", b"", 0, 0, 0), (b"z z z z ", b"", 0, 0, 9)]
+    found = judged([*edge, (b"a b c d ", b"x ", 2, 0, 5), (b"a b c d ", b"x ", 1, 0, 7), (b"a b c d ", b"x ", 1, 0, 7)])
+    # Two that agree in all words; the first and last run of a task are given out.
+    assert [v for v in found if v[0] is None] == [(None, 2, 0, 4, 2, None, False), (None, 1, 0, 6, 2, None, True)]
+    assert [v[3] for v in found if v[0] is not None] == [0, 9]
+    # Extended: of the windows at 0 and 1 before, the first ends in another word.
+    found = judged([*edge, (b"a b c d ", b"x ", 2, 0, 5), (b"a b c e ", b"x ", 1, 0, 7)])
+    assert [v for v in found if v[0] is None] == [(None, 2, 0, 4, 1, None, False), (None, 1, 0, 6, 1, None, True)]
+    # Three kinds: their windows are given out.
+    found = judged([*edge, *[(b"a b c %d " % i, b"x ", i, 0, 5) for i in range(3)]])
+    assert not [v for v in found if v[0] is None] and len(found) == 2 + 3 * 2
+
+
 def test_retained_positions_depend_on_content_alone():
     words = [b"%d" % (i * i % 1009) for i in range(400)]
     whole = set(suffix_dedup.Suffixes(words, {}).retained().tolist())
