@@ -2,7 +2,7 @@
 
 Built-in expressions only.  A line is what lies between newlines; its words are cut at ASCII
 white space and compared exactly.  Two lines match if their words are equal, or if both have
-``NEAR_WORDS`` or more and one word inserted, deleted or replaced makes them equal.  A line
+``near_words`` or more and one word inserted, deleted or replaced makes them equal.  A line
 that matches an earlier one (by document number, then text hash, then place) is a duplicate.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from forecourt.llm.text import free_name, joined_by_key, quoted, row_key, words
 from forecourt.workspace import stored
 
-#: Shorter lines match exactly only: one word in fewer is no small edit.
+#: Shorter lines match exactly only, unless a caller says otherwise: one word in fewer is no small edit.
 NEAR_WORDS = 10
 
 
@@ -23,7 +23,7 @@ def _order(prefix: str = "") -> Column:
     return F.struct(fields[0].isNull().alias("last"), *[f.alias(n) for f, n in zip(fields, ("doc", "hash", "line"))])
 
 
-def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near_words: int = NEAR_WORDS) -> DataFrame:
     """``_doc``, ``_hash``, ``line`` and, per line with words, their number ``n`` and two kinds of hashes.
 
     ``digest`` is that of all words.  ``ends`` are those of either half: of two lines one
@@ -31,6 +31,8 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     is equal, so a line names its halves for its own length and for one less.  The text of
     lines does not leave the task.
     """
+    if near_words < 3:
+        raise ValueError("lines of two words have no halves to share")
     cut = docs.select(*row_key(doc_id, text), F.posexplode(F.split(F.col(text), "\n")).alias("line", "value"))
     cut = cut.select("_doc", "_hash", "line", words(F.col("value")).alias("w")).filter(F.size("w") > 0)
     n = F.size("w")
@@ -40,7 +42,7 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         ends.append(F.xxhash64(F.lit("head"), m, F.slice("w", F.lit(1), half)))
         ends.append(F.xxhash64(F.lit("tail"), m, F.slice("w", n - half + 1, half)))
     return cut.select(
-        "_doc", "_hash", "line", n.alias("n"), F.xxhash64("w").alias("digest"), F.when(n >= NEAR_WORDS, F.array(*ends)).alias("ends")
+        "_doc", "_hash", "line", n.alias("n"), F.xxhash64("w").alias("digest"), F.when(n >= near_words, F.array(*ends)).alias("ends")
     )
 
 
@@ -100,7 +102,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, doc_id: str, text: str) -> Da
     meets in aggregates that keep the earliest line; both combine in each task, so a template
     with very many fillings is one row per task.  Every match is then verified word by word.
     """
-    long = firsts.filter(F.col("n") >= NEAR_WORDS)
+    long = firsts.filter(F.col("ends").isNotNull())
     ends = long.select("digest", F.explode("ends").alias("end"))
     shared = ends.groupBy("end").agg(F.count("*").alias("k")).filter("k > 1").select("end")
     candidates = ends.join(shared, "end", "left_semi").select("digest").distinct()
@@ -169,15 +171,15 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.get(F.transform(F.array(prefix), after), F.lit(0))
 
 
-def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near_words: int = NEAR_WORDS) -> DataFrame:
     """One row per duplicate line: ``_doc``, ``_hash``, ``line``, the earlier line and ``edits``.
 
     ``first_doc`` and ``first_line`` name the earliest match (an equal line before a near one
-    if it is earlier); ``edits`` is 0 or 1.  Lines without words are never duplicates.  NULL
+    if it is earlier); ``edits`` is 0 or 1, and 0 for lines below ``near_words`` words (3 at least).  Lines without words are never duplicates.  NULL
     and empty texts have none; repeated rows share one row per line; an empty table gives no
     rows; other columns are not read.
     """
-    lines = stored(line_table(docs, doc_id, text), "lines")
+    lines = stored(line_table(docs, doc_id, text, near_words), "lines")
     firsts = stored(
         lines.groupBy("digest").agg(
             F.min(_order()).alias("first"), F.first("n").alias("n"), F.first("ends").alias("ends"), F.count("*").alias("k")
@@ -198,14 +200,16 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     ).distinct()
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
+def deduplicated(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None, near_words: int = NEAR_WORDS
+) -> DataFrame:
     """``docs`` without duplicate lines; documents left without any word go, if lines were taken.
 
     All columns are kept, also those with dots in their names; ``n_chars``, if given, is set to the new length
     where lines went.  NULL and empty texts have no lines and stay as they are; repeated rows
     share their lines' fate; an empty table gives no rows.
     """
-    gone = duplicates(docs, doc_id, text).groupBy("_doc", "_hash").agg(F.collect_list("line").alias("_gone"))
+    gone = duplicates(docs, doc_id, text, near_words).groupBy("_doc", "_hash").agg(F.collect_list("line").alias("_gone"))
     name = free_name(docs, "_gone")
     joined = joined_by_key(docs, stored(gone.withColumnRenamed("_gone", name), "gone"), doc_id, text, "left")
     lines = F.split(F.col(text), "\n")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from llm_cases import frame, odd_documents, table
 
 from forecourt.llm import line_dedup, queries
@@ -82,6 +83,19 @@ def test_random_edits(spark):
     assert result(line_dedup.duplicates(docs)) == expected
 
 
+def test_short_lines_by_parameter(spark):
+    rng = random.Random(8)
+    lines = [" ".join(f"w{rng.randrange(3)}" for _ in range(rng.randrange(1, 7))) for _ in range(90)]
+    rows = [(i, "\n".join(lines[i * 3 : i * 3 + 3])) for i in range(30)]
+    docs = frame(spark, [(d, t, "x") for d, t in rows])
+    for near in (3, 4):
+        expected = slow(rows, near)
+        assert expected != slow(rows)
+        assert result(line_dedup.duplicates(docs, near_words=near)) == expected
+    with pytest.raises(ValueError):
+        line_dedup.duplicates(docs, near_words=2)
+
+
 def test_variants_of_a_long_line_match_slices(spark):
     words = [f"w{i}" for i in range(57)]
     lines = spark.createDataFrame([(0, words), (1, words[:30] + words[31:])], "id int, w array<string>")
