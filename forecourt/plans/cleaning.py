@@ -62,7 +62,7 @@ def file_groups(
 
     Text files are one group, CSV files one per charset and header, found for all of them in
     one job; with a charset and a schema given no job is needed.  A path whose files differ
-    is an error.
+    is an error; plain ASCII files in a folder agree with any charset.
     """
     if not paths:
         raise ValueError("no files given")
@@ -78,13 +78,17 @@ def file_groups(
     elif csv:
         found = sources.given_paths(spark, sources.described_files(spark, csv), csv)
         looks = {}
-        for r in found.select("given", "charset", F.hex("header").alias("header")).distinct().collect():
-            looks.setdefault(r["given"], set()).add((charset or r["charset"], r["header"]))
+        for r in found.select("given", "charset", "plain", F.hex("header").alias("header")).distinct().collect():
+            looks.setdefault(r["given"], []).append(r)
         by_look: dict[tuple[str, str], list[str]] = {}
         for i, path in enumerate(csv):
-            if len(looks.get(i, ())) > 1:
+            mine = looks.get(i, [])
+            charsets = {charset} if charset else sources.common_charsets((r["charset"], r["plain"]) for r in mine)
+            headers = {r["header"] for r in mine}
+            if len(charsets) > 1 or len(headers) > 1:
                 raise ValueError(f"files under {path} have different charsets or headers")
-            by_look.setdefault(next(iter(looks.get(i, [(charset or "UTF-8", "")]))), []).append(path)
+            look = next(iter(charsets), "UTF-8"), next(iter(headers), "")
+            by_look.setdefault(look, []).append(path)
         groups += [("csv", look[0], members) for look, members in by_look.items()]
     return groups
 

@@ -83,6 +83,32 @@ def test_bad_input(spark, tmp_path):
         cleaning.file_groups(spark, [f"{tmp_path}/mixed.csv"])
 
 
+def test_a_part_file_with_only_the_header_agrees_with_any_charset(spark, tmp_path):
+    # The first task of a write makes a file with the header even if it has no rows.
+    for name, charset in (("gbk", "gbk"), ("western", "windows-1252")):
+        put(f"{tmp_path}/{name}.csv/part-0", b"a,b\n")
+        put(f"{tmp_path}/{name}.csv/part-1", ("a,b\n1,销\n1,销\n" if name == "gbk" else "a,b\n1,café\n").encode(charset))
+    put(f"{tmp_path}/none.csv/part-0", b"a,b\n")
+    given = [f"{tmp_path}/{name}.csv" for name in ("gbk", "western", "none")]
+    assert [sources.charset_of(spark, path) for path in given] == ["GBK", "windows-1252", "UTF-8"]
+    groups = cleaning.file_groups(spark, given)
+    assert groups == [("csv", c, [p]) for c, p in zip(["GBK", "windows-1252", "UTF-8"], given)]
+    words = {(r["field"], r["word"]): r["freq"] for r in cleaning.count_file_words(spark, given, "a,b", infer=False).collect()}
+    assert words == {("a", "1"): 3, ("b", "销"): 2, ("b", "café"): 1}
+    gbk, *_ = cleaning.deduplicate_files(spark, given, "a,b", f"{tmp_path}/out")
+    assert values(sources.read_text_csv(spark, gbk), "a", "b") == [("1", "销")]
+
+
+def test_files_with_different_charsets_stay_an_error(spark, tmp_path):
+    put(f"{tmp_path}/z.csv/part-0", "a,b\n1,销\n".encode("gbk"))
+    for other in ("a,b\n1,销\n".encode(), b"\xef\xbb\xbfa,b\n1,2\n"):  # a mark is no plain ASCII
+        put(f"{tmp_path}/z.csv/part-1", other)
+        with pytest.raises(ValueError):
+            sources.charset_of(spark, f"{tmp_path}/z.csv")
+        with pytest.raises(ValueError):
+            cleaning.file_groups(spark, [f"{tmp_path}/z.csv"])
+
+
 def test_no_job_where_charset_and_schema_are_known(spark):
     groups = cleaning.file_groups(spark, ["/nowhere/a.csv", "/nowhere/b.csv"], "GBK", "a STRING")
     assert groups == [("csv", "GBK", ["/nowhere/a.csv", "/nowhere/b.csv"])]
